@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factengine.llm.embedding_dedup import embedding_near_dedup
 from factengine.llm.jaccard_join import ngram_jaccard_join
+from factengine.llm.mixing import mixing_plan
+from factengine.llm.sharding import shard
+from factengine.llm.topk import exact_top_k
+from factengine.llm.warc import read_warc, write_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +22,37 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with the words that the mix to source weights 5, 2, 1 takes of each."""
+    return mixing_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes, by way of virtual slots."""
+    return shard(table(spark, sf_dir, "documents"), 40)
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record per page, written and read back through the index."""
+    return read_warc(write_warc(table(spark, sf_dir, "pages")), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest integer inner products of each vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share at least 0.8 of their five-word shingles."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (op1_embedding_near_dedup, op2_source_mixing, op5_virtual_slot_sharding, op8_warc_round_trip, op9_exact_top_k, op10_ngram_jaccard_join)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in QUERIES}
 
 
 _OP1 = """
@@ -48,5 +77,58 @@ FROM v
 """
 
 
+_OP2 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS most FROM s
+), f AS (
+  SELECT *, most / weight AS fill FROM w
+), c AS (
+  SELECT *, sum(source_size) OVER ()::DOUBLE AS total,
+    coalesce(sum(most) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+    sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open
+  FROM f
+), l AS (
+  SELECT (total - spent) / open AS level FROM c WHERE (total - spent) / open <= fill ORDER BY fill, source NULLS LAST LIMIT 1
+), t AS (
+  SELECT source, source_size, CASE WHEN (SELECT level FROM l) IS NULL OR fill <= (SELECT level FROM l) THEN most ELSE least(most, (SELECT level FROM l) * weight) END AS target FROM f
+), r AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+FROM r
+"""
+
+_OP8 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), d AS (
+  SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY sha1(body)) AS last FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, ((i // 8) * 10 + 1)::BIGINT, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM d
+"""
+
+_OP9 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": _OP1}
+    return {"op1_embedding_near_dedup": _OP1, "op2_source_mixing": _OP2, "op8_warc_round_trip": _OP8, "op9_exact_top_k": _OP9}
