@@ -41,8 +41,9 @@ def nearest(focus: DataFrame, corpus: DataFrame, k: int = 20, floor: float | Non
                 groups = np.array([r["grp"] for r in others], dtype=object)
                 for i, row in enumerate(mine):
                     keep = np.flatnonzero((groups != row["grp"]) & (True if floor is None else sims[i] >= floor))
-                    order = sorted(keep.tolist(), key=lambda j: (-sims[i, j], ids[j]))[:k] if len(keep) <= 4 * k else sorted(keep[np.argpartition(-sims[i, keep], k)[: k + 1]].tolist() + keep[sims[i, keep] >= np.partition(sims[i, keep], -k)[-k]].tolist(), key=lambda j: (-sims[i, j], ids[j]))
-                    best = list(dict.fromkeys(order))[:k]
+                    if len(keep) > k:  # all ties at the kth place stay until ids decide
+                        keep = keep[sims[i, keep] >= np.partition(sims[i, keep], -k)[-k]]
+                    best = sorted(keep.tolist(), key=lambda j: (-sims[i, j], ids[j]))[:k]
                     yield pd.DataFrame({"source_id": [row["id"]] * len(best), "target_id": ids[best], "similarity": sims[i, best]})
 
     kind = focus.schema["id"].dataType.simpleString()
