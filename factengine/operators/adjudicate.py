@@ -7,16 +7,16 @@ canonical_number, unit, qualifiers, modality, attributed_to, period``.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factengine.functions.text import affinity, filled, same_text
 from factengine.operators.bandjoin import TOLERANCE
 from factengine.operators.gates import key_pattern, qualifier_entries
-from factengine.operators.providers import ADJUDICATION_SYSTEM, REVIEW_SYSTEM, AdjudicationProvider, InsufficientByDefault, PermanentFailure, SchemaFailure, delimited, with_retry
+from factengine.operators.providers import ADJUDICATION_SYSTEM, REVIEW_SYSTEM, AdjudicationProvider, InsufficientByDefault, SchemaFailure, delimited, with_retry
 from factengine.schemas import FIELDS, REASON, VERDICT
 
 # Below this share of the larger value a difference is not decided; fields that must match before a
@@ -180,29 +180,32 @@ def check_reply(reply: object, review: bool) -> dict:
     return reply
 
 
-def ask(rows: DataFrame, provider: AdjudicationProvider, review: bool = False) -> DataFrame:
-    """``rows(pair_key, payload)`` with ``reply``, ``skip_reason`` and ``skip_detail``: one call per row, tried once more unless
-    the failure is permanent; a row that fails keeps a null reply."""
+_ANSWER = T.StructType([T.StructField(n, T.StringType()) for n in ("reply", "skip_reason", "skip_detail")])
+
+
+def ask(payload: Column, provider: AdjudicationProvider, review: bool = False) -> Column:
+    """``struct<reply, skip_reason, skip_detail>``, the reply as JSON: one call per payload, tried once more unless the failure
+    is permanent; null payloads are not asked."""
     name, system = ("contradiction_review", REVIEW_SYSTEM) if review else ("pair_adjudication", ADJUDICATION_SYSTEM)
     fields = [f.split()[0] for f in (_REVIEW if review else _REPLY).split(", ")]
 
-    def one(payload: str) -> tuple[str | None, str | None, str | None]:
+    def one(text: str | None) -> tuple[str | None, str | None, str | None]:
+        if text is None:
+            return None, None, None
         extra = {"escalate": True} if review else {}
         try:
-            reply = with_retry(lambda: check_reply(provider.generate(name=name, system=system, prompt=delimited(json.loads(payload)), schema={"fields": fields}, **extra), review))
+            reply = with_retry(lambda: check_reply(provider.generate(name=name, system=system, prompt=delimited(json.loads(text)), schema={"fields": fields}, **extra), review))
             return json.dumps({f: reply.get(f) for f in fields}), None, None
         except SchemaFailure as failure:
             return None, "invalid_output", str(failure)
-        except (PermanentFailure, Exception) as failure:
+        except Exception as failure:
             return None, "model_error", str(failure)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            answers = [one(p) for p in frame["payload"]]
-            yield pd.DataFrame({"pair_key": frame["pair_key"], "reply": [a[0] for a in answers], "skip_reason": [a[1] for a in answers], "skip_detail": [a[2] for a in answers]})
+    @F.pandas_udf(_ANSWER)
+    def run(payloads: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in payloads], columns=_ANSWER.names, dtype=object)
 
-    out = rows.select("pair_key", "payload").mapInPandas(run, "pair_key string, reply string, skip_reason string, skip_detail string")
-    return out.withColumn("reply", F.from_json("reply", _REVIEW if review else _REPLY))
+    return run.asNondeterministic()(payload)
 
 
 def _payload() -> Column:
@@ -212,54 +215,46 @@ def _payload() -> Column:
 
 
 def adjudicate(pairs: DataFrame, pipeline_version: str, provider: AdjudicationProvider | None = None) -> tuple[DataFrame, DataFrame]:
-    """Edges and skips of hydrated pairs.
+    """Edges and skips of hydrated pairs, both from one pass over the pairs without a shuffle.
 
     Code settles what it can; only the rest is put to the provider, and only contradictions that survive the rules to its
-    second pass. Replies are written once per run by whoever materialises the result: providers must be pure functions.
+    second pass. Persist or write the edges before the skips are read as well, or the provider is asked again; providers
+    must be pure functions of the pair.
     """
     provider = provider or InsufficientByDefault()
-    found = compare(pairs)
-    settled = found.where("settled is not null").withColumns(
-        {
-            "verdict": F.lit("corroborates"),
-            "reason_code": F.col("settled"),
-            "matched_fields": F.col("matched"),
-            "mismatched_fields": F.col("mismatched"),
-            "explanation": settled_explanation(F.col("settled")),
-            "confidence": F.lit(1.0),
-            "withheld": F.lit(False),
-            "reviewed": F.lit(False),
-            "downgraded": F.lit(False),
-            "prior_verdict": F.lit(None).cast("string"),
-            "prior_explanation": F.lit(None).cast("string"),
-        }
-    )
-    open_pairs = found.where("settled is null").withColumn("payload", _payload())
-    answered = open_pairs.join(ask(open_pairs, provider), "pair_key")
-    skips = answered.where("skip_reason is not null").select("pair_key", F.col("skip_reason").alias("reason"), F.col("skip_detail").alias("detail"))
-    first = resolve_first_pass(answered.where("skip_reason is null").drop("skip_reason", "skip_detail")).drop("reply")
-    contested = first.where("verdict = 'contradicts'")
-    reviews = contested.join(ask(contested, provider, review=True), "pair_key")
-    skips = skips.unionByName(reviews.where("skip_reason is not null").select("pair_key", F.col("skip_reason").alias("reason"), F.col("skip_detail").alias("detail")))
-    r = F.col("reply")
-    yes = r["reconcilable"]
-    reviewed = reviews.where("skip_reason is null").withColumns(
-        {
-            "prior_verdict": F.when(yes, "contradicts"),
-            "prior_explanation": F.when(yes, F.col("explanation")),
-            "verdict": F.when(yes, "reconciles").otherwise("contradicts"),
-            "reason_code": F.when(yes, r["reasonCode"]).otherwise(F.col("reason_code")),
-            "explanation": F.when(yes, r["explanation"]).otherwise(F.concat("explanation", F.lit(" A second reading with the burden reversed found nothing that reconciles them: "), r["explanation"])),
-            "confidence": F.when(yes, r["confidence"]).otherwise(F.col("confidence")),
-            "reviewed": F.lit(True),
-            "downgraded": yes,
-        }
+    c, none = F.col, F.lit(None).cast("string")
+    found = compare(pairs).withColumn("__payload", _payload())
+    open_pair = c("settled").isNull()
+    asked = found.withColumn("__first", ask(F.when(open_pair, c("__payload")), provider))
+    first = resolve_first_pass(asked.withColumn("reply", F.from_json("__first.reply", _REPLY)))
+    contested = open_pair & F.coalesce(c("verdict") == "contradicts", F.lit(False))
+    reviewed = first.withColumn("reviewed", contested).withColumn("__second", ask(F.when(contested, c("__payload")), provider, review=True))
+    judged = reviewed.withColumn("__review", F.from_json("__second.reply", _REVIEW))
+    r = c("__review")
+    yes = F.coalesce(r["reconcilable"], F.lit(False))
+    kept = F.concat("explanation", F.lit(" A second reading with the burden reversed found nothing that reconciles them: "), r["explanation"])
+    final = judged.select(
+        "pair_key",
+        "source",
+        "target",
+        "settled",
+        F.when(~open_pair, "corroborates").when(yes, "reconciles").otherwise(c("verdict")).alias("verdict"),
+        F.when(~open_pair, c("settled")).when(yes, r["reasonCode"]).otherwise(c("reason_code")).alias("reason_code"),
+        F.when(~open_pair, c("matched")).otherwise(c("matched_fields")).alias("matched_fields"),
+        c("mismatched").alias("mismatched_fields"),
+        F.when(~open_pair, settled_explanation(c("settled"))).when(yes, r["explanation"]).when(c("reviewed"), kept).otherwise(c("explanation")).alias("explanation"),
+        F.when(~open_pair, 1.0).when(yes, r["confidence"]).otherwise(c("confidence")).alias("confidence"),
+        "withheld",
+        "reviewed",
+        yes.alias("downgraded"),
+        F.when(yes, c("verdict")).otherwise(none).alias("prior_verdict"),
+        F.when(yes, c("explanation")).otherwise(none).alias("prior_explanation"),
+        F.coalesce("__first.skip_reason", "__second.skip_reason").alias("__skip"),
+        F.coalesce("__first.skip_detail", "__second.skip_detail").alias("__detail"),
     )
-    plain = first.where("verdict <> 'contradicts'").withColumns({"reviewed": F.lit(False), "downgraded": F.lit(False), "prior_verdict": F.lit(None).cast("string"), "prior_explanation": F.lit(None).cast("string")})
-    columns = ["pair_key", "source", "target", "settled", "verdict", "reason_code", "matched_fields", "mismatched_fields", "explanation", "confidence", "withheld", "reviewed", "downgraded", "prior_verdict", "prior_explanation"]
-    every = settled.select(*columns).unionByName(reviewed.select(*columns)).unionByName(plain.select(*columns))
-    edges = orient(every).withColumn("id", F.sha2(F.concat_ws("|", F.lit(pipeline_version), "source_id", "target_id"), 256)).withColumn("pipeline_version", F.lit(pipeline_version))
-    return edges.drop("source", "target"), skips
+    skips = final.where("__skip is not null").select("pair_key", c("__skip").alias("reason"), c("__detail").alias("detail"))
+    edges = orient(final.where("__skip is null")).withColumn("id", F.sha2(F.concat_ws("|", F.lit(pipeline_version), "source_id", "target_id"), 256)).withColumn("pipeline_version", F.lit(pipeline_version))
+    return edges.drop("source", "target", "__skip", "__detail"), skips
 
 
 def batch_stats(edges: DataFrame, skips: DataFrame) -> DataFrame:

@@ -1 +1,268 @@
-"""Queries."""
+"""Queries over pairing and adjudication."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factengine.operators import adjudicate as judge
+from factengine.operators import pairing
+from factengine.operators.extract import pair_plan
+from factengine.operators.providers import embedding_text
+from factengine.plans.derived import price_facts, table
+from factengine.plans.registry import query
+
+_FACTS = """
+f AS (
+  SELECT k.form || p_partkey AS id, k.form || ':' || p_brand AS document_id, p_name AS subject, k.predicate, (CAST(p_retailprice AS DECIMAL(18,2)) * 1000000)::DECIMAL(30,0)::DOUBLE AS num, p_type, p_size, p_partkey
+  FROM part, (VALUES ('m', 'retail price'), ('c', 'price at retail')) k(form, predicate)
+)"""
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    facts = price_facts(table(spark, sf_dir, "part"))
+    return facts.where("id like 'm%'"), facts.where("id like 'c%'")
+
+
+@query(f"WITH {_FACTS} SELECT a.id AS source_id, b.id AS target_id FROM f a JOIN f b ON a.id[1] = 'm' AND b.id[1] = 'c' AND a.document_id <> b.document_id AND abs(a.num - b.num) <= 1e-9 * greatest(abs(a.num), abs(b.num), 1)")
+def pair_deterministic_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices in millions against prices in crores, by the tolerance join."""
+    return pairing.pair_deterministic(*_facts(spark, sf_dir))
+
+
+@query(
+    """
+SELECT a.p_partkey AS source_id, b.p_partkey AS target_id FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_brand <> b.p_brand
+"""
+)
+def pair_deterministic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of different brands whose name, type and size read the same."""
+    text = F.concat_ws("/", "p_name", "p_type", "p_size")
+    facts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("document_id"), text.alias("canonical_value"), F.lit(None).cast("double").alias("canonical_number"))
+    return pairing.pair_deterministic(facts, facts)
+
+
+def _semantic(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("document_id"), "embedding")
+    return pairing.pair_semantic(vectors, vectors, k)
+
+
+_SEMANTIC = """
+s AS (
+  SELECT a.vec_id AS source_id, b.vec_id AS target_id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS similarity
+  FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label <> b.label
+), top AS (
+  SELECT source_id, target_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY similarity DESC, target_id) AS rn FROM s) WHERE rn <= {k}
+)"""
+
+
+@query(f"WITH {_SEMANTIC.format(k=20)} SELECT source_id, target_id, round(similarity, 6) AS similarity FROM top")
+def pair_semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of other labels."""
+    return _semantic(spark, sf_dir, 20).select("source_id", "target_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    f"""
+WITH {_SEMANTIC.format(k=3)}, d AS (
+  SELECT a.vec_id AS source_id, b.vec_id AS target_id FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND a.label <> b.label
+), u AS (
+  SELECT source_id, target_id, 0 AS late, 'deterministic' AS path, NULL::DOUBLE AS similarity FROM d UNION ALL SELECT source_id, target_id, 1, 'semantic', similarity FROM top
+)
+SELECT least(source_id::VARCHAR, target_id::VARCHAR) || ':' || greatest(source_id::VARCHAR, target_id::VARCHAR) AS pair_key,
+  arg_min(source_id, (late, source_id, target_id)) AS source_id, arg_min(target_id, (late, source_id, target_id)) AS target_id,
+  array_to_string(list_sort(list_distinct(list(path))), ',') AS paths, round(CASE WHEN count(*) > 1 THEN nullif(max(similarity), 0) ELSE max(similarity) END, 6) AS similarity
+FROM u GROUP BY 1
+"""
+)
+def pair_union_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring ids of different labels, merged with the three nearest vectors."""
+    v = table(spark, sf_dir, "embeddings")
+    near = v.select(F.col("vec_id").alias("source_id"), F.col("label").alias("a")).join(v.select((F.col("vec_id") - 1).alias("source_id"), F.col("vec_id").alias("target_id"), F.col("label").alias("b")), "source_id").where("a <> b")
+    text = lambda d: d.withColumn("source_id", F.col("source_id").cast("string")).withColumn("target_id", F.col("target_id").cast("string"))
+    order = lambda d: d.withColumns({c: F.format_string("%019d", c) for c in ("source_id", "target_id")})
+    merged = pairing.union_paths(order(near.select("source_id", "target_id")), order(_semantic(spark, sf_dir, 3)))
+    plain = text(merged.withColumns({c: F.col(c).cast("long") for c in ("source_id", "target_id")}))
+    key = F.concat_ws(":", F.least("source_id", "target_id"), F.greatest("source_id", "target_id"))
+    return plain.select(key.alias("pair_key"), F.col("source_id").cast("long").alias("source_id"), F.col("target_id").cast("long").alias("target_id"), F.array_join("paths", ",").alias("paths"), F.round("similarity", 6).alias("similarity"))
+
+
+def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price pairs by value, and pairs of parts of one type and size with a similarity made from their keys."""
+    million, crore = _facts(spark, sf_dir)
+    found = pairing.pair_deterministic(million, crore)
+    a, b = (d.select(F.col("id").alias(f"{n}_id"), "p_type", "p_size", F.col("p_partkey").alias(f"{n}_key")) for n, d in (("source", million), ("target", crore)))
+    near = a.join(b, ["p_type", "p_size"]).where("abs(source_key - target_key) <= 300").select("source_id", "target_id", ((F.col("source_key") * 7 + F.col("target_key") * 3) % 100 / 100.0).alias("similarity"))
+    return pairing.prefilter(pairing.union_paths(found, near), million.unionByName(crore))
+
+
+_TOK = "list_distinct(list_filter(string_split(lower({0}), ' '), lambda w: w NOT IN ('at')))"
+_AFF = "CASE WHEN len(list_intersect({a}, {b})) = 0 THEN 0.0 ELSE greatest(len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))), 0.75 * len(list_intersect({a}, {b})) / least(len({a}), len({b}))) END"
+_CASCADE = f"""
+WITH {_FACTS}, d AS (
+  SELECT a.id AS source_id, b.id AS target_id, 'd' AS path, NULL::DOUBLE AS similarity FROM f a JOIN f b ON a.id[1] = 'm' AND b.id[1] = 'c' AND a.num = b.num AND a.document_id <> b.document_id
+  UNION ALL
+  SELECT a.id, b.id, 's', (a.p_partkey * 7 + b.p_partkey * 3) % 100 / 100.0::DOUBLE FROM f a JOIN f b ON a.id[1] = 'm' AND b.id[1] = 'c' AND a.p_type = b.p_type AND a.p_size = b.p_size AND abs(a.p_partkey - b.p_partkey) <= 300
+), u AS (
+  SELECT source_id, target_id, bool_or(path = 'd') AS by_value, bool_or(path = 's') AS by_text, CASE WHEN count(*) > 1 THEN nullif(max(similarity), 0) ELSE max(similarity) END AS similarity FROM d GROUP BY ALL
+), p AS (
+  SELECT u.*, a.document_id AS da, b.document_id AS db, a.num = b.num AS same, {_TOK.format("a.subject")} AS sa, {_TOK.format("b.subject")} AS sb, coalesce(similarity, 0) AS sim
+  FROM u JOIN f a ON a.id = source_id JOIN f b ON b.id = target_id
+), q AS (
+  SELECT *, {_AFF.format(a="sa", b="sb")} AS subject_affinity, 1.0::DOUBLE AS predicate_affinity FROM p
+), x AS (
+  SELECT *, least(source_id, target_id) || ':' || greatest(source_id, target_id) AS pair_key,
+    CASE WHEN same THEN 0.75 + 0.25 * (predicate_affinity + subject_affinity) / 2 ELSE 0.7 * sim END AS score,
+    CASE WHEN da = db THEN 'same_document' WHEN NOT ((by_text AND sim >= 0.5) OR (by_value AND same)) THEN CASE WHEN by_value AND NOT same THEN 'value_mismatch' ELSE 'similarity_floor' END
+      WHEN by_text AND NOT by_value AND NOT (subject_affinity >= 0.25 OR predicate_affinity >= 0.5) AND sim < 0.72 THEN 'claim_relation'
+      WHEN by_value AND NOT by_text AND predicate_affinity < 0.5 THEN 'predicate' END AS exclusion_reason
+  FROM q
+)"""
+
+
+@query(f"{_CASCADE} SELECT coalesce(exclusion_reason, 'kept') AS outcome, count(*) AS n, round(max(score), 9) AS score FROM x GROUP BY ALL")
+def prefilter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs each rule refuses."""
+    return _filtered(spark, sf_dir).groupBy(F.coalesce("exclusion_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"), F.round(F.max("score"), 9).alias("score"))
+
+
+@query(f"{_CASCADE} SELECT source_id, exclusion_reason, count(*) AS count, round(max(score), 9) AS best_score FROM x WHERE exclusion_reason IS NOT NULL GROUP BY ALL")
+def exclusion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refusals per fact and reason."""
+    return pairing.exclusion_summary(_filtered(spark, sf_dir)).withColumn("best_score", F.round("best_score", 9))
+
+
+@query(f"{_CASCADE} SELECT pair_key, round(score, 9) AS score FROM x WHERE exclusion_reason IS NULL ORDER BY x.score DESC, pair_key LIMIT 100")
+def pair_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred best pairs of the ranking."""
+    return pairing.rank_pairs(_filtered(spark, sf_dir)).limit(100).select("pair_key", F.round("score", 9).alias("score"))
+
+
+@query(f"{_CASCADE} SELECT count(*) AS retrieved, count(*) FILTER (by_value) AS deterministic, count(*) FILTER (by_text) AS semantic, count(*) FILTER (exclusion_reason IS NULL) AS pairs, 0::BIGINT AS capped, count(*) FILTER (exclusion_reason IS NOT NULL) AS dropped, (SELECT count(*) FROM part) AS focus, (SELECT count(*) FROM part) AS corpus FROM x")
+def pair_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of one pairing run."""
+    return pairing.pair_stats(*_facts(spark, sf_dir), _filtered(spark, sf_dir))
+
+
+@query(f"{_CASCADE} SELECT source_id, ((row_number() OVER (PARTITION BY source_id ORDER BY x.score DESC, pair_key) - 1) // 2)::INT AS batch, pair_key FROM x WHERE exclusion_reason IS NULL")
+def pair_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept pairs of each fact in batches of two."""
+    kept = _filtered(spark, sf_dir).where("exclusion_reason is null")
+    return pair_plan(kept, "source_id", 2).select("source_id", "batch", "pair_key")
+
+
+# --- adjudication ---------------------------------------------------------------------------------------------------
+
+
+def _order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with each of its lines: unlike periods, scopes, units, values, modalities and attributions by design."""
+    o = table(spark, sf_dir, "orders")
+    n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.max("l_shipdate").alias("l_shipdate"), F.max("l_returnflag").alias("l_returnflag"))
+    both = o.join(n, F.col("o_orderkey") == F.col("l_orderkey"))
+    year = lambda c: F.struct(F.trunc(c, "year").alias("start"), F.make_date(F.year(c), F.lit(12), F.lit(31)).alias("end"), F.lit("year").alias("precision"))
+    none = F.lit(None).cast("string")
+    k = F.col("l_linenumber")
+
+    def side(i, number, period, scope, unit, modality, by):
+        text = F.format_string("%d", number.cast("long"))
+        return F.struct(i.cast("string").alias("id"), F.lit("Orders").alias("subject"), F.lit("quantity").alias("predicate"), text.alias("raw_value"), text.alias("canonical_value"), number.cast("double").alias("canonical_number"), unit.alias("unit"), scope.alias("qualifiers"), modality.alias("modality"), by.alias("attributed_to"), period.alias("period"))
+
+    base = (F.col("o_orderkey") % 50 + 1).cast("double")
+    scope = F.create_map(F.lit("Fiscal Year"), F.lit("x"), F.lit("Region "), F.lit(" North "))
+    other = F.when(k == 3, F.create_map(F.lit("segment"), F.lit("A"))).when(k == 4, F.create_map(F.lit("region"), F.lit("south"))).otherwise(F.create_map(F.lit("region"), F.lit("NORTH")))
+    source = side(F.col("o_orderkey"), base, year("o_orderdate"), scope, F.lit("kg"), F.lit("observed"), none)
+    target = side(F.concat("o_orderkey", F.lit("-"), k), F.when(k % 2 == 1, base).otherwise(F.col("l_quantity")), year("l_shipdate"), other, F.when(k == 5, none).otherwise(F.lit(" KG")), F.when(F.col("l_returnflag") == "R", "projected").otherwise("observed"), F.when(k == 6, "CEO"))
+    return both.select(F.concat_ws(":", "o_orderkey", k).alias("pair_key"), source.alias("source"), target.alias("target"))
+
+
+_PAIRS = """
+WITH n AS (
+  SELECT l_orderkey, l_linenumber AS k, max(l_quantity) AS q, max(l_shipdate) AS s, max(l_returnflag) AS r FROM lineitem GROUP BY ALL
+), c AS (
+  SELECT o_orderkey, k, o_orderdate, s, r, (o_orderkey % 50 + 1)::DOUBLE AS a, CASE WHEN k % 2 = 1 THEN (o_orderkey % 50 + 1)::DOUBLE ELSE q END AS b FROM orders JOIN n ON o_orderkey = l_orderkey
+), f AS (
+  SELECT *, CASE WHEN year(o_orderdate) = year(s) THEN 'matched' ELSE 'mismatched' END AS t_time, CASE k WHEN 3 THEN 'unknown' WHEN 4 THEN 'mismatched' ELSE 'matched' END AS t_scope,
+    CASE k WHEN 5 THEN 'unknown' ELSE 'matched' END AS t_unit, CASE WHEN abs(a - b) / greatest(a, b, 1) <= 1e-9 THEN 'matched' WHEN abs(a - b) / greatest(a, b, 1) <= 0.005 THEN 'unknown' ELSE 'mismatched' END AS t_value,
+    CASE WHEN r = 'R' THEN 'mismatched' ELSE 'matched' END AS t_modality, CASE k WHEN 6 THEN 'mismatched' ELSE 'matched' END AS t_attribution
+  FROM c
+), g AS (
+  SELECT *, CASE WHEN t_value = 'matched' AND t_time = 'matched' AND t_scope = 'matched' AND t_unit = 'matched' AND t_modality = 'matched' AND t_attribution = 'matched' THEN 'exact_duplicate' END AS settled FROM f
+)"""
+
+
+@query(f"{_PAIRS} SELECT t_time AS time, t_scope AS scope, t_unit AS unit, t_value AS value, t_modality AS modality, t_attribution AS attribution, count(*) AS n FROM g GROUP BY ALL")
+def compare_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field by field states of orders against their lines."""
+    fields = ("time", "scope", "unit", "value", "modality", "attribution")
+    return judge.compare(_order_pairs(spark, sf_dir)).groupBy(*(F.col(f"comparison.{f}").alias(f) for f in fields)).agg(F.count("*").alias("n"))
+
+
+@query(f"{_PAIRS} SELECT coalesce(settled, 'open') AS settled, count(*) AS n FROM g GROUP BY ALL")
+def settle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What code alone settles."""
+    return judge.compare(_order_pairs(spark, sf_dir)).groupBy(F.coalesce("settled", F.lit("open")).alias("settled")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""
+{_PAIRS}, h AS (
+  SELECT *, CASE WHEN t_time <> 'matched' THEN 'time' WHEN t_scope <> 'matched' AND t_scope <> 'unknown' THEN 'scope' WHEN t_unit = 'mismatched' THEN 'unit' WHEN t_modality <> 'matched' THEN 'modality' WHEN t_attribution <> 'matched' THEN 'attribution' END AS blocker FROM g
+)
+SELECT CASE WHEN t_value = 'mismatched' AND blocker IS NULL THEN 'contradicts' ELSE 'insufficient' END AS verdict,
+  CASE WHEN t_value <> 'mismatched' THEN 'missing_context' WHEN blocker IS NULL THEN 'value_conflict' WHEN blocker = 'scope' THEN 'scope_mismatch' WHEN blocker = 'modality' THEN 'projection_vs_actual' WHEN blocker = 'attribution' THEN 'attribution_mismatch' ELSE 'missing_context' END AS reason_code,
+  count(*) AS n
+FROM h GROUP BY ALL
+"""
+)
+def resolve_first_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that always claims a contradiction, and vouches for scope and unit, against the rules."""
+    reply = F.struct(F.lit("contradicts").alias("verdict"), F.lit("value_conflict").alias("reasonCode"), F.array(F.lit("scope"), F.lit("unit"), F.lit("time")).alias("contextMatches"), F.lit("So it seems.").alias("explanation"), F.lit(0.8).alias("confidence"))
+    out = judge.resolve_first_pass(judge.compare(_order_pairs(spark, sf_dir)).withColumn("reply", reply))
+    return out.groupBy("verdict", "reason_code").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""
+{_PAIRS}, e AS (
+  SELECT *, o_orderkey::VARCHAR AS i, o_orderkey || '-' || k AS j, CASE k % 3 WHEN 0 THEN 'time_supersession' WHEN 1 THEN 'projection_vs_actual' ELSE 'value_conflict' END AS code FROM g
+)
+SELECT code AS reason_code, count(*) FILTER (CASE code WHEN 'time_supersession' THEN CASE WHEN year(o_orderdate) = year(s) THEN true ELSE year(o_orderdate) > year(s) END ELSE true END) AS source_first, count(*) AS n
+FROM e GROUP BY ALL
+"""
+)
+def orient_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which side comes first, by reason."""
+    k = F.split("pair_key", ":")[1].cast("int") % 3
+    rows = _order_pairs(spark, sf_dir).withColumn("reason_code", F.when(k == 0, "time_supersession").when(k == 1, "projection_vs_actual").otherwise("value_conflict"))
+    out = judge.orient(rows)
+    return out.groupBy("reason_code").agg(F.count_if(F.col("source_id") == F.col("source.id")).alias("source_first"), F.count("*").alias("n"))
+
+
+@query()
+def adjudicate_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of all order pairs with the offline judge, by verdict and reason."""
+    edges, _ = judge.adjudicate(_order_pairs(spark, sf_dir), "0.7.0-offline")
+    return edges.groupBy("verdict", "reason_code").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""
+{_CASCADE}
+SELECT CASE WHEN same AND subject_affinity >= 0.5 THEN 'equivalent_value' ELSE 'open' END AS outcome, count(*) AS n FROM x WHERE exclusion_reason IS NULL GROUP BY ALL
+"""
+)
+def settle_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End to end: prices normalised, paired, filtered, compared; how many pairs corroborate."""
+    kept = _filtered(spark, sf_dir).where("exclusion_reason is null")
+    none, kind = F.lit(None), "struct<start: date, end: date, precision: string>"
+    side = lambda p: F.struct(F.col(f"{p}_id").alias("id"), F.col(f"{p}_subject").alias("subject"), F.col(f"{p}_predicate").alias("predicate"), F.concat(F.lit(p), F.col(f"{p}_canonical_value")).alias("raw_value"), F.col(f"{p}_canonical_value").alias("canonical_value"), F.col(f"{p}_canonical_number").alias("canonical_number"), F.col(f"{p}_unit").alias("unit"), none.cast("map<string, string>").alias("qualifiers"), F.lit("observed").alias("modality"), none.cast("string").alias("attributed_to"), F.struct(F.lit("2024-01-01").cast("date").alias("start"), F.lit("2024-12-31").cast("date").alias("end"), F.lit("year").alias("precision")).cast(kind).alias("period"))
+    found = judge.compare(kept.select("pair_key", side("a").alias("source"), side("b").alias("target")))
+    return found.groupBy(F.coalesce("settled", F.lit("open")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, trim(p_name) || ': retail price' AS text FROM part")
+def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is embedded of a claim."""
+    return table(spark, sf_dir, "part").select("p_partkey", embedding_text(F.concat(F.lit(" "), "p_name"), F.lit("retail price ")).alias("text"))
+
+
