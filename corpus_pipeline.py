@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factengine.llm import merge_dropout
-from factengine.llm.common import checked_broadcast, materialise
+from factengine.llm.common import checked_broadcast, free_name, materialise
 from factengine.llm.jaccard_join import ngram_jaccard_join
 from factengine.llm.mixing import mix
 from factengine.llm.quality import score, train
@@ -22,7 +22,8 @@ LEAST_QUALITY = 0.3
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the cut; the model learns from `labels` that are not held out."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, "text", "__score").where(F.col("__score") >= LEAST_QUALITY).drop("__score")
+    name = free_name(docs.columns, "__score")
+    return score(docs, model, "text", name).where(F.col(name) >= LEAST_QUALITY).drop(name)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

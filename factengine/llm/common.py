@@ -47,6 +47,13 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if bounded(df, limit) else df
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called so."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def word_count(text):
     """Number of runs without ASCII white space; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

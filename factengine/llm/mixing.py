@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factengine.llm.common import bounded, materialise, word_count
+from factengine.llm.common import bounded, free_name, materialise, word_count
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
@@ -69,10 +69,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Only the rates travel: the sizes and targets are aggregated first and joined back per source, so texts are not
     shuffled. See :func:`mixing_plan` for nulls and repeated rows.
     """
+    source, rate, copy = (free_name(docs.columns, f"__mix_{n}") for n in ("source", "rate", "copy"))
     sizes = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    targets = materialise(source_targets(sizes, weights, cap), "targets").select(F.col("source").alias("__mix_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__mix_rate"))
+    targets = materialise(source_targets(sizes, weights, cap), "targets").select(F.col("source").alias(source), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias(rate))
     if bounded(targets, 100_000):
         targets = F.broadcast(targets)
-    joined = docs.join(targets, docs[source_col].eqNullSafe(F.col("__mix_source")), "left")
-    copies = (F.floor("__mix_rate") + (_draw(docs[id_col], seed) < F.col("__mix_rate") - F.floor("__mix_rate")).cast("long")).cast("int")
-    return joined.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    joined = docs.join(targets, docs[source_col].eqNullSafe(F.col(source)), "left")
+    copies = (F.floor(rate) + (_draw(docs[id_col], seed) < F.col(rate) - F.floor(rate)).cast("long")).cast("int")
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -31,8 +31,8 @@ def assign_slots(bytes_per_slot: dict[int, int], shards: int) -> dict[int, int]:
 
 
 def rebalance(slot_map: dict[int, int], bytes_per_slot: dict[int, int], shards: int) -> dict[int, int]:
-    """The next version of a map for ``shards`` shards: slots move one by one from the heaviest shard to the lightest as
-    long as that narrows the gap; slots of shards that are no more are dealt out first. All else stays."""
+    """The next version of a map for ``shards`` shards: slots move one by one from the heaviest shard that can give one to
+    the lightest, as long as that narrows their gap; slots of shards that are no more are dealt out first. All else stays."""
     out = dict(slot_map)
     load = {s: 0 for s in range(shards)}
     homeless = []
@@ -44,14 +44,23 @@ def rebalance(slot_map: dict[int, int], bytes_per_slot: dict[int, int], shards:
     for slot in sorted(homeless, key=lambda x: (-bytes_per_slot.get(x, 0), x)):
         out[slot] = min(load, key=lambda s: (load[s], s))
         load[out[slot]] += bytes_per_slot.get(slot, 0)
+    held: dict[int, set[int]] = {s: set() for s in load}
+    for slot, at in out.items():
+        if bytes_per_slot.get(slot, 0):
+            held[at].add(slot)
     for _ in range(len(out)):
-        high, low = max(load, key=lambda s: (load[s], -s)), min(load, key=lambda s: (load[s], s))
-        gap = load[high] - load[low]
-        fits = [x for x in out if out[x] == high and 0 < bytes_per_slot.get(x, 0) < gap]
-        if not fits:
+        low = min(load, key=lambda s: (load[s], s))
+        for high in sorted(load, key=lambda s: (-load[s], s)):
+            gap = load[high] - load[low]
+            fits = [x for x in held[high] if bytes_per_slot[x] < gap]
+            if fits:
+                break
+        else:
             break
         slot = min(fits, key=lambda x: (abs(gap - 2 * bytes_per_slot[x]), x))
         out[slot] = low
+        held[high].remove(slot)
+        held[low].add(slot)
         load[high] -= bytes_per_slot[slot]
         load[low] += bytes_per_slot[slot]
     return out
