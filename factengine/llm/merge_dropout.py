@@ -1,12 +1,12 @@
 """Encoding and decoding with a merge-type SentencePiece vocabulary and seeded merge-dropout (operator 7).
 
 Merges run over an agenda, best piece first and leftmost among equals. A candidate that comes up is skipped if a hash
-of the seed, the text's variant, the two symbols and their place in the chunk falls below the dropout rate; it comes
+of the seed, the text's variant, the merged piece and its place in the chunk falls below the dropout rate; it comes
 back only if a neighbour changes. So one text has one segmentation per seed, other seeds give others, and each decodes
 to the very text. With a rate of 0 the pieces are those of the library.
 
-No piece has a space mark behind another character, so merges never cross from one chunk (space marks, then other
-characters) to the next, and the chunks of a text are encoded alone and remembered.
+No piece has a space mark behind another character or a line break, so merges never cross from one chunk (space marks,
+then other characters, or line breaks) to the next, and the chunks of a text are encoded alone and remembered.
 """
 
 from __future__ import annotations
@@ -24,17 +24,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factengine.llm.common import free_name
+
 #: The vocabulary's mark for a space; the same character in a text is spelt in bytes, so that decoding can tell them.
 MARK = "▁"
 #: Where the public vocabulary lies by default; a parameter everywhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = re.compile(r" *[^ ]+| +")
-#: Chunks that a task remembers, and the longest that is worth it; texts fall into so many variants per seed.
-REMEMBERED, LONGEST, VARIANTS = 250_000, 64, 4
+CHUNK = re.compile(r" *[^ \n]+| +|\n+")
+#: Chunks in each of the two generations that a worker remembers per seed, and the longest that is worth it; texts fall into
+#: so many variants per seed.
+REMEMBERED, LONGEST, VARIANTS = 300_000, 64, 2
 #: Chunks of up to this length look for the best merge by scanning, longer ones by a heap.
 SCANNED = 48
 
 
+def skipped(key: int, rank: int, at: int, limit: int) -> bool:
+    """Whether the candidate of a piece and place is left out: 32 bits of a multiplicative hash under the limit."""
+    x = (key ^ (rank * 0x9E3779B97F4A7C15 + at * 0xC2B2AE3D27D4EB4F)) & 0xFFFFFFFFFFFFFFFF
+    x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+    return (x >> 32) < limit
+
+
 class Encoder:
     """A vocabulary with its merges; ``rate`` is the share of merge candidates that are skipped."""
 
@@ -51,38 +61,37 @@ class Encoder:
         self.bytes = [processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if any(not processor.is_byte(i) for i in self.bytes):
             raise ValueError("the vocabulary has no byte pieces, so texts may not decode")
-        if any(MARK in p.lstrip(MARK) for p in self.ids):
-            raise ValueError("a piece goes over the end of a word")
+        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
+            raise ValueError("a piece goes over the end of a word or line")
         self.of_byte = {i: b for b, i in enumerate(self.bytes)}
         self.limit, self.seed = round(rate * 2**32), seed
-        self.known: dict[tuple[int, str], tuple[int, ...]] = {}
+        self.young: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]
+        self.old: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]
         self.shown = [p.replace(MARK, " ") for p in self.pieces]
 
-    def _skips(self, key: str, left: str, right: str, at: int) -> bool:
-        return xxhash.xxh32_intdigest(f"{key}{at}\0{left}\0{right}".encode("utf-8", "surrogatepass"), self.seed) < self.limit
+    def _key(self, variant: int) -> int:
+        return xxhash.xxh64_intdigest(f"{self.seed}:{variant}".encode())
 
-    def _merge_scan(self, symbols: list[str], key: str) -> list[str]:
-        order, far, n = self.order, len(self.order), len(symbols)
+    def _merge_scan(self, symbols: list[str], key: int) -> list[str]:
+        order, limit = self.order.get, self.limit
+        far, n = len(self.order), len(symbols)
         starts = list(range(n))
-        rank = [order.get(symbols[i] + symbols[i + 1], far) for i in range(n - 1)]
-        while rank:
-            best = min(rank)
-            if best == far:
-                break
+        rank = [order(symbols[i] + symbols[i + 1], far) for i in range(n - 1)]
+        while rank and (best := min(rank)) != far:
             i = rank.index(best)
-            if self.limit and self._skips(key, symbols[i], symbols[i + 1], starts[i]):
+            if limit and skipped(key, best, starts[i], limit):
                 rank[i] = far
                 continue
-            symbols[i] += symbols.pop(i + 1)
-            starts.pop(i + 1)
-            rank.pop(i)
+            merged = symbols[i] + symbols[i + 1]
+            symbols[i] = merged
+            del symbols[i + 1], starts[i + 1], rank[i]
             if i < len(rank):
-                rank[i] = order.get(symbols[i] + symbols[i + 1], far)
+                rank[i] = order(merged + symbols[i + 1], far)
             if i:
-                rank[i - 1] = order.get(symbols[i - 1] + symbols[i], far)
+                rank[i - 1] = order(symbols[i - 1] + merged, far)
         return symbols
 
-    def _merge_heap(self, symbols: list[str], key: str) -> list[str]:
+    def _merge_heap(self, symbols: list[str], key: int) -> list[str]:
         order, n = self.order, len(symbols)
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
         agenda: list[tuple[int, int, str, str]] = []
@@ -95,9 +104,9 @@ class Encoder:
         for i in range(n - 1):
             add(i)
         while agenda:
-            _, i, left, right = heapq.heappop(agenda)
+            rank, i, left, right = heapq.heappop(agenda)
             j = after[i]
-            if j < 0 or symbols[i] != left or symbols[j] != right or self.limit and self._skips(key, left, right, i):
+            if j < 0 or symbols[i] != left or symbols[j] != right or self.limit and skipped(key, rank, i, self.limit):
                 continue
             symbols[i] += right
             symbols[j] = ""
@@ -113,7 +122,7 @@ class Encoder:
         if MARK in chunk:
             return self._with_marks(chunk, variant)
         symbols = [MARK if c == " " else c for c in chunk]
-        merged = (self._merge_scan if len(symbols) <= SCANNED else self._merge_heap)(symbols, f"{variant}:")
+        merged = (self._merge_scan if len(symbols) <= SCANNED else self._merge_heap)(symbols, self._key(variant))
         out: list[int] = []
         for s in merged:
             i = self.ids.get(s)
@@ -137,15 +146,16 @@ class Encoder:
         """Token ids of a whole text; an empty text has none."""
         if not text:
             return []
-        known, out = self.known, []
+        young, old, out = self.young[variant % VARIANTS], self.old[variant % VARIANTS], []
         for chunk in CHUNK.findall(" " + text):
-            ids = known.get((variant, chunk))
+            ids = young.get(chunk)
             if ids is None:
-                ids = self._chunk(chunk, variant)
+                ids = old.get(chunk) or self._chunk(chunk, variant % VARIANTS)
                 if len(chunk) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[variant, chunk] = ids
+                    if len(young) >= REMEMBERED // VARIANTS:
+                        self.old[variant % VARIANTS], self.young[variant % VARIANTS] = young, {}
+                        young, old = self.young[variant % VARIANTS], young
+                    young[chunk] = ids
             out += ids
         return out
 
@@ -174,9 +184,18 @@ def ship_model(df: DataFrame, model: str = MODEL) -> str:
     return model.rsplit("/", 1)[-1]
 
 
-def _read(name: str) -> bytes:
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def _encoder(name: str, rate: float, seed: int) -> Encoder:
+    """A worker's encoder for a shipped vocabulary; it keeps what it remembers from one task to the next."""
     with open(SparkFiles.get(name), "rb") as f:
-        return f.read()
+        model = f.read()
+    key = (xxhash.xxh3_128_digest(model), rate, seed)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(model, rate, seed)
+    return _ENCODERS[key]
 
 
 def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rate: float = 0.1, seed: int = 1, model: str = MODEL, out_col: str = "token_ids") -> DataFrame:
@@ -187,15 +206,16 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rate
     """
     name = ship_model(docs, model)
     docs = docs.drop(out_col)
-    rows = docs.withColumn("__spm_variant", F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed)), F.lit(VARIANTS)).cast("int"))
+    variant = free_name(docs.columns, "__spm_variant")
+    rows = docs.withColumn(variant, F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed)), F.lit(VARIANTS)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(_read(name), rate, seed)
+        encoder = _encoder(name, rate, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = [None if t is None else np.array(encoder.encode(t, v), dtype=np.int32) for t, v in zip(part.column(text_col).to_pylist(), part.column("__spm_variant").to_pylist(), strict=True)]
-                kept = [c for c in part.schema.names if c != "__spm_variant"]
+                ids = [None if t is None else np.array(encoder.encode(t, v), dtype=np.int32) for t, v in zip(part.column(text_col).to_pylist(), part.column(variant).to_pylist(), strict=True)]
+                kept = [c for c in part.schema.names if c != variant]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(ids, pa.list_(pa.int32()))], [*kept, out_col])
 
     return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
@@ -207,11 +227,13 @@ def decode(docs: DataFrame, ids_col: str = "token_ids", model: str = MODEL, out_
     docs = docs.drop(out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Encoder(_read(name), 0.0)
+        decoder = _encoder(name, 0.0, 0)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                texts = [None if ids is None else decoder.decode(ids) for ids in part.column(ids_col).to_pylist()]
+                column = part.column(ids_col)
+                flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+                texts = [decoder.decode(flat[a:b].tolist()) if there else None for a, b, there in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out_col])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.StringType())]))
