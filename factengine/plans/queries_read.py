@@ -249,6 +249,19 @@ def export_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.export_documents(_documents(spark, sf_dir), facts, "v2")
 
 
+@query("SELECT 0::BIGINT AS missing, 0::BIGINT AS extra")
+def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts nested, written, read back and flattened again are the same facts."""
+    from factengine.sources.store import Store
+
+    facts = _facts(spark, sf_dir).withColumns({"quote": F.col("subject"), "line_ids": F.array(F.lit("p1l1")), "period_start": F.when(F.col("id") % 2 == 0, F.lit("2024-01-01").cast("date")), "period_end": F.lit("2024-12-31").cast("date"), "period_precision": F.lit("year")})
+    whole = F.col("period_start").isNotNull()
+    facts = facts.withColumns({c: F.when(whole, F.col(c)) for c in ("period_end", "period_precision")})
+    nested = facts.select(*(c for c in facts.columns if c not in ("page", "quote", "line_ids", "period_start", "period_end", "period_precision")), *read.nest_fact())
+    root = f"{spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix='factengine-')}/round-trip-{spark.sparkContext.applicationId}-{id(object())}"
+    return read.differences(facts, read.flatten_fact(Store(spark, root).write("facts", nested)))
+
+
 @query(f"WITH {_EDGES} SELECT id, prior_verdict IS NOT NULL AND id % 2 = 0 AS has_prior FROM e")
 def nest_prior_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prior pass only where both of its columns are set."""

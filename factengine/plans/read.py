@@ -156,6 +156,27 @@ def nest_fact() -> list[Column]:
     return [F.struct(F.col("page").alias("page"), F.col("quote").alias("quote"), F.col("line_ids").alias("lineIds")).alias("evidence"), F.when(whole, period).alias("period")]
 
 
+def flatten_fact(facts: DataFrame) -> DataFrame:
+    """The inverse of :func:`nest_fact`: evidence and period as flat columns; no period gives three nulls."""
+    e, p = F.col("evidence"), F.col("period")
+    flat = {"page": e["page"], "quote": e["quote"], "line_ids": e["lineIds"], "period_start": p["start"], "period_end": p["end"], "period_precision": p["precision"]}
+    return facts.withColumns(flat).drop("evidence", "period")
+
+
+def write_samples(documents: DataFrame, facts: DataFrame, edges: DataFrame, pages: DataFrame, version: str, folder: str) -> None:
+    """The export of the smallest ready document, the four cases, and each document's busiest page, as JSON under ``folder``."""
+    ready = documents.where("status = 'ready'").orderBy("page_count", "document_id").limit(1)
+    export_documents(ready, facts.join(ready.select("document_id"), "document_id", "left_semi"), version).select("json").write.mode("overwrite").text(f"{folder}/export")
+    showcase(edges, facts, pages, documents).write.mode("overwrite").json(f"{folder}/cases")
+    busiest_pages(facts).write.mode("overwrite").json(f"{folder}/pages")
+
+
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(missing, extra)``: rows of ``a`` that ``b`` lacks and the other way round, repeats counted; maps are not comparable."""
+    b = b.select(*a.columns)
+    return a.exceptAll(b).agg(F.count("*").alias("missing")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("extra")))  # single rows
+
+
 def export_documents(documents: DataFrame, facts: DataFrame, version: str) -> DataFrame:
     """``(document_id, json)``: one document per row with its published facts and its rejections, as JSON text."""
     current = current_documents(documents, version).select("document_id", "status")

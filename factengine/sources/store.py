@@ -70,6 +70,11 @@ def clear_pages(pages: DataFrame, document_id, start: int | None = None, stop: i
     return pages.where(~F.coalesce(gone, F.lit(False)))
 
 
+def append_log(events: DataFrame, folder: str) -> None:
+    """Structured log rows as one JSON object per line, by day."""
+    events.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").json(folder)
+
+
 class Store:
     """Named tables under one root; every write makes a new version of a table."""
 
