@@ -46,8 +46,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def merge_dropout_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with seeded merge-dropout."""
-    coded = merge_dropout.encode(docs.select("doc_id", "source", "text"))
+    """Token ids of every document, with seeded merge-dropout; copies of a document are varied one by one."""
+    coded = merge_dropout.encode(merge_dropout.numbered(docs.select("doc_id", "source", "text"), "copy"), copy_col="copy")
     return coded.select("doc_id", "source", F.size("token_ids").alias("n_tokens"), "token_ids")
 
 

@@ -1,17 +1,22 @@
 """Encoding and decoding with a merge-type SentencePiece vocabulary and seeded merge-dropout (operator 7).
 
-Merges run over an agenda, best piece first and leftmost among equals. A candidate that comes up is skipped if a hash
-of the seed, the text's variant, the merged piece and its place in the chunk falls below the dropout rate; it comes
-back only if a neighbour changes. So one text has one segmentation per seed, other seeds give others, and each decodes
-to the very text. With a rate of 0 the pieces are those of the library.
+Merges run over an agenda, best piece first and leftmost among equals. Every candidate that comes up is skipped with a
+probability of the dropout rate; it comes back only if a neighbour changes. The draws of a chunk are a stream of hashes
+of the seed, the document's key and the chunk's place in the text, so a word is split anew wherever it stands, and the
+same document, copy and seed give the same pieces again. Each decodes to the very text. With a rate of 0 the pieces are
+those of the library.
+
+The draws are the numbers of candidates between skips, which are geometric. What a chunk becomes depends only on which
+candidates of its agenda are skipped, so agendas are remembered by chunk and skips, which changes no result.
 
 No piece has a space mark behind another character or a line break, so merges never cross from one chunk (space marks,
-then other characters, or line breaks) to the next, and the chunks of a text are encoded alone and remembered.
+then other characters, or line breaks) to the next, and the chunks of a text are encoded alone.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,7 +25,7 @@ import pyarrow as pa
 import sentencepiece
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,18 +36,38 @@ MARK = "▁"
 #: Where the public vocabulary lies by default; a parameter everywhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = re.compile(r" *[^ \n]+| +|\n+")
-#: Chunks in each of the two generations that a worker remembers per seed, and the longest that is worth it; texts fall into
-#: so many variants per seed.
-REMEMBERED, LONGEST, VARIANTS = 300_000, 64, 2
+#: Agendas in each of the two generations that a worker remembers, and the longest chunk that is worth it.
+REMEMBERED, LONGEST = 200_000, 64
 #: Chunks of up to this length look for the best merge by scanning, longer ones by a heap.
 SCANNED = 48
 
 
-def skipped(key: int, rank: int, at: int, limit: int) -> bool:
-    """Whether the candidate of a piece and place is left out: 32 bits of a multiplicative hash under the limit."""
-    x = (key ^ (rank * 0x9E3779B97F4A7C15 + at * 0xC2B2AE3D27D4EB4F)) & 0xFFFFFFFFFFFFFFFF
-    x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-    return (x >> 32) < limit
+#: The number of a candidate that never comes up, and the steps of places and of draws.
+FAR, PLACE, DRAW, WORD = 1 << 62, 0xC2B2AE3D27D4EB4F, 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def mixed(x):
+    """The 64-bit finaliser of splitmix, of a number below 2**64 or an array of unsigned ones."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & WORD
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & WORD
+    return x ^ (x >> 31)
+
+
+class Skips:
+    """Counts the candidates that come up and tells which are skipped: those of the ascending numbers ``at``, then ``rest``."""
+
+    __slots__ = ("at", "n", "rest")
+
+    def __init__(self, rest: Iterator[int]):
+        self.n, self.rest = 0, rest
+        self.at = next(rest, FAR)
+
+    def __call__(self) -> bool:
+        hit = self.n == self.at
+        self.n += 1
+        if hit:
+            self.at = next(self.rest, FAR)
+        return hit
 
 
 class Encoder:
@@ -64,34 +89,52 @@ class Encoder:
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("a piece goes over the end of a word or line")
         self.of_byte = {i: b for b, i in enumerate(self.bytes)}
-        self.limit, self.seed = round(rate * 2**32), seed
-        self.young: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]
-        self.old: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]
+        self.rate, self.seed = rate, seed
+        self.log_kept = math.log1p(-rate) if 0 < rate < 1 else 0.0
+        # per chunk [ids, candidates, agendas by the next candidate skipped, agendas in all]
+        self.young: dict[str, list] = {}
+        self.old: dict[str, list] = {}
+        self.held = 0
         self.shown = [p.replace(MARK, " ") for p in self.pieces]
 
-    def _key(self, variant: int) -> int:
-        return xxhash.xxh64_intdigest(f"{self.seed}:{variant}".encode())
-
-    def _merge_scan(self, symbols: list[str], key: int) -> list[str]:
-        order, limit = self.order.get, self.limit
+    def _first_skips(self, key: int, n: int) -> tuple[list[int], np.ndarray]:
+        """Per chunk of a text the first candidate that is skipped, and the state of its stream of draws."""
+        base = xxhash.xxh64_intdigest(f"{self.seed}:{key}".encode())
+        states = mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(PLACE) + np.uint64(base))
+        if not 0 < self.rate < 1:
+            return [0 if self.rate else FAR] * n, states
+        u = ((mixed(states + np.uint64(DRAW)) >> np.uint64(11)) + 0.5) * 2.0**-53
+        return np.minimum(np.log(u) / self.log_kept, 2.0**60).astype(np.int64).tolist(), states
+
+    def _skips(self, first: int, state: int) -> Iterator[int]:
+        """All candidates that are skipped at a place, in order."""
+        at, x = first, state + DRAW
+        while True:
+            yield at
+            x += DRAW
+            at += 1
+            if self.rate < 1:
+                at += min(int(math.log(((mixed(x & WORD) >> 11) + 0.5) * 2.0**-53) / self.log_kept), 1 << 60)
+
+    def _merge_scan(self, symbols: list[str], skip: Skips) -> list[str]:
+        order = self.order.get
         far, n = len(self.order), len(symbols)
-        starts = list(range(n))
         rank = [order(symbols[i] + symbols[i + 1], far) for i in range(n - 1)]
         while rank and (best := min(rank)) != far:
             i = rank.index(best)
-            if limit and skipped(key, best, starts[i], limit):
+            if skip():
                 rank[i] = far
                 continue
             merged = symbols[i] + symbols[i + 1]
             symbols[i] = merged
-            del symbols[i + 1], starts[i + 1], rank[i]
+            del symbols[i + 1], rank[i]
             if i < len(rank):
                 rank[i] = order(merged + symbols[i + 1], far)
             if i:
                 rank[i - 1] = order(symbols[i - 1] + merged, far)
         return symbols
 
-    def _merge_heap(self, symbols: list[str], key: int) -> list[str]:
+    def _merge_heap(self, symbols: list[str], skip: Skips) -> list[str]:
         order, n = self.order, len(symbols)
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
         agenda: list[tuple[int, int, str, str]] = []
@@ -106,7 +149,7 @@ class Encoder:
         while agenda:
             rank, i, left, right = heapq.heappop(agenda)
             j = after[i]
-            if j < 0 or symbols[i] != left or symbols[j] != right or self.limit and skipped(key, rank, i, self.limit):
+            if j < 0 or symbols[i] != left or symbols[j] != right or skip():
                 continue
             symbols[i] += right
             symbols[j] = ""
@@ -118,11 +161,11 @@ class Encoder:
             add(i)
         return [s for s in symbols if s]
 
-    def _chunk(self, chunk: str, variant: int) -> tuple[int, ...]:
+    def _chunk(self, chunk: str, skip: Skips) -> tuple[int, ...]:
         if MARK in chunk:
-            return self._with_marks(chunk, variant)
+            return self._with_marks(chunk, skip)
         symbols = [MARK if c == " " else c for c in chunk]
-        merged = (self._merge_scan if len(symbols) <= SCANNED else self._merge_heap)(symbols, self._key(variant))
+        merged = (self._merge_scan if len(symbols) <= SCANNED else self._merge_heap)(symbols, skip)
         out: list[int] = []
         for s in merged:
             i = self.ids.get(s)
@@ -132,31 +175,69 @@ class Encoder:
                 out += [self.bytes[b] for b in s.encode("utf-8", "surrogatepass")]
         return tuple(out)
 
-    def _with_marks(self, chunk: str, variant: int) -> tuple[int, ...]:
+    def _with_marks(self, chunk: str, skip: Skips) -> tuple[int, ...]:
         """A chunk that holds the mark itself: the parts between are encoded, the mark is spelt in bytes."""
         out: list[int] = []
         for i, part in enumerate(chunk.split(MARK)):
             if i:
                 out += [self.bytes[b] for b in MARK.encode()]
             if part:
-                out += self._chunk(part, variant)
+                out += self._chunk(part, skip)
         return tuple(out)
 
-    def encode(self, text: str, variant: int = 0) -> list[int]:
-        """Token ids of a whole text; an empty text has none."""
+    def _agenda(self, chunk: str, skips: list[int]) -> list:
+        """The ids of a chunk of which some candidates are skipped, how many candidates come up, and room for agendas
+        with further skips."""
+        skip = Skips(iter(skips))
+        ids = self._chunk(chunk, skip)
+        self.held += 1
+        return [ids, skip.n, {}, 1]
+
+    def _remembered(self, chunk: str) -> list:
+        """The agenda of a chunk without skips, from the older generation or new."""
+        if self.held >= REMEMBERED:
+            self.old, self.young, self.held = self.young, {}, 0
+        root = self.old.pop(chunk, None)
+        if root is None:
+            root = self._agenda(chunk, [])
+        else:
+            self.held += root[3]
+        self.young[chunk] = root
+        return root
+
+    def _varied(self, chunk: str, root: list, first: int, state: int) -> tuple[int, ...]:
+        """The ids of a chunk at a place where candidate ``first`` and perhaps others are skipped."""
+        node, done = root, []
+        for at in self._skips(first, state):
+            if at >= node[1]:
+                break
+            done.append(at)
+            below = node[2]
+            node = below.get(at)
+            if node is None:
+                node = below[at] = self._agenda(chunk, done)
+                root[3] += 1
+        return node[0]
+
+    def encode(self, text: str, key: int = 0) -> list[int]:
+        """Token ids of a whole text; an empty text has none. ``key`` stands for the document and its copy."""
         if not text:
             return []
-        young, old, out = self.young[variant % VARIANTS], self.old[variant % VARIANTS], []
-        for chunk in CHUNK.findall(" " + text):
-            ids = young.get(chunk)
-            if ids is None:
-                ids = old.get(chunk) or self._chunk(chunk, variant % VARIANTS)
-                if len(chunk) <= LONGEST:
-                    if len(young) >= REMEMBERED // VARIANTS:
-                        self.old[variant % VARIANTS], self.young[variant % VARIANTS] = young, {}
-                        young, old = self.young[variant % VARIANTS], young
-                    young[chunk] = ids
-            out += ids
+        young, out = self.young, []
+        chunks = CHUNK.findall(" " + text)
+        firsts, states = self._first_skips(key, len(chunks))
+        for place, chunk in enumerate(chunks):
+            root = young.get(chunk)
+            if root is None:
+                if len(chunk) > LONGEST:
+                    out += self._chunk(chunk, Skips(self._skips(firsts[place], int(states[place]))))
+                    continue
+                root = self._remembered(chunk)
+                young = self.young
+            if firsts[place] >= root[1]:
+                out += root[0]
+            else:
+                out += self._varied(chunk, root, firsts[place], int(states[place]))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -198,24 +279,31 @@ def _encoder(name: str, rate: float, seed: int) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rate: float = 0.1, seed: int = 1, model: str = MODEL, out_col: str = "token_ids") -> DataFrame:
+def numbered(docs: DataFrame, out_col: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with ``out_col``, the number of a row among those of equal id and text, from 1."""
+    same = Window.partitionBy(F.col(id_col), F.xxhash64(F.col(text_col))).orderBy(F.col(text_col))
+    return docs.withColumn(out_col, F.row_number().over(same))
+
+
+def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rate: float = 0.1, seed: int = 1, model: str = MODEL, out_col: str = "token_ids", copy_col: str | None = None) -> DataFrame:
     """``docs`` with ``out_col``, the token ids of each whole text; null for null, none for an empty text.
 
-    The variant of a text is a hash of its id, so repeated rows have equal ids. A column named ``out_col`` is replaced;
-    other columns stay as they are. No shuffle.
+    The draws depend on a row's id, text and, if ``copy_col`` is given, its copy (see :func:`numbered`); without it rows
+    that repeat an id and a text have equal ids. A column named ``out_col`` is replaced; other columns stay as they are.
+    No shuffle.
     """
     name = ship_model(docs, model)
     docs = docs.drop(out_col)
-    variant = free_name(docs.columns, "__spm_variant")
-    rows = docs.withColumn(variant, F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed)), F.lit(VARIANTS)).cast("int"))
+    key = free_name(docs.columns, "__spm_key")
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col), F.col(copy_col) if copy_col else F.lit(1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name, rate, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = [None if t is None else np.array(encoder.encode(t, v), dtype=np.int32) for t, v in zip(part.column(text_col).to_pylist(), part.column(variant).to_pylist(), strict=True)]
-                kept = [c for c in part.schema.names if c != variant]
+                ids = [None if t is None else np.array(encoder.encode(t, k), dtype=np.int32) for t, k in zip(part.column(text_col).to_pylist(), part.column(key).to_pylist(), strict=True)]
+                kept = [c for c in part.schema.names if c != key]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(ids, pa.list_(pa.int32()))], [*kept, out_col])
 
     return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))

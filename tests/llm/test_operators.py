@@ -239,6 +239,31 @@ def test_dropout_varies_and_decodes(model):
     assert one.decode(one.encode(long_chunk)) == long_chunk
 
 
+def test_dropout_is_drawn_per_document_and_place(model, monkeypatch):
+    whole, one = merge_dropout.Encoder(model, 0.0), merge_dropout.Encoder(model, 0.1, 1)
+    word = " statisticians"
+    plain = whole.encode(word[1:])
+    rng, coin, seen = random.Random(5), Counter(), Counter()
+    for _ in range(4000):
+        coin[whole._chunk(word, lambda: rng.random() < 0.1)] += 1
+    for key in range(40):
+        ids = one.encode((word * 100)[1:], key)
+        shown = [one.pieces[i] for i in ids]
+        starts = [n for n, p in enumerate(shown) if p.startswith(merge_dropout.MARK)] + [len(ids)]
+        seen.update(tuple(ids[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True))
+    # one word has many splits, as often as by a coin for every candidate
+    assert sum(seen.values()) == 4000 and len(seen) > 20 and tuple(plain) in seen
+    assert all(abs(seen[x] - coin[x]) < 160 for x in seen | coin)
+    # what is remembered changes nothing
+    text = "the international community of statisticians met in Ljubljana " * 30 + "x" * 200
+    kept = [one.encode(text, k) for k in range(5)]
+    monkeypatch.setattr(merge_dropout, "REMEMBERED", 3)
+    assert [merge_dropout.Encoder(model, 0.1, 1).encode(text, k) for k in reversed(range(5))] == kept[::-1]
+    monkeypatch.setattr(merge_dropout, "LONGEST", 0)
+    assert [merge_dropout.Encoder(model, 0.1, 1).encode(text, k) for k in range(5)] == kept
+    assert len({tuple(x) for x in kept}) == 5
+
+
 def test_encode_decode_rows(spark):
     rows = [(1, None, "k"), (2, "", "k"), (3, "a b " * 30000, "k"), (3, "a b " * 30000, "k"), (None, "x\ty", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, token_ids string")

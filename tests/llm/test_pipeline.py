@@ -42,3 +42,11 @@ def test_repeated_rows_stay_once(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.ngram_jaccard(spark, df, "")
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, rows[0][1]), (1, rows[2][1]), (None, rows[4][1]), (3, None)], key=str)
+
+
+def test_copies_are_split_each_in_its_own_way(spark):
+    df = spark.createDataFrame([(1, "several international statisticians " * 20, "s")] * 4 + [(2, None, "s")], "doc_id long, text string, source string")
+    out = corpus_pipeline.merge_dropout_tokens(spark, df, "").collect()
+    assert len({tuple(r.token_ids) for r in out if r.doc_id == 1}) == 4 and len(out) == 5
+    again = corpus_pipeline.merge_dropout_tokens(spark, df.repartition(3), "").collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
