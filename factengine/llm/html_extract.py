@@ -220,6 +220,14 @@ def preorder(fold: Fold) -> Iterator[Fold]:
         yield from preorder(child)
 
 
+def inside(fold: Fold, own: set[int], held: bool = False) -> Iterator[bool]:
+    """Per node in preorder, whether it is a content root, of which ``own`` has the ids, or lies below one."""
+    held = held or any(id(d) in own for d in fold.doms)
+    yield held
+    for child in fold.children:
+        yield from inside(child, own, held)
+
+
 def text_below(doms: list[Node]) -> tuple[str, int]:
     """The raw text below some elements and how much of it is inside links."""
     parts, linked = [], 0
@@ -259,11 +267,12 @@ def extract(page: str, reference: tuple | None = None, dropped: frozenset = froz
     """The main text of a page; ``dropped`` are the preorder numbers of the reference's template and menu nodes."""
     document = parse(page)
     roots = content_roots(document)
+    own = {id(r) for r in roots if r is not document}
     skip: set[int] = set()
     if reference is not None and dropped:
         whole = Fold([document])
-        for node, at in zip(preorder(whole), align(whole.shape, reference), strict=True):
-            if at in dropped:
+        for node, at, held in zip(preorder(whole), align(whole.shape, reference), inside(whole, own), strict=True):
+            if at in dropped and not held:
                 skip.update(id(d) for d in node.doms)
     if roots == [document]:
         # without an article, blocks that are mostly links are menus
@@ -272,10 +281,9 @@ def extract(page: str, reference: tuple | None = None, dropped: frozenset = froz
                 text, linked = text_below(node.doms)
                 if linked > LINKS * max(1, len(text.strip())):
                     skip.update(id(d) for d in node.doms)
-    own = {id(r) for r in roots}
 
     def left_out(node: Node) -> bool:
-        if id(node) in own:
+        if node is document or id(node) in own:
             return False
         return id(node) in skip or node.chrome and not (node.name == "header" and roots != [document] and "." not in node.signature)
 
@@ -321,10 +329,11 @@ def induce(pages: DataFrame) -> DataFrame:
             for host, page, shape in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "shape")), strict=True):
                 if not page or shape is None:
                     continue
-                document = Fold([parse(page)])
+                root = parse(page)
+                document, own = Fold([root]), {id(r) for r in content_roots(root) if r is not root}
                 mark = hash64(page)
-                for node, at in zip(preorder(document), aligned(document.shape, shape), strict=True):
-                    if at > 0 and not any(d.chrome or is_article(d) or d.name in ("html", "body") for d in node.doms):
+                for node, at, held in zip(preorder(document), aligned(document.shape, shape), inside(document, own), strict=True):
+                    if at > 0 and not held and not any(d.chrome or is_article(d) or d.name in ("html", "body") for d in node.doms):
                         text, linked = text_below(node.doms)
                         if text.strip():
                             rows.append((host, at, hash64(text.strip()), mark, len(text), linked))
@@ -374,7 +383,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Two passes over the pages: one aligns them with their hosts' references and aggregates what each node shows, the
     other extracts. Null and empty HTML gives an empty text; pages without a host share one wrapper. Copies of a page
-    count once in a wrapper, and an article is never template, however often it recurs. Repeated rows get equal texts.
+    count once in a wrapper, and an article and what is in it are never template, however often they recur. Repeated rows get equal texts.
     Extra columns are ignored; an empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))

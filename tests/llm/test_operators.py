@@ -129,6 +129,18 @@ def test_wrappers_drop_what_pages_share(spark):
     assert extract_pages(df).count() == len(rows) and extract_pages(df.limit(0)).collect() == []
 
 
+def test_articles_are_never_template(spark):
+    def page(i, article):
+        return f"<body><div class=k1><a href=/{i}>go {i}</a></div><article>{article}</article><div class=k2>Constant end</div></body>"
+
+    same = "<h1>One</h1><h2>Ingredients</h2><p>Body</p><ul><li><a href=/a>Linked item</a></li></ul>"
+    rows = [(i, "http://same.host/x", page(i, same)) for i in range(12)]
+    rows += [(100 + i, "http://cook.book/x", page(i, f"<h1>Dish {i}</h1><h2>Ingredients</h2><p>Step {i}</p>")) for i in range(12)]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(12)} == {"One\nIngredients\nBody\nLinked item"}
+    assert all(got[100 + i] == f"Dish {i}\nIngredients\nStep {i}" for i in range(12))
+
+
 def test_extraction_of_test_pages(spark):
     import html
     import re
