@@ -2,7 +2,9 @@
 
 Two zstandard dictionaries are built from labelled texts, one from good and one from bad ones. A text's feature is the
 difference of its compressed sizes under the two, over its own size; a logistic curve fitted on labelled texts turns
-features into a probability. Labels only reach the model through a bounded sample; every text is compressed whole.
+features into a probability. Labels only reach the model through a bounded sample. Every text is compressed in pieces of
+one size that together are all of it, so the end of a long text is held against the dictionaries as its head is, and not
+against the text itself.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 SAMPLE_PER_CLASS, DICTIONARY_BYTES = 2000, 262_144
 #: zstandard's level, and the most of one sampled text that goes into a dictionary, so that many texts have a part in it.
 LEVEL, PIECE_BYTES = 3, 768
+#: Bytes of a piece that is compressed alone.
+SCORED_BYTES = 2000
 
 
 @dataclass(frozen=True)
@@ -71,9 +75,13 @@ class Compressor:
 
     def features(self, text: str | None) -> tuple[float, ...]:
         data = (text or "").encode("utf-8", "surrogatepass")
-        good, bad = (len(p.compress(data)) for p in self.packers)
-        size = len(data) + 32
-        d, c, s = (bad - good) / size, good / size, math.log(size) / 10
+        n = max(1, -(-len(data) // SCORED_BYTES))
+        ends = [len(data) * i // n for i in range(n + 1)]
+        pieces = [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        good, bad = (sum(len(p.compress(x)) for x in pieces) for p in self.packers)
+        # by the size of a piece, so that a text of many pieces lies where the curve was fitted
+        size = len(data) + 32 * n
+        d, c, s = (bad - good) / size, good / size, math.log(size / n) / 10
         return d, c, s, c * c, s * s, d * s, d * c, c * s
 
 

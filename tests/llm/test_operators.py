@@ -85,6 +85,19 @@ def test_quality_on_held_out_labels(spark):
     assert ranks / (len(good) * len(bad)) > 0.98
 
 
+def test_long_texts_are_scored_to_their_end(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = quality.train(docs, labels)
+    packer = quality.Compressor(model.good, model.bad)
+    held = docs.join(labels.where(quality.is_held_out(F.col("doc_id"))), "doc_id").where("text is not null").orderBy("doc_id").select("text", "quality").collect()
+    for y in (0, 1):
+        texts = [r.text for r in held if r.quality == y]
+        for n in (20, 100):
+            joined = ["\n".join((texts * 9)[i * 13 : i * 13 + n]) for i in range(6)]
+            scores = [quality.score_of(model.curve, packer.features(t)) for t in joined]
+            assert all((x >= 0.3) == bool(y) for x in scores), (y, n, scores)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "word " * 50000, "x"), (3, "word " * 50000, "x"), (None, "a", "x")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, quality int")
