@@ -3,12 +3,14 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 
 from factengine.llm import merge_dropout, quality
@@ -264,29 +266,63 @@ def test_dropout_varies_and_decodes(model):
     assert one.decode(one.encode(long_chunk)) == long_chunk
 
 
-def test_dropout_is_drawn_per_document_and_place(model, monkeypatch):
-    whole, one = merge_dropout.Encoder(model, 0.0), merge_dropout.Encoder(model, 0.1, 1)
-    word = " statisticians"
-    plain = whole.encode(word[1:])
-    rng, coin, seen = random.Random(5), Counter(), Counter()
-    for _ in range(4000):
-        coin[whole._chunk(word, lambda: rng.random() < 0.1)] += 1
+def naive_dropout(encoder, text, key):
+    """Merges one candidate at a time over plain strings, with the keyed hash written out."""
+    word = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & word
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & word
+        return x ^ x >> 31
+
+    base, out = xxhash.xxh64_intdigest(f"{encoder.seed}:{key}".encode()), []
+    for place, chunk in enumerate(re.findall(r" *[^ \n]+| +|\n+", " " + text), 1):
+        state, nth, skipped, fresh = mix(place * 0xC2B2AE3D27D4EB4F + base & word), 0, set(), 1000
+        symbols = [(i, merge_dropout.MARK if c == " " else "\ue000" if c == merge_dropout.MARK else c) for i, c in enumerate(chunk)]
+        while True:
+            found = [(encoder.order[x + y], k) for k, ((i, x), (j, y)) in enumerate(zip(symbols, symbols[1:])) if x + y in encoder.order and (i, j) not in skipped]
+            if not found:
+                break
+            k, nth = min(found)[1], nth + 1
+            if mix(state + nth * 0x9E3779B97F4A7C15 & word) / 2**64 < encoder.rate:
+                skipped.add((symbols[k][0], symbols[k + 1][0]))
+            else:
+                symbols[k : k + 2] = [(fresh, symbols[k][1] + symbols[k + 1][1])]
+                fresh += 1
+        for _, x in symbols:
+            out += [encoder.ids[x]] if x in encoder.ids else [encoder.bytes[b] for b in (merge_dropout.MARK if x == "\ue000" else x).encode()]
+    return out
+
+
+def test_dropout_equals_brute_force(model, monkeypatch):
+    rng = random.Random(9)
+    texts = ["several international statisticians", "a\n\n  b", "x" * 70, "the " * 80, "é🙂\x00 naïve", "▁ and ▁▁ marks"] + ["".join(rng.choice("etaoin shrdlu\n.é") for _ in range(rng.randrange(1, 200))) for _ in range(60)]
+    for rate in (0.1, 0.5, 1.0):
+        encoder = merge_dropout.Encoder(model, rate, 3)
+        want = [naive_dropout(encoder, t, k) for k, t in enumerate(texts)]
+        assert [x.tolist() for x in encoder.encode_many(texts, list(range(len(texts))))] == want
+        # long chunks, blocks of few rows and parts of long texts change nothing
+        monkeypatch.setattr(merge_dropout, "LONGEST", 4)
+        assert [encoder.encode(t, k) for k, t in enumerate(texts)] == want
+        monkeypatch.setattr(merge_dropout, "LONGEST", 63)
+        monkeypatch.setattr(merge_dropout, "CHARS", 20)
+        monkeypatch.setattr(merge_dropout, "ROWS", 3)
+        assert [encoder.encode(t, k) for k, t in enumerate(texts)] == want
+        monkeypatch.undo()
+
+
+def test_dropout_is_drawn_per_document_and_place(model):
+    one = merge_dropout.Encoder(model, 0.1, 1)
+    plain, word = merge_dropout.Encoder(model, 0.0).encode("statisticians"), " statisticians"
+    seen = Counter()
     for key in range(40):
         ids = one.encode((word * 100)[1:], key)
         shown = [one.pieces[i] for i in ids]
         starts = [n for n, p in enumerate(shown) if p.startswith(merge_dropout.MARK)] + [len(ids)]
         seen.update(tuple(ids[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True))
-    # one word has many splits, as often as by a coin for every candidate
     assert sum(seen.values()) == 4000 and len(seen) > 20 and tuple(plain) in seen
-    assert all(abs(seen[x] - coin[x]) < 160 for x in seen | coin)
-    # what is remembered changes nothing
-    text = "the international community of statisticians met in Ljubljana " * 30 + "x" * 200
-    kept = [one.encode(text, k) for k in range(5)]
-    monkeypatch.setattr(merge_dropout, "REMEMBERED", 3)
-    assert [merge_dropout.Encoder(model, 0.1, 1).encode(text, k) for k in reversed(range(5))] == kept[::-1]
-    monkeypatch.setattr(merge_dropout, "LONGEST", 0)
-    assert [merge_dropout.Encoder(model, 0.1, 1).encode(text, k) for k in range(5)] == kept
-    assert len({tuple(x) for x in kept}) == 5
+    text = "the international community of statisticians met in Ljubljana " * 30
+    assert len({tuple(one.encode(text, k)) for k in range(5)}) == 5
 
 
 def test_encode_decode_rows(spark):
