@@ -1,12 +1,16 @@
 """Verified links among the members of hash buckets, without a row for each pair.
 
-A *member* has an id, a weight (the number of equal rows it stands for) and a set of bucket codes. Two members are
-candidates if they share a code. Each candidate pair is compared once: in the bucket whose code is the least of those
-both have. Buckets with the same members are kept once. A bucket of more than ``block`` members is cut into blocks by
-a hash of the id, and each pair of blocks is one unit of work, so no task ever gathers a whole large bucket.
+A *member* is a class of equal rows. It has a number of its own (ids may repeat), the least id and the key of its rows, a
+weight (how many rows it stands for) and a set of bucket codes. Two members are candidates if they share a code. Each
+candidate pair is compared once: in the bucket whose code is the least of those both have. Buckets with the same members
+are kept once. A bucket of more than ``block`` members is cut into blocks by a hash of the member, and each pair of
+blocks is one unit of work, so no task ever gathers a whole large bucket.
 
 A unit yields, for each of its members with links, how many rows it links to and one edge towards the root of its tree
 in the unit; the rows made are in proportion to the members, not to the pairs.
+
+Members may also carry ``inner`` codes, one beside each code: of a bucket inside that bucket whose pairs are compared
+already. Pairs that share an inner code are left out, and so are buckets whose members all do.
 """
 
 from __future__ import annotations
@@ -19,20 +23,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factengine.llm.common import bounded, materialise
+from factengine.llm.components import components
 
-LINKS = "id long, n long, root long"
+#: Rows with a member: a part of its links, and an edge. Rows without: how many pairs have a similarity in a bin.
+LINKS = "m long, n long, root long, bin int, pairs long"
 #: Pairs whose code sets are compared at once.
 PAIRS_AT_ONCE = 1 << 16
 
 
+def numbered_members(classes: DataFrame, name: str) -> DataFrame:
+    """``classes`` as a written table with a number ``m`` of each row, which holds for all later reads."""
+    return materialise(classes.withColumn("m", F.monotonically_increasing_id()), name)
+
+
 def units(members: DataFrame, block: int) -> DataFrame:
-    """``(code, a, b, side, id)``: the members of each unit; ``a`` = ``b`` for pairs inside one block."""
-    placed = members.select("id", F.explode("codes").alias("code"))
-    buckets = placed.groupBy("code").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("s2")).where("n > 1")
+    """``(code, a, b, side, m)``: the members of each unit; ``a`` = ``b`` for pairs inside one block."""
+    marks = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("m")).alias("s1"), F.bit_xor(F.xxhash64("m", F.lit(7))).alias("s2")]
+    if "inner" in members.columns:
+        both = members.select("m", F.explode(F.arrays_zip("codes", "inner")).alias("at")).select("m", "at.codes", "at.inner")
+        placed = both.select("m", F.col("codes").alias("code"))
+        per = both.groupBy(F.col("codes").alias("code"), "inner").agg(*marks)
+        buckets = per.groupBy("code").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2")).where("n > most")
+    else:
+        placed = members.select("m", F.explode("codes").alias("code"))
+        buckets = placed.groupBy("code").agg(*marks).where("n > 1")
     kept = buckets.groupBy("n", "s1", "s2").agg(F.min("code").alias("code")).select("code", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    side = F.pmod(F.xxhash64("id", "code"), F.col("blocks")).cast("int")
+    side = F.pmod(F.xxhash64("m", "code"), F.col("blocks")).cast("int")
     dealt = placed.join(kept, "code").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("code", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "id")
+    return dealt.select("code", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "m")
 
 
 def _first_met(codes_a: np.ndarray, codes_b: np.ndarray, code: int) -> np.ndarray:
@@ -41,28 +59,37 @@ def _first_met(codes_a: np.ndarray, codes_b: np.ndarray, code: int) -> np.ndarra
     return ~((codes_a[:, :, None] == codes_b[:, None, :]) & low[:, :, None]).any(axis=(1, 2))
 
 
-def _unit_links(unit: tuple, rows: dict, similar: Callable) -> tuple[list, list, list]:
-    """Links of one unit; rows: columns as lists in the order of arrival."""
+def _stacked(rows: list, order: np.ndarray) -> np.ndarray:
+    """Code sets as rows of one array; shorter ones repeat their last code."""
+    codes = [np.array(rows[i], dtype=np.int64) for i in order]
+    width = max(len(c) for c in codes)
+    return np.stack([np.pad(c, (0, width - len(c)), mode="edge") for c in codes])
+
+
+def _unit_links(unit: tuple, rows: dict, similar: Callable, edges: np.ndarray) -> tuple[list, list, list, np.ndarray]:
+    """Links of one unit, and its pairs per bin of similarity; rows: columns as lists in the order of arrival."""
     code, a, b = unit
-    ids, weights = np.array(rows["id"], dtype=np.int64), np.array(rows["weight"], dtype=np.int64)
-    order = np.lexsort((ids, np.array(rows["side"])))
-    left, right = similar([rows["payload"][i] for i in order])  # pairs of positions, left < right
+    numbers, weights = np.array(rows["m"], dtype=np.int64), np.array(rows["weight"], dtype=np.int64)
+    order = np.lexsort((numbers, np.array(rows["side"])))
+    left, right, likeness = similar([rows["payload"][i] for i in order])  # pairs of positions, left < right
     if len(left) == 0:
-        return [], [], []
-    ids, weights = ids[order], weights[order]
+        return [], [], [], np.zeros(len(edges), dtype=np.int64)
+    numbers, weights = numbers[order], weights[order]
     sides = np.array(rows["side"])[order]
-    codes = [np.array(rows["codes"][i], dtype=np.int64) for i in order]
-    width = max(len(c) for c in codes)
-    codes = np.stack([np.pad(c, (0, width - len(c)), mode="edge") for c in codes])
+    codes = _stacked(rows["codes"], order)
+    inner = _stacked(rows["inner"], order) if "inner" in rows else None
     keep = np.ones(len(left), dtype=bool) if a == b else sides[left] != sides[right]
     for at in range(0, len(left), PAIRS_AT_ONCE):
         part = slice(at, at + PAIRS_AT_ONCE)
         keep[part] &= _first_met(codes[left[part]], codes[right[part]], code)
+        if inner is not None:
+            keep[part] &= ~(inner[left[part]] == inner[right[part]]).any(axis=1)
     left, right = left[keep], right[keep]
-    counts = np.zeros(len(ids), dtype=np.int64)
+    bins = np.bincount(np.searchsorted(edges, likeness[keep], side="right"), minlength=len(edges) + 1)[1:][: len(edges)]
+    counts = np.zeros(len(numbers), dtype=np.int64)
     np.add.at(counts, left, weights[right])
     np.add.at(counts, right, weights[left])
-    root = np.arange(len(ids))
+    root = np.arange(len(numbers))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -75,7 +102,7 @@ def _unit_links(unit: tuple, rows: dict, similar: Callable) -> tuple[list, list,
         if x != y:
             root[max(x, y)] = min(x, y)
     linked = np.flatnonzero(counts)
-    return ids[linked].tolist(), counts[linked].tolist(), [int(ids[find(i)]) for i in linked.tolist()]
+    return numbers[linked].tolist(), counts[linked].tolist(), [int(numbers[find(i)]) for i in linked.tolist()], bins
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], values: tuple[str, ...]) -> Iterator[tuple[tuple, dict]]:
@@ -102,32 +129,54 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], values: tu
         yield held, rows
 
 
-def links(members: DataFrame, payload: DataFrame, similar: Callable, block: int, on: list[str] | None = None) -> DataFrame:
-    """``(id, n, root)`` rows: parts of each member's number of links, and edges that span the links of a unit.
+def links(members: DataFrame, payload: DataFrame, similar: Callable, block: int, edges: tuple[float, ...] = ()) -> DataFrame:
+    """Rows of :data:`LINKS`: parts of each member's number of links, edges that span the links of a unit, and how many
+    pairs have a similarity from one of the ascending ``edges`` to the next (above the last: in its bin).
 
-    members: ``id long, weight long, codes array<long>``; payload: ``id long, payload``; both have the columns ``on``,
-    by which they are joined (``id`` alone unless ids may repeat). ``similar(payloads)`` returns
-    two arrays of positions, left < right, of the pairs that are alike.
+    members: ``m, id, key, weight, codes`` and perhaps ``inner``, codes and inner codes in the same order; payload:
+    ``id, key, payload``, by which a member finds the payload of its rows. ``similar(payloads)`` returns two arrays of
+    positions, left < right, of the pairs that are alike, and their similarities.
     """
     work = materialise(units(members, block), "units")
-    partners = work.select("id").distinct()
+    partners = work.select("m").distinct()
     if bounded(partners):
-        payload = payload.join(F.broadcast(partners), "id", "left_semi")
-        members = members.join(F.broadcast(partners), "id", "left_semi")
-    on = on or ["id"]
-    full = payload.groupBy(*on).agg(F.first("payload").alias("payload")).join(members.select(*on, "weight", "codes"), on)
+        members = members.join(F.broadcast(partners), "m", "left_semi")
+        payload = payload.join(F.broadcast(members.select("id").distinct()), "id", "left_semi")
+    own = [c for c in ("m", "weight", "codes", "inner") if c in members.columns]
+    full = payload.groupBy("id", "key").agg(F.first("payload").alias("payload")).join(members.select("id", "key", *own), ["id", "key"]).select(*own, "payload")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = work.join(full.select("id", "weight", "codes", "payload"), "id").repartition(parts, "code", "a", "b").sortWithinPartitions("code", "a", "b")
+    dealt = work.join(full, "m").repartition(parts, "code", "a", "b").sortWithinPartitions("code", "a", "b")
+    steps, values = np.array(edges, dtype=np.float64), ("side", "payload", *own)
+
+    def batch_of(found: tuple[list, list, list], bins: np.ndarray) -> pa.RecordBatch:
+        n, k = len(found[0]), np.flatnonzero(bins)
+        none = [None] * len(k)
+        columns = [*([*x, *none] for x in found), [None] * n + k.tolist(), [None] * n + bins[k].tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if c == "bin" else pa.int64()) for c, x in zip(("m", "n", "root", "bin", "pairs"), columns, strict=True)], ["m", "n", "root", "bin", "pairs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, list, list] = ([], [], [])
-        for unit, rows in grouped(batches, ("code", "a", "b"), ("side", "id", "weight", "codes", "payload")):
-            for whole, part in zip(out, _unit_links(unit, rows, similar), strict=True):
+        out, bins = ([], [], []), np.zeros(len(steps), dtype=np.int64)
+        for unit, rows in grouped(batches, ("code", "a", "b"), values):
+            *found, seen = _unit_links(unit, rows, similar, steps)
+            bins += seen
+            for whole, part in zip(out, found, strict=True):
                 whole += part
             if len(out[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["id", "n", "root"])
-                out = ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["id", "n", "root"])
+                yield batch_of(out, bins)
+                out, bins = ([], [], []), np.zeros(len(steps), dtype=np.int64)
+        yield batch_of(out, bins)
 
     return dealt.mapInArrow(run, LINKS)
 
+
+def per_class(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``(key, class_id, weight, n, component_id, first)`` per member: rows linked to in other classes, the least id of its
+    component, and whether it is its component's one representative, the class of least id and then key."""
+    counts = found.where("m is not null").groupBy("m").agg(F.sum("n").alias("n"))
+    parts = components(found.where("m is not null").select(F.col("m").alias("u"), F.col("root").alias("v")))
+    named = parts.withColumnRenamed("node", "m").join(members.select("m", "id", "key"), "m")
+    heads = named.groupBy("component").agg(F.min(F.struct("id", "key")).alias("head"))
+    placed = named.select("m", "component").join(heads, "component").select("m", "head")
+    out = members.select("m", "id", "key", "weight").join(counts, "m", "left").join(placed, "m", "left")
+    own = F.struct("id", "key")
+    return out.select("key", F.col("id").alias("class_id"), "weight", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("head.id"), F.col("id")).alias("component_id"), F.coalesce(F.col("head") == own, F.lit(True)).alias("first"))

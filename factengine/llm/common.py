@@ -38,8 +38,8 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; stops counting beyond."""
-    return df.limit(limit + 1).count() <= limit
+    """Whether ``df`` has at most ``limit`` rows, by a count that each task sums up for itself."""
+    return df.count() <= limit
 
 
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -15,9 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factengine.llm.buckets import links
+from factengine.llm.buckets import links, numbered_members, per_class
 from factengine.llm.common import materialise
-from factengine.llm.components import components
 from factengine.llm.shingles import constants, mix
 
 
@@ -70,28 +69,32 @@ def polytope_codes(x: np.ndarray, labels: np.ndarray, tables: int, width: int, p
     return np.stack(out, axis=1).view(np.int64)
 
 
-def cosine_pairs(vectors: list, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions left < right of the pairs with at least this cosine, in double precision."""
+def cosine_pairs(vectors: list, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions left < right of the pairs with at least this cosine, in double precision, and the cosines."""
     x = np.array(vectors, dtype=np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    left, right, step = [], [], max(64, (1 << 22) // len(x))
+    left, right, cosine, step = [], [], [], max(64, (1 << 22) // len(x))
     for at in range(0, len(x), step):
-        i, j = np.nonzero(np.triu(x[at : at + step] @ x.T >= threshold, at + 1))
+        dots = x[at : at + step] @ x.T
+        i, j = np.nonzero(np.triu(dots >= threshold, at + 1))
         left.append(i + at)
         right.append(j)
-    return np.concatenate(left), np.concatenate(right)
+        cosine.append(dots[i, j])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(cosine)
 
 
 def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, tables: int = 8, width: int = 2, probes: int = 1, block: int = 1024) -> DataFrame:
     """Links between vectors of equal labels whose cosine reaches the threshold.
 
-    Returns ``id_col, class_id, n_links, component_id, kept`` per row: the least id with an equal vector and label, the
-    number of other rows linked to directly, the least id reachable by links, and whether the row is that one.
+    Returns ``id_col, class_id, n_links, component_id, kept, first`` per row: the least id with an equal vector and label,
+    the number of other rows linked to directly, the least id reachable by links, whether the row's id is that one, and
+    whether its class is the only one of its component for which ``first`` is true.
 
     Equal vectors are one member with a weight, however many they are. Null, zero, empty or non-finite vectors, null
     labels and null ids link with nothing; such a row is its own component. Vectors of different lengths are never
-    compared. Rows that repeat an id share one vertex. Extra columns are ignored; an empty table gives no rows.
+    compared. Rows are what is linked and counted, whether or not their ids repeat. Extra columns are ignored; an empty
+    table gives no rows.
     """
     vectors = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("long").alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -112,11 +115,9 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
                     codes[i] = np.unique(code)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "weight", "payload")), pa.array(codes, pa.list_(pa.int64()))], ["key", "id", "weight", "payload", "codes"])
 
-    classes = materialise(good.mapInArrow(sign, "key string, id long, weight long, payload array<double>, codes array<long>"), "vectors")
-    found = materialise(links(classes.drop("payload"), classes.select("id", "key", "payload"), lambda v: cosine_pairs(v, threshold), block, ["id", "key"]), "links")
-    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    parts = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    per_class = classes.select("key", F.col("id").alias("class_id"), "weight").join(counts.withColumnRenamed("id", "class_id"), "class_id", "left").join(parts.withColumnRenamed("node", "class_id"), "class_id", "left")
-    out = vectors.select("id", "key").join(per_class, "key", "left")
-    component = F.coalesce("component", "class_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce(F.col("weight") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    classes = numbered_members(good.mapInArrow(sign, "key string, id long, weight long, payload array<double>, codes array<long>"), "vectors")
+    found = materialise(links(classes.drop("payload"), classes.select("id", "key", "payload"), lambda v: cosine_pairs(v, threshold), block), "links")
+    out = vectors.select("id", "key").join(per_class(classes, found), "key", "left")
+    component = F.coalesce("component_id", "id")
+    n_links = F.coalesce(F.col("weight") - 1 + F.col("n"), F.lit(0)).cast("long")
+    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), n_links.alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"), F.coalesce("first", F.lit(True)).alias("first"))

@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors of `embeddings`, per label, at a cosine of 0.98."""
-    return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings")).drop("first")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share at least 0.8 of their five-word shingles."""
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return ngram_jaccard_join(table(spark, sf_dir, "documents")).drop("key", "first")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

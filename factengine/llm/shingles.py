@@ -104,8 +104,9 @@ def shingles(texts: list[str | None], n: int = 5) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64), np.cumsum(np.concatenate(counts)) if counts else np.zeros(0, dtype=np.int64)
 
 
-def jaccard_pairs(texts: list[str], threshold: float, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Positions left < right of the pairs whose sets of shingles have a Jaccard similarity of at least ``threshold``.
+def jaccard_pairs(texts: list[str], threshold: float, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions left < right of the pairs whose sets of shingles have a Jaccard similarity of at least ``threshold``, and
+    the similarities.
 
     Overlaps are counted by products of 0/1 matrices over slices of the shingles that two texts or more share.
     """
@@ -115,8 +116,8 @@ def jaccard_pairs(texts: list[str], threshold: float, n: int = 5) -> tuple[np.nd
     if len(sets) == 2:
         same = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         union = int(sizes.sum()) - same
-        hit = bool(union) and same / union >= threshold
-        return (np.array([0]), np.array([1])) if hit else (np.zeros(0, int), np.zeros(0, int))
+        hit = int(bool(union) and same / union >= threshold)
+        return np.zeros(hit, int), np.ones(hit, int), np.full(hit, same / max(1, union))
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = seen[column] > 1
@@ -132,5 +133,6 @@ def jaccard_pairs(texts: list[str], threshold: float, n: int = 5) -> tuple[np.nd
         overlap += block @ block.T
     overlap = overlap.astype(np.float64)
     union = sizes[:, None] + sizes[None, :] - overlap
-    hit = np.triu((union > 0) & (overlap / np.maximum(union, 1) >= threshold), 1)
-    return np.nonzero(hit)
+    likeness = overlap / np.maximum(union, 1)
+    left, right = np.nonzero(np.triu((union > 0) & (likeness >= threshold), 1))
+    return left, right, likeness[left, right]

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from factengine.llm.embedding_dedup import embedding_near_dedup
-from factengine.llm.jaccard_join import ngram_jaccard_join, working_depth
+from factengine.llm.jaccard_join import chance, least_depth, next_depth, ngram_jaccard_join
 from factengine.llm.shingles import shingles
 
 SF = "/root/testdata/sf0.01"
@@ -53,8 +53,60 @@ def test_shingle_sets_are_exact():
 
 
 def test_depth_meets_recall():
-    assert working_depth(0.8, 16, 8, 0.9995) == 4
-    assert 1 - (1 - 0.8**4) ** 16 >= 0.9995
+    assert least_depth(0.8, 16, 6, 0.9995) == 4 and chance(0.8, 4, 16) >= 0.9995 > chance(0.8, 5, 16)
+    # no pair close to the threshold: the longest prefix does; many: it is shortened
+    assert next_depth({0.8: 0}, 6, 4, 16, 0.9995) == 6
+    assert next_depth({0.8: 100}, 6, 4, 16, 0.9995) == 4
+    assert next_depth({0.845: 100}, 6, 4, 16, 0.9995) == 5
+    assert next_depth({0.8: 1, 0.845: 100}, 6, 4, 16, 0.9995) == 5
+
+
+def by_row(rows, key):
+    return sorted((str(key(r)) for r in rows))
+
+
+def brute_rows(n, ids, alike):
+    """Rows, not ids, are linked: per row its number of links and the least id reachable."""
+    links = [(i, j) for i in range(n) for j in range(i) if alike(i, j)]
+    part = least_reachable(range(n), links)
+    count = [0] * n
+    for a, b in links:
+        count[a] += 1
+        count[b] += 1
+    return [(ids[i], count[i], min(ids[j] for j in range(n) if part[j] == part[i])) for i in range(n)]
+
+
+def test_repeated_ids_are_rows(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[:-1], f"x{i}"]) for i in range(4)] + ["other text of some six words", "other text of some six words"]
+    ids = [1, 1, 2, 1, 3, 2]
+    sets = word_sets(texts)
+    want = brute_rows(6, ids, lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = ngram_jaccard_join(df).collect()
+    assert by_row(got, lambda r: (r.doc_id, r.n_links, r.component_id)) == by_row(want, tuple)
+    assert len({(r.doc_id, r.key) for r in got if r.first and r.doc_id == r.class_id}) == 2
+    vectors = [[1.0, 0.01 * i, 0.0] for i in range(4)] + [[0.0, 0.0, 1.0]] * 2
+    df = spark.createDataFrame([(i, v, 1) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>, label int")
+    want = brute_rows(6, ids, lambda i, j: (i < 4) == (j < 4))
+    assert by_row(embedding_near_dedup(df).collect(), lambda r: (r.vec_id, r.n_links, r.component_id)) == by_row(want, tuple)
+
+
+def test_prefixes_are_shortened_until_all_pairs_are_found(spark):
+    rng = random.Random(8)
+    rows = []
+    for group in range(60):
+        base = [f"g{group}w{i}" for i in range(105)]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(3):  # two words apart: close to the threshold
+            words = list(base)
+            for at in (rng.randrange(5, 50), rng.randrange(55, 100)):
+                words[at] = f"v{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_jaccard(rows)
+    assert any(n for n, _ in want.values())
+    assert {r.doc_id: (r.n_links, r.component_id) for r in ngram_jaccard_join(df, block=16).collect()} == want
 
 
 def test_join_equals_brute_force_on_documents(spark):

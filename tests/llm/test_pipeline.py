@@ -38,7 +38,7 @@ def test_stages_and_whole_run(spark):
 
 
 def test_repeated_rows_stay_once(spark, tmp_path):
-    rows = [(1, "a b c d e f g", "en", "s", 1), (1, "a b c d e f g", "en", "s", 1), (1, "other words of this very id", "en", "s", 1), (2, "a b c d e f g", "en", "s", 1), (None, "a b c d e f g", "en", "s", 1), (3, None, "en", "s", 1)]
+    rows = [(1, "a b c d e f g", "en", "s", 1), (1, "a b c d e f g", "en", "s", 1), (1, "other words of this very id", "en", "s", 1), (2, "a b c d e f g", "en", "s", 1), (None, "a b c d e f g", "en", "s", 1), (3, None, "en", "s", 1), (1, "a b c d e f g", "de", "t", 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.ngram_jaccard(spark, df, "")
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, rows[0][1]), (1, rows[2][1]), (None, rows[4][1]), (3, None)], key=str)
