@@ -27,17 +27,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least id, of each group linked by a similarity of 0.8; rows that repeat an id and a text
-    stay once. Rows with a null id have no links and stay."""
+    """One document of each group linked by a similarity of 0.8, that of least id; rows that repeat its id and text stay
+    once. Rows with a null id or a text without words have no links and stay. An empty table gives no rows."""
     found = materialise(ngram_jaccard_join(docs), "joined")
-    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(checked_broadcast(dropped), "doc_id", "left_anti").select(*docs.columns)
-    repeated = materialise(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    id_, key = free_name(docs.columns, "__id"), free_name(docs.columns, "__key")
+    gone = found.where("doc_id is not null and key is not null and not (first and doc_id = class_id)").select(F.col("doc_id").alias(id_), F.col("key").alias(key)).distinct()
+    same = (F.col("doc_id") == F.col(id_)) & (F.md5("text") == F.col(key))
+    kept = docs.join(checked_broadcast(gone), same, "left_anti")
+    repeated = found.where("first and doc_id = class_id and n_links > 0").groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias(id_), F.col("key").alias(key))
+    repeated = materialise(repeated, "repeated")
     if repeated.isEmpty():
         return kept
     repeated = checked_broadcast(repeated)
-    again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again.dropDuplicates(["doc_id", "text"]))
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
