@@ -1,24 +1,30 @@
 """Main text of web pages by wrapper induction (operator 4).
 
-Every page becomes a DOM tree whose equal neighbours are folded into one repeated node. The pages of a host are aligned
-with the host's reference tree by simple tree matching, and for each reference node the pages that match it and the
-distinct texts they have there are aggregated. Nodes whose text is the same on the pages are the template; the others
-are slots. A page's text is that of its slots and unmatched nodes, less the parts whose roles are never content.
+Every page becomes a DOM tree in which rows of equal neighbours are folded into one repeated node. The pages of a host are aligned
+with the host's reference tree by simple tree matching, and for each node the pages that have it and the distinct texts
+they show there are aggregated. A node that the reference lacks is aggregated under its path, so every layout of a host
+has its statistics. Nodes whose text is the same on the pages, rotates among few texts or is mostly links are the
+template; the others are slots. A page's text is that of its slots, less the parts whose roles are never content.
+
+Elements marked as articles are the content only as long as the alignment agrees: if the varying text of the host's
+pages lies mostly outside of them, they are treated like any other element.
 """
 
 from __future__ import annotations
 
 import html
 import json
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factengine.llm.common import bounded, materialise
+from factengine.llm.common import materialise
 
 # Fixed values of HTML: elements without an end tag, elements whose text is not shown, elements that break a line, end
 # tags that may be left out (an element closes the open ones of its set), and roles that are never an article's text.
@@ -39,12 +45,13 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element: its signature for matching, its role, and its children, elements and texts in order."""
+    """An element: its signature for matching, its role, and its children, elements and texts in order; once measured, the
+    block elements right below it, and where its text and the linked part of its text begin and end."""
 
-    __slots__ = ("chrome", "items", "name", "signature")
+    __slots__ = ("chrome", "items", "kids", "linked", "name", "signature", "span")
 
     def __init__(self, name: str, attributes: str = ""):
-        self.name, self.items = name, []
+        self.name, self.items, self.kids, self.span, self.linked = name, [], [], (0, 0), 0
         named = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
         kind = " ".join(filter(None, (named.get("class"), named.get("id"))))
         self.signature = f"{name}.{kind}" if kind else name
@@ -132,115 +139,218 @@ def blocks(node: Node, skip) -> list[str]:
 
 # --- wrapper induction -------------------------------------------------------------------------------------------------
 
-#: Levels of a page that are aligned, child pairs up to which two lists of children are matched by dynamic programming
-#: (longer lists by one pass in order), pages that must agree before a constant node is template, the share of distinct
-#: texts below which a slot counts as rotating template, and the share of link text that makes a slot a menu.
-LEVELS, CELLS, SUPPORT, ROTATING, LINKS = 12, 250_000, 3, 0.1, 0.5
+#: Pages that must agree before a constant node is template, the share of distinct texts below which a slot counts as
+#: rotating template, and the share of link text that makes a slot a menu.
+SUPPORT, ROTATING, LINKS = 3, 0.1, 0.5
+#: Bytes of a wrapper table up to which it is broadcast, and shapes and alignments that a worker remembers.
+BROADCAST_BYTES, REMEMBERED = 32 << 20, 100_000
+#: Elements that stand in rows; others are folded only if they have a class or id, since a bare div may be anything.
+REPEATED = frozenset("p li tr td th dt dd option br hr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def measure(root: Node) -> str:
+    """The raw text of a page, outside elements whose text is not shown; sets every element's span, number of linked
+    characters and block elements, which inline elements don't hide."""
+    parts: list[str] = []
+    at = linked = 0
+    todo: list = [(root, root, False, False)]
+    while todo:
+        item, block, link, done = todo.pop()
+        if item.__class__ is str:
+            parts.append(item)
+            at += len(item)
+            linked += len(item) * link
+        elif done:
+            item.span, item.linked = (item.span[0], at), linked - item.linked
+        elif item.name not in RAW:
+            item.span, item.linked = (at, at), linked
+            if item is not root and item.name in BLOCK:
+                block.kids.append(item)
+                block = item
+            link = link or item.name == "a"
+            todo.append((item, block, link, True))
+            todo += [(x, block, link, False) for x in reversed(item.items)]
+    return "".join(parts)
 
 
 class Fold:
-    """A tree node after runs of neighbours with one signature are folded; ``doms`` are the elements it stands for."""
-
-    __slots__ = ("children", "doms", "shape")
-
-    def __init__(self, doms: list[Node], level: int = 0):
-        self.doms, groups = doms, []
-        if level < LEVELS:
-            for child in (x for d in doms for x in d.items if x.__class__ is Node and x.name in BLOCK and x.name not in RAW):
-                if groups and groups[-1][0].signature == child.signature:
-                    groups[-1].append(child)
-                else:
-                    groups.append([child])
-        self.children = [Fold(g, level + 1) for g in groups]
-        self.shape = (doms[0].signature, tuple(c.shape for c in self.children))
-
-
-def match(a: tuple, b: tuple, memo: dict) -> int:
-    """Simple tree matching: the most nodes that two shapes with equal roots can share in order and level."""
-    key = (id(a), id(b))
-    if key not in memo:
-        memo[key] = (1, ()) if not a[1] or not b[1] else _match_children(a[1], b[1], memo)
-    return memo[key][0]
-
-
-def _match_children(left: tuple, right: tuple, memo: dict) -> tuple[int, tuple]:
-    if len(left) * len(right) > CELLS:
-        pairs, at = [], 0
-        for i, x in enumerate(left):
-            j = next((j for j in range(at, min(at + 64, len(right))) if right[j][0] == x[0]), None)
-            if j is not None:
-                pairs.append((i, j))
-                at = j + 1
-        return 1 + sum(match(left[i], right[j], memo) for i, j in pairs), tuple(pairs)
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i, x in enumerate(left):
-        for j, y in enumerate(right):
-            inner = match(x, y, memo) if x[0] == y[0] else 0
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + inner)
-    pairs, i, j = [], len(left), len(right)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-    return best[-1][-1] + 1, tuple(reversed(pairs))
-
-
-def align(page: tuple, reference: tuple) -> list[int]:
-    """Per node of the page's shape in preorder, the preorder number of the reference node it is matched with, or -1."""
-    memo: dict = {}
-    out: list[int] = []
-
-    def size(t: tuple) -> int:
-        return 1 + sum(size(c) for c in t[1])
-
-    def walk(a: tuple, b: tuple | None, at: int) -> None:
-        out.append(at if b is not None else -1)
-        partner: dict[int, tuple[tuple, int]] = {}
-        if b is not None and match(a, b, memo) > 1:
-            starts, n = [], at + 1
-            for child in b[1]:
-                starts.append(n)
-                n += size(child)
-            partner = {i: (b[1][j], starts[j]) for i, j in memo[id(a), id(b)][1]}
-        for i, child in enumerate(a[1]):
-            other, start = partner.get(i, (None, -1))
-            walk(child, other, start)
-
-    walk(page, reference, 0)
-    return out
+    """A tree node after rows of neighbours with one signature are folded; ``doms`` are the elements it stands for, ``path``
+    tells it from all other nodes of a page, and ``held`` whether it is or lies below a content root."""
 
+    __slots__ = ("children", "doms", "held", "path", "shape")
 
-def preorder(fold: Fold) -> Iterator[Fold]:
-    yield fold
-    for child in fold.children:
-        yield from preorder(child)
+    def __init__(self, doms: list[Node], path: int = 0, held: bool = False):
+        self.doms, self.path, self.held, self.shape = doms, path, held, 0
+        self.children: list[Fold] = []
 
+    def text(self, page: str) -> str:
+        return "".join(page[slice(*d.span)] for d in self.doms)
 
-def inside(fold: Fold, own: set[int], held: bool = False) -> Iterator[bool]:
-    """Per node in preorder, whether it is a content root, of which ``own`` has the ids, or lies below one."""
-    held = held or any(id(d) in own for d in fold.doms)
-    yield held
-    for child in fold.children:
-        yield from inside(child, own, held)
 
-
-def text_below(doms: list[Node]) -> tuple[str, int]:
-    """The raw text below some elements and how much of it is inside links."""
-    parts, linked = [], 0
-    todo: list = [(d, False) for d in reversed(doms)]
+def folded(root: Node, own: frozenset | set = frozenset(), paths: bool = False) -> list[Fold]:
+    """The folds of a measured page in preorder; ``own`` has the ids of the content roots."""
+    out: list[Fold] = []
+    todo = [Fold([root], 0, id(root) in own)]
     while todo:
-        item, link = todo.pop()
-        if item.__class__ is str:
-            parts.append(item)
-            linked += len(item) * link
-        elif item.name not in RAW:
-            link = link or item.name == "a"
-            todo += [(x, link) for x in reversed(item.items)]
-    return "".join(parts), linked
+        fold = todo.pop()
+        out.append(fold)
+        groups: list[list[Node]] = []
+        for child in (x for d in fold.doms for x in d.kids):
+            if groups and groups[-1][0].signature == child.signature and (child.name in REPEATED or "." in child.signature):
+                groups[-1].append(child)
+            else:
+                groups.append([child])
+        seen: dict[str, int] = {}
+        for group in groups:
+            name, path = group[0].signature, 0
+            if paths:
+                seen[name] = seen.get(name, 0) + 1
+                path = hash64(f"{fold.path}/{name}#{seen[name]}")
+            fold.children.append(Fold(group, path, fold.held or any(id(d) in own for d in group)))
+        todo += reversed(fold.children)
+    return out
+
+
+class Aligner:
+    """Simple tree matching of page trees with reference trees.
+
+    Shapes are numbered, so that equal subtrees are matched once; numbers, matches and alignments are remembered until
+    there are too many, which changes no result. Lists of children are matched by dynamic programming, a row at a time,
+    whatever their length; only every so manieth row is kept, and rows between are made again on the way back.
+    """
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[tuple, int] = {}
+        self.shapes: list[tuple[str, tuple[int, ...]]] = []
+        self.sizes: list[int] = []
+        self.matches: dict[tuple[int, int], tuple[int, tuple]] = {}
+        self.references: dict[str, int] = {}
+        self.done: dict[tuple[int, int], list[int]] = {}
+
+    def _numbered(self, name: str, children: tuple[int, ...]) -> int:
+        key = (name, children)
+        found = self.number.get(key)
+        if found is None:
+            found = self.number[key] = len(self.shapes)
+            self.shapes.append(key)
+            self.sizes.append(1 + sum(self.sizes[c] for c in children))
+        return found
+
+    def shape(self, folds: list[Fold]) -> int:
+        """The number of a tree's shape, from its folds in preorder."""
+        for fold in reversed(folds):
+            fold.shape = self._numbered(fold.doms[0].signature, tuple(c.shape for c in fold.children))
+        return folds[0].shape
+
+    def reference(self, text: str) -> int:
+        """The number of a shape given as JSON, ``[signature, children]`` in preorder."""
+        if text not in self.references:
+            done: list[int] = []
+            for name, n in reversed(json.loads(text)):
+                below = tuple(done.pop() for _ in range(n))
+                done.append(self._numbered(name, below))
+            self.references[text] = done[0]
+        return self.references[text]
+
+    def match(self, a: int, b: int) -> int:
+        """The most nodes that two shapes with equal roots can share in order and level."""
+        todo = [(a, b)]
+        while todo:
+            pair = todo[-1]
+            if pair in self.matches:
+                todo.pop()
+                continue
+            left, right = self.shapes[pair[0]][1], self.shapes[pair[1]][1]
+            if pair[0] == pair[1]:
+                self.matches[pair] = (self.sizes[pair[0]], tuple((i, i) for i in range(len(left))))
+                continue
+            by_name: dict[str, set[int]] = {}
+            for y in right:
+                by_name.setdefault(self.shapes[y][0], set()).add(y)
+            need = [(x, y) for x in set(left) for y in by_name.get(self.shapes[x][0], ()) if (x, y) not in self.matches]
+            if need:
+                todo += need
+                continue
+            self.matches[pair] = self._children(left, right, by_name)
+        return self.matches[a, b][0]
+
+    def _children(self, left: tuple, right: tuple, by_name: dict[str, set[int]]) -> tuple[int, tuple]:
+        """The weight of two nodes whose lists of children are matched in order, and the pairs of places."""
+        first, n, m = 0, len(left), len(right)
+        # equal children at either end can always be paired
+        while first < min(n, m) and left[first] == right[first]:
+            first += 1
+        while n > first and m > first and left[n - 1] == right[m - 1]:
+            n, m = n - 1, m - 1
+        pairs = [(i, i) for i in range(first)] + [(n + i, m + i) for i in range(len(left) - n)]
+        own, other = left[first:n], right[first:m]
+        if own and other:
+            kinds = sorted(set(other))
+            at = np.searchsorted(kinds, other)
+            weights = {x: np.array([self.matches[x, y][0] if y in by_name.get(self.shapes[x][0], ()) else 0 for y in kinds], dtype=np.int64)[at] for x in set(own)}
+
+            def further(row: np.ndarray, i: int) -> np.ndarray:
+                out = row.copy()
+                np.maximum(out[1:], row[:-1] + weights[own[i]], out=out[1:])
+                return np.maximum.accumulate(out)
+
+            step, row = max(1, math.isqrt(len(own))), np.zeros(len(other) + 1, dtype=np.int64)
+            saved = [row]
+            for i in range(len(own)):
+                row = further(row, i)
+                if (i + 1) % step == 0:
+                    saved.append(row)
+            i, j = len(own), len(other)
+            while i and j:
+                base = (i - 1) // step * step
+                rows = [saved[base // step]]
+                for k in range(base, i):
+                    rows.append(further(rows[-1], k))
+                while i > base and j:
+                    now, before = rows[i - base], rows[i - 1 - base]
+                    if now[j] == before[j]:
+                        i -= 1
+                    elif now[j] == now[j - 1]:
+                        j -= 1
+                    else:
+                        i, j = i - 1, j - 1
+                        pairs.append((first + i, first + j))
+        pairs.sort()
+        return 1 + sum(self.matches[left[i], right[j]][0] if left[i] != right[j] else self.sizes[left[i]] for i, j in pairs), tuple(pairs)
+
+    def align(self, page: int, reference: int) -> list[int]:
+        """Per node of the page's shape in preorder, the preorder number of the reference node it is matched with, or -1."""
+        key = (page, reference)
+        if key in self.done:
+            return self.done[key]
+        out: list[int] = []
+        todo: list[tuple[int, int, int]] = [(page, reference, 0)]
+        while todo:
+            a, b, at = todo.pop()
+            out.append(at)
+            partner: dict[int, tuple[int, int]] = {}
+            if at >= 0 and self.shapes[a][1] and self.shapes[b][1]:
+                self.match(a, b)
+                starts, n = [], at + 1
+                for child in self.shapes[b][1]:
+                    starts.append(n)
+                    n += self.sizes[child]
+                partner = {i: (self.shapes[b][1][j], starts[j]) for i, j in self.matches[a, b][1]}
+            below = [(child, *partner.get(i, (0, -1))) for i, child in enumerate(self.shapes[a][1])]
+            todo += reversed(below)
+        self.done[key] = out
+        return out
+
+    def keys(self, folds: list[Fold], reference: str) -> list[int]:
+        """Per fold the number of its reference node, or the hash of its path where the reference has no such node."""
+        if len(self.shapes) + len(self.matches) + sum(map(len, self.done.values())) > REMEMBERED * 10:
+            self.clear()
+        found = self.align(self.shape(folds), self.reference(reference))
+        return [at if at >= 0 else f.path for at, f in zip(found, folds, strict=True)]
 
 
 def is_article(node: Node) -> bool:
@@ -263,39 +373,81 @@ def content_roots(document: Node) -> list[Node]:
     return next((v for v in found.values() if v), [document])
 
 
-def extract(page: str, reference: tuple | None = None, dropped: frozenset = frozenset()) -> str:
-    """The main text of a page; ``dropped`` are the preorder numbers of the reference's template and menu nodes."""
+def restored(folds: list[Fold], skipped: set[int]) -> set[int]:
+    """The folds, by id, of constant headings between parts of the content, which belong to it."""
+    out: set[int] = set()
+    for fold in folds:
+        content = [not (id(c) in skipped or any(d.chrome for d in c.doms)) and any(d.span[1] > d.span[0] for d in c.doms) for c in fold.children]
+        for i, child in enumerate(fold.children):
+            if id(child) in skipped and child.doms[0].name in HEADINGS and any(content[:i]) and i + 1 < len(content) and content[i + 1]:
+                out.add(id(child))
+    return out
+
+
+def extract(page: str, reference: str | None = None, dropped: frozenset = frozenset(), trusted: bool = True, aligner: Aligner | None = None) -> str:
+    """The main text of a page; ``dropped`` are the keys of the host's template nodes (see :class:`Aligner`), ``trusted``
+    whether its marked articles are its content. If nothing would be left, the template nodes stay."""
     document = parse(page)
-    roots = content_roots(document)
+    whole = measure(document)
+    roots = content_roots(document) if trusted else [document]
     own = {id(r) for r in roots if r is not document}
     skip: set[int] = set()
     if reference is not None and dropped:
-        whole = Fold([document])
-        for node, at, held in zip(preorder(whole), align(whole.shape, reference), inside(whole, own), strict=True):
-            if at in dropped and not held:
-                skip.update(id(d) for d in node.doms)
+        aligner = aligner or Aligner()
+        folds = folded(document, own, True)
+        out = {id(f) for f, key in zip(folds, aligner.keys(folds, reference), strict=True) if key in dropped and not f.held}
+        out -= restored(folds, out)
+        skip.update(id(d) for f in folds if id(f) in out for d in f.doms)
     if roots == [document]:
         # without an article, blocks that are mostly links are menus
-        for node in preorder(Fold([document])):
-            if node.doms[0].name in ("div", "ul", "ol", "section", "table"):
-                text, linked = text_below(node.doms)
-                if linked > LINKS * max(1, len(text.strip())):
-                    skip.update(id(d) for d in node.doms)
+        for fold in folded(document):
+            if fold.doms[0].name in ("div", "ul", "ol", "section", "table"):
+                if (linked := sum(d.linked for d in fold.doms)) and linked > LINKS * max(1, len(fold.text(whole).strip())):
+                    skip.update(id(d) for d in fold.doms)
 
     def left_out(node: Node) -> bool:
         if node is document or id(node) in own:
             return False
         return id(node) in skip or node.chrome and not (node.name == "header" and roots != [document] and "." not in node.signature)
 
-    return "\n".join(b for r in roots for b in blocks(r, left_out))
-
-
-def _as_json(shape: tuple) -> list:
-    return [shape[0], [_as_json(c) for c in shape[1]]]
-
-
-def _as_shape(value: list) -> tuple:
-    return (value[0], tuple(_as_shape(c) for c in value[1]))
+    text = "\n".join(b for r in roots for b in blocks(r, left_out))
+    return text if text or not skip or reference is None else extract(page, trusted=trusted)
+
+
+def shape_text(page: str) -> str:
+    """The folded tree of a page as JSON, ``[signature, number of children]`` in preorder."""
+    root = parse(page)
+    measure(root)
+    return json.dumps([[f.doms[0].signature, len(f.children)] for f in folded(root)])
+
+
+def observed(page: str, shape: str, aligner: Aligner) -> Iterator[tuple[int, int, int, int, int, bool]]:
+    """``(node, text hash, characters, linked characters, own characters, inside)`` of the nodes of a page that may be
+    template; ``inside`` rows sum up the content roots, own characters are those outside further nodes."""
+    root = parse(page)
+    whole = measure(root)
+    own = {id(r) for r in content_roots(root) if r is not root}
+    folds = folded(root, own, True)
+    keys = aligner.keys(folds, shape)
+    chrome: set[int] = set()
+    known: dict[tuple, int] = {}
+    held = sum(d.span[1] - d.span[0] for f in folds for d in f.doms if id(d) in own)
+    if held:
+        yield -1, 0, held, 0, 0, True
+    for fold, key in zip(folds, keys, strict=True):
+        if id(fold) in chrome or any(d.chrome for d in fold.doms) and not fold.held:
+            chrome.update(id(c) for c in fold.children)
+            continue
+        if fold is folds[0] or fold.held or any(is_article(d) or d.name in ("html", "body") for d in fold.doms):
+            continue
+        spans = tuple(d.span for d in fold.doms)
+        chars = sum(b - a for a, b in spans)
+        if spans not in known:
+            text = fold.text(whole).strip()
+            known[spans] = hash64(text) if text else 0
+        if known[spans]:
+            inner = sum(d.span[1] - d.span[0] for c in fold.children for d in c.doms)
+            yield key, known[spans], chars, sum(d.linked for d in fold.doms), chars - inner, False
 
 
 def host_of(url: Column) -> Column:
@@ -303,13 +455,17 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
-def _by_host(pages: DataFrame, table: DataFrame, limit: int = 20_000) -> DataFrame:
-    """``pages`` with their host's row: by broadcast up to ``limit`` hosts, else by a join that splits hot hosts."""
-    return pages.join(F.broadcast(table) if bounded(table, limit) else table, "host", "left")
+def _by_host(pages: DataFrame, table: DataFrame) -> DataFrame:
+    """``pages`` with their host's row of a written table: by broadcast up to so many bytes, else by a join that splits hot
+    hosts."""
+    size = sum((F.coalesce(F.octet_length(c) if kind == "string" else F.lit(8) * F.size(c), F.lit(0)) for c, kind in table.dtypes if kind in ("string", "array<bigint>")), F.lit(64))
+    total = table.agg(F.sum(size)).first()[0] or 0
+    return pages.join(F.broadcast(table) if total <= BROADCAST_BYTES else table, "host", "left")
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """``(host, shape, dropped)``: per host of ``pages(host, html)`` the reference tree and the nodes to leave out.
+    """``(host, shape, dropped, trusted)``: per host of ``pages(host, html)`` the reference tree, the keys of the nodes to
+    leave out and whether marked articles hold most of the text that varies.
 
     The reference is the page of least hash. Every page is aligned with it. Pages with equal HTML count once.
     """
@@ -317,37 +473,36 @@ def induce(pages: DataFrame) -> DataFrame:
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [json.dumps(_as_json(Fold([parse(h)]).shape)) for h in batch.column("html").to_pylist()]
+            out = [shape_text(h) for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.string())], ["host", "shape"])
 
     reference = materialise(reference.mapInArrow(shapes, "host string, shape string"), "references")
+    names = ["host", "page", "node", "text", "chars", "linked", "own", "inside"]
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligned = Aligner()
+        aligner = Aligner()
         for batch in batches:
             rows: list[tuple] = []
             for host, page, shape in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "shape")), strict=True):
-                if not page or shape is None:
-                    continue
-                root = parse(page)
-                document, own = Fold([root]), {id(r) for r in content_roots(root) if r is not root}
-                mark = hash64(page)
-                for node, at, held in zip(preorder(document), aligned(document.shape, shape), inside(document, own), strict=True):
-                    if at > 0 and not held and not any(d.chrome or is_article(d) or d.name in ("html", "body") for d in node.doms):
-                        text, linked = text_below(node.doms)
-                        if text.strip():
-                            rows.append((host, at, hash64(text.strip()), mark, len(text), linked))
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], ["host", "node", "text", "page", "chars", "linked"])
-
-    seen = _by_host(pages, reference).mapInArrow(observe, "host string, node int, text long, page long, chars long, linked long")
-    once = seen.groupBy("host", "node", "text", "page").agg(F.max("chars").alias("chars"), F.max("linked").alias("linked"))
-    texts = once.groupBy("host", "node", "text").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    nodes = texts.groupBy("host", "node").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+                if page and shape is not None:
+                    mark = hash64(page)
+                    rows += [(host, mark, *x) for x in observed(page, shape, aligner)]
+            kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
+
+    seen = _by_host(pages, reference).mapInArrow(observe, "host string, page long, node long, text long, chars long, linked long, own long, inside boolean")
+    sums = ("chars", "linked", "own")
+    once = seen.groupBy("host", "inside", "node", "text", "page").agg(*(F.max(c).alias(c) for c in sums))
+    texts = once.groupBy("host", "inside", "node", "text").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sums))
+    nodes = texts.groupBy("host", "inside", "node").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), *(F.sum(c).alias(c) for c in sums))
     constant = (F.col("n") >= SUPPORT) & (F.col("kinds") == 1)
     rotating = (F.col("n") >= SUPPORT / ROTATING) & (F.col("kinds") <= ROTATING * F.col("n"))
     menu = (F.col("n") >= SUPPORT) & (F.col("linked") > LINKS * F.col("chars"))
-    dropped = nodes.where(constant | rotating | menu).groupBy("host").agg(F.collect_set("node").alias("dropped"))  # nodes of one page
+    nodes = nodes.withColumn("template", ~F.col("inside") & (constant | rotating | menu))
+    inside, outside = F.sum(F.when(F.col("inside"), F.col("chars"))), F.sum(F.when(~F.col("inside") & ~F.col("template"), F.col("own")))
+    trusted = F.coalesce(inside, F.lit(0)) >= F.coalesce(outside, F.lit(0))
+    # a set of the nodes of a host's layouts, not of its pages
+    dropped = nodes.groupBy("host").agg(F.collect_set(F.when(F.col("template"), F.col("node"))).alias("dropped"), trusted.alias("trusted"))
     return materialise(reference.join(dropped, "host", "left"), "wrappers")
 
 
@@ -355,46 +510,29 @@ def hash64(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-class Aligner:
-    """Alignments of shapes with references given as JSON, remembered for the shapes that recur."""
-
-    def __init__(self) -> None:
-        self.references: dict[str, tuple] = {}
-        self.done: dict[tuple, list[int]] = {}
-
-    def reference(self, shape: str) -> tuple:
-        if shape not in self.references:
-            if len(self.references) > 10_000:
-                self.references.clear()
-            self.references[shape] = _as_shape(json.loads(shape))
-        return self.references[shape]
-
-    def __call__(self, page: tuple, shape: str) -> list[int]:
-        key = (page, shape)
-        if key not in self.done:
-            if len(self.done) > 2_000:
-                self.done.clear()
-            self.done[key] = align(page, self.reference(shape))
-        return self.done[key]
-
-
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)``: the main text of every row of ``pages``.
 
     Two passes over the pages: one aligns them with their hosts' references and aggregates what each node shows, the
-    other extracts. Null and empty HTML gives an empty text; pages without a host share one wrapper. Copies of a page
-    count once in a wrapper, and an article and what is in it are never template, however often they recur. Repeated rows get equal texts.
-    Extra columns are ignored; an empty table gives no rows.
+    other extracts. Null and empty HTML gives an empty text; pages without a host share one wrapper. Pages of any length
+    and depth are parsed, aligned and extracted whole. Copies of a page count once in a wrapper. An article and what is in
+    it are never template, however often they recur, nor is a heading between two parts of the content. Repeated rows get
+    equal texts. Extra columns are ignored; an empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     wrappers = induce(rows.select("host", "html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Aligner()
+        known, sets = Aligner(), {}
         for batch in batches:
             texts = []
-            for page, shape, dropped in zip(*(batch.column(c).to_pylist() for c in ("html", "shape", "dropped")), strict=True):
-                texts.append(extract(page, known.reference(shape), frozenset(dropped)) if shape and dropped else extract(page))
+            for host, page, shape, dropped, trusted in zip(*(batch.column(c) for c in ("host", "html", "shape", "dropped", "trusted")), strict=True):
+                host, trusted = host.as_py(), trusted.as_py() is not False
+                if host not in sets:
+                    if len(sets) > 1000:
+                        sets.clear()
+                    sets[host] = frozenset(dropped.as_py() or ())
+                texts.append(extract(page.as_py(), shape.as_py(), sets[host], trusted, known))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
