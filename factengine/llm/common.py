@@ -30,6 +30,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of its file system, by default the session's; ``file:/x`` becomes ``file:///x``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back, so that a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)
@@ -57,3 +64,31 @@ def free_name(columns: list[str], name: str) -> str:
 def word_count(text):
     """Number of runs without ASCII white space; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def each(df: DataFrame, count: str, out_col: str) -> DataFrame:
+    """Each row of ``df`` as often as its column ``count`` says, numbered from 1 in ``out_col``; in two steps, so that no long
+    array is made."""
+    step, block = 4096, free_name(df.columns, "__block")
+    n = F.col(count)
+    rows = df.withColumn(block, F.explode(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int"))))
+    first = F.col(block).cast("long") * step
+    return rows.withColumn(out_col, F.explode(F.sequence(first + 1, F.least(n, first + step)))).drop(block)
+
+
+def numbered_copies(df: DataFrame, id_col: str, text_col: str, out_col: str) -> DataFrame:
+    """``df`` with ``out_col``, the number of a row among the identical rows, from 1.
+
+    Only rows whose id and text occur again are shuffled; identical ones are counted, which each task does for itself
+    first, and written out again by their count. So a row that is repeated without end fills no task.
+    """
+    id_, key, n = (free_name(df.columns, f"__copy_{x}") for x in ("id", "key", "n"))
+    named = df.select(F.col(id_col).alias(id_), F.md5(F.col(text_col)).alias(key))
+    again = materialise(named.groupBy(id_, key).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(id_, key), "repeated")
+    if again.isEmpty():
+        return df.withColumn(out_col, F.lit(1).cast("long"))
+    same = df[id_col].eqNullSafe(F.col(id_)) & F.md5(df[text_col]).eqNullSafe(F.col(key))
+    again = checked_broadcast(again)
+    once = df.join(again, same, "left_anti").withColumn(out_col, F.lit(1).cast("long"))
+    counted = df.join(again, same, "left_semi").groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count("*").alias(n))
+    return once.unionByName(each(counted, n, out_col).drop(n))

@@ -22,7 +22,7 @@ import pyarrow.compute
 import sentencepiece
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -352,16 +352,10 @@ def _encoder(name: str, rate: float, seed: int) -> Encoder:
     return _ENCODERS[key]
 
 
-def numbered(docs: DataFrame, out_col: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``out_col``, the number of a row among those of equal id and text, from 1."""
-    same = Window.partitionBy(F.col(id_col), F.xxhash64(F.col(text_col))).orderBy(F.col(text_col))
-    return docs.withColumn(out_col, F.row_number().over(same))
-
-
 def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rate: float = 0.1, seed: int = 1, model: str = MODEL, out_col: str = "token_ids", copy_col: str | None = None) -> DataFrame:
     """``docs`` with ``out_col``, the token ids of each whole text; null for null, none for an empty text.
 
-    The draws depend on a row's id, text and, if ``copy_col`` is given, its copy (see :func:`numbered`); without it rows
+    The draws depend on a row's id, text and, if ``copy_col`` is given, its copy (see :func:`factengine.llm.common.numbered_copies`); without it rows
     that repeat an id and a text have equal ids. A text of any length is encoded whole, in parts that end between two
     chunks. A column named ``out_col`` is replaced; other columns stay as they are. An empty table gives no rows. No
     shuffle.

@@ -112,7 +112,8 @@ FROM v
 
 _OP2 = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(md5(text), '') AS key, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    row_number() OVER (PARTITION BY doc_id, source, text) AS nth FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -129,10 +130,10 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, CASE WHEN (SELECT level FROM l) IS NULL OR fill <= (SELECT level FROM l) THEN most ELSE least(most, (SELECT level FROM l) * weight) END AS target FROM f
 ), r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate
+  SELECT d.doc_id, d.key, d.nth, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || key || ':' || nth), 1, 8))::BIGINT / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
 FROM r
 """
 
