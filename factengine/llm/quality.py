@@ -20,11 +20,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled texts per class that the fit may take (half for the dictionary, half for the curve), and the size of a
-#: dictionary. These bounds are the model's, whatever the size of the corpus.
-SAMPLE_PER_CLASS, DICTIONARY_BYTES = 2000, 262_144
-#: zstandard's level, and the most of one sampled text that goes into a dictionary, so that many texts have a part in it.
-LEVEL, PIECE_BYTES = 3, 768
+#: Labelled texts per class that the fit may take (half for the dictionary, half for the curve), their most bytes, and the
+#: size of a dictionary. These bounds are the model's, whatever the size of the corpus; they hold for the fit alone.
+SAMPLE_PER_CLASS, LONGEST_LABELLED, DICTIONARY_BYTES = 2000, 65_536, 524_288
+#: zstandard's level.
+LEVEL = 3
 #: Bytes of a piece that is compressed alone.
 SCORED_BYTES = 2000
 
@@ -51,14 +51,13 @@ def shared_lines(texts: list[str]) -> set[str]:
 
 
 def build_dictionary(texts: list[str], leave_out: set[str] = frozenset(), size: int = DICTIONARY_BYTES) -> bytes:
-    """Raw dictionary content: pieces of the texts in turn, without the lines to leave out, until the size is reached."""
+    """Raw dictionary content: whole texts, without the lines to leave out; in turn, each that fits into what is left."""
     pieces, total = [], 0
     for text in texts:
-        data = "\n".join(x for x in text.split("\n") if x not in leave_out).encode("utf-8", "surrogatepass")[: min(PIECE_BYTES, size - total)]
-        pieces += [data] if data else []
-        total += len(data) + 1
-        if total >= size:
-            break
+        data = "\n".join(x for x in text.split("\n") if x not in leave_out).encode("utf-8", "surrogatepass")
+        if data and total + len(data) < size:
+            pieces.append(data)
+            total += len(data) + 1
     return b"\n".join(pieces)
 
 
@@ -109,7 +108,8 @@ def score_of(curve: tuple[float, ...], features: tuple[float, ...]) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> CompressionModel:
-    """Fits on at most ``per_class`` labelled texts of each class, those whose hashes are least.
+    """Fits on at most ``per_class`` labelled texts of each class, those whose hashes are least, of at most
+    ``LONGEST_LABELLED`` bytes. Every second one is for the dictionaries, which take whole texts up to their size.
 
     Labels that are held out, null, neither 0 nor 1, contradictory or without a text are not used. The curve weighs the
     two samples by the classes' numbers over all usable labels, so scores are probabilities in the corpus.
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return CompressionModel(b"", b"", (float(next(iter(counts), 1)),))
     order = [F.md5(F.concat(F.lit("quality:"), F.col("id").cast("string"))), F.col("id")]
     picked = usable.where("y = 0").orderBy(*order).limit(per_class).unionByName(usable.where("y = 1").orderBy(*order).limit(per_class))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= LONGEST_LABELLED)
     rows = texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy(*order).limit(2 * per_class).collect()
     halves = {y: ([r.text for r in rows if r.y == y][::2], [r.text for r in rows if r.y == y][1::2]) for y in (0, 1)}
     common = shared_lines([r.text for r in rows])
