@@ -6,6 +6,9 @@ All scores are computed; each pass counts, per query, the scores above the known
 range, and the summed counts tell the bin that holds the kth score. The range shrinks to that bin until its width is
 one. Then scores above or at the kth value are kept and ties go to the smaller id.
 
+A query is itself one of the vectors. One more score than asked for is selected, and of the rows that have a query's id
+and its score with itself one is left out at the end; which one makes no difference to the result.
+
 A task's count below its own kth score can't matter, since the counts above it already reach k; so a task sends at most
 k bins per query and pass, and at most k rows per query at the end, whatever the number of ties.
 """
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factengine.llm.buckets import grouped
-from factengine.llm.common import materialise
+from factengine.llm.common import each, materialise
 
 #: Vectors and queries in a packed block.
 VECTORS, QUERIES = 4096, 1024
@@ -58,10 +61,10 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     """``(query_id, rank, id_col, score)``: per query the ``k`` highest inner products of floor(scale * x) over all other
     rows of ``vectors``, ties to the smaller id; all rows, if there are fewer.
 
-    Rows whose vector is null, empty or holds null or non-finite components, and rows with a null id, take no part.
-    A query is compared with vectors of its own length, and never with rows that carry its id. A query id that repeats
-    with several vectors is asked once, with the least. Repeated rows among the vectors are all candidates. Scores must
-    fit into 64 bits. Empty tables give no rows; extra columns are ignored.
+    ``queries`` are rows of ``vectors``; each is asked, also if its id or its vector repeats, and compared with every row
+    but itself. Rows whose vector is null, empty or holds null or non-finite components, and rows with a null id, take no
+    part. A query is compared with vectors of its own length. Scores that may not fit into 64 bits are an error. Empty
+    tables give no rows; extra columns are ignored.
     """
 
     def usable(df: DataFrame) -> DataFrame:
@@ -69,13 +72,21 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
         good = F.col("id").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
         return rows.where(F.coalesce(good, F.lit(False))).select("id", F.transform("x", lambda c: F.floor(c * F.lit(float(scale))).cast("long")).alias("v"))
 
-    data, asked = usable(vectors), usable(queries).groupBy("id").agg(F.min("v").alias("v"))
+    wanted, k = k, k + 1
+    data = usable(vectors)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     n_data, reach = data.agg(F.count("*"), F.max(norm)).first()
-    data, asked = _pack(data, VECTORS, n_data, "vectors", True), _pack(asked, QUERIES, asked.count(), "queries", False)
+    # no score is beyond the product of the largest norms; the first bins span that range
+    bound = (reach or 0.0) ** 2 * (1 + 1e-9) + 1
+    if bound >= 2**62:
+        raise ValueError("the inner products may not fit into 64 bits")
+    # equal queries are asked once, under a number
+    asked = usable(queries).groupBy("id", "v").agg(F.count("*").alias("times")).withColumn("own", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))
+    asked = materialise(asked.select(F.monotonically_increasing_id().alias("query"), F.col("id").alias("own_id"), "v", "times", "own"), "asked")
+    data, packed = _pack(data, VECTORS, n_data, "vectors", True), _pack(asked.select(F.col("query").alias("id"), "v"), QUERIES, asked.count(), "queries", False)
     lanes = min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-n_data // VECTORS)))
     left = data.select("dim", F.pmod("block", F.lit(lanes)).alias("lane"), "ids", "vectors")
-    right = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.col("block").alias("query_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    right = packed.select("dim", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.col("block").alias("query_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
 
     def meet(state: DataFrame) -> DataFrame:
         """Each query block, with the open ranges of its queries, beside each vector block of a lane."""
@@ -96,9 +107,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, found = ["dim", "query_block", "query_id", "bin", "n"], {}
         out = lambda: as_batch([(*key, b, n) for key, held in found.items() for b, n in held.items()], names)
-        for dim, block, q_ids, ids, score, low, width in met(batches):
+        for dim, block, q_ids, _, score, low, width in met(batches):
             bins = np.minimum((score - low[:, None]) // width[:, None], BINS)
-            bins[q_ids[:, None] == ids[None, :]] = -1
             if bins.shape[1] > k:
                 bins = np.where(bins >= np.partition(bins, -k, axis=1)[:, -k][:, None], bins, -1)
             for q_id, own in zip(q_ids.tolist(), bins, strict=True):
@@ -116,7 +126,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
         names, best = ["query_id", "id", "score"], {}
         out = lambda: as_batch([(q, int(w), int(s)) for q, (ss, ww) in best.items() for s, w in zip(ss, ww, strict=True)], names)
         for _, _, q_ids, ids, score, low, _ in met(batches):
-            keep = (score >= low[:, None]) & (q_ids[:, None] != ids[None, :])
+            keep = score >= low[:, None]
             for i in np.flatnonzero(keep.any(axis=1)).tolist():
                 q_id, s, w = int(q_ids[i]), score[i][keep[i]], ids[keep[i]]
                 if q_id in best:
@@ -128,23 +138,26 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
                 best.clear()
         yield out()
 
-    # no score is beyond the product of the largest norms; the first bins span that range
-    reach = reach or 0.0
-    bound = min(int(reach * reach * (1 + 1e-9)) + 1, 2**62)
+    bound = int(bound)
     start, width = -bound, max(1, -(-(2 * bound + 1) // BINS))
-    state = _ranges(asked, None, start, width)
+    state = _ranges(packed, None, start, width)
     while True:
         bins = meet(state).mapInArrow(count, "dim int, query_block int, query_id long, bin long, n long").groupBy("dim", "query_block", "query_id", "bin").agg(F.sum("n").alias("n"))
         above = Window.partitionBy("query_id").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
         # the bin of the kth score is the first at which the counts from above reach k; with fewer scores, the lowest
         kth = bins.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0))).where(F.col("above") < k).groupBy("dim", "query_block", "query_id").agg(F.min("bin").alias("bin"))
-        state = _ranges(asked, materialise(kth, "kth"), start, width, state)
+        state = _ranges(packed, materialise(kth, "kth"), start, width, state)
         if width == 1:
             break
         width = max(1, -(-width // BINS))
-    found = meet(state).mapInArrow(pick, "query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    found = meet(state).mapInArrow(pick, "query_id long, id long, score long").withColumnRenamed("query_id", "query")
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
+    top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).join(asked.drop("v"), "query")
+    # the first row of the query's id and its score with itself stands for the query
+    itself = F.min(F.when((F.col("id") == F.col("own_id")) & (F.col("score") == F.col("own")), F.col("rank"))).over(Window.partitionBy("query"))
+    top = top.withColumn("itself", F.coalesce(itself, F.lit(k))).where("rank <> itself")
+    rank = (F.col("rank") - (F.col("rank") > F.col("itself")).cast("int")).cast("int")
+    return each(top.where(rank <= wanted).withColumn("place", rank), "times", "time").select(F.col("own_id").alias("query_id"), F.col("place").alias("rank"), F.col("id").alias(id_col), "score")
 
 
 def _ranges(asked: DataFrame, kth: DataFrame | None, start: int, width: int, before: DataFrame | None = None) -> DataFrame:
