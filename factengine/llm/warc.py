@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factengine.llm.buckets import grouped
-from factengine.llm.common import materialise, new_path
+from factengine.llm.common import checked_broadcast, materialise, new_path, qualified
 
 INDEX = "archive string, offset long, length long, url string, digest string, page_id long, record_type string, payload_bytes long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -76,25 +76,27 @@ def parse_records(data: bytes) -> Iterator[tuple[dict, bytes]]:
 
 def choose_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """``(page_id, url, html, refers_to)``: of records with equal payloads of at least ``least_bytes`` bytes the one with the
-    largest id is the response, and ``refers_to`` of the others is that id. Null ids come before all others."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("key", F.sha1(F.col("html").cast("binary")))
+    largest id is the response, and ``refers_to`` of the others is that id. Null ids come before all others.
+
+    Only payloads that occur again are looked up, by a broadcast of digests and ids up to a bound of rows."""
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("key", F.unhex(F.sha1(F.col("html").cast("binary"))))
     groups = rows.select("key", "page_id", F.octet_length("html").alias("size")).where(F.col("size") >= least_bytes).groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("key", "last")
     refers = F.when(F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id")), F.col("last"))
-    return rows.join(groups, "key", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    return rows.join(checked_broadcast(materialise(groups, "groups"), 500_000), "key", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, **columns: str) -> DataFrame:
     """Writes a record per row of ``pages`` into gzipped archives in ``folder`` and returns the index.
 
     Each task writes one archive under a name of its own, so a task that runs again leaves an archive without index
-    rows and never a broken one. ``folder`` is any URI that pyarrow's file systems know; by default it lies in the
-    session's shared folder. Rows that share a page id and a payload are all responses. Null HTML is an empty payload,
+    rows and never a broken one. ``folder`` is any URI that pyarrow's file systems know, or a path in the session's
+    default file system; by default it lies in the session's shared folder. Rows that share a page id and a payload are all responses. Null HTML is an empty payload,
     null URLs give no target header. An empty table gives an empty index.
     """
-    folder = folder or new_path(pages.sparkSession, "warc")
+    folder = qualified(pages.sparkSession, folder or new_path(pages.sparkSession, "warc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        files, path = fs.FileSystem.from_uri(folder)
         files.create_dir(path, recursive=True)
         name, out, at, serial = uuid.uuid4().hex, None, 0, 0
         try:
@@ -145,7 +147,7 @@ def read_warc(index: DataFrame, payload: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (folder, archive, _), rows in grouped(batches, ("folder", "archive", "slice"), ("offset", "length", "digest")):
-            files, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+            files, path = fs.FileSystem.from_uri(folder)
             with files.open_input_file(f"{path}/{archive}") as source:
                 where = list(zip(rows["offset"], rows["length"], strict=True))
                 for first, last, start, end in ranges(where):
