@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,10 +15,10 @@ import xxhash
 from pyspark.sql import functions as F
 
 from factengine.llm import merge_dropout, quality
-from factengine.llm.html_extract import align, extract, extract_pages, parse
-from factengine.llm.licenses import Recogniser, scan_licenses
+from factengine.llm.html_extract import Aligner, extract, extract_pages, folded, measure, parse
+from factengine.llm.licenses import RULES, SENTENCES, Recogniser, anchor, scan_licenses
 from factengine.llm.mixing import mix, mixing_plan
-from factengine.llm.sharding import assign_slots, rebalance, save_map, shard
+from factengine.llm.sharding import assign_slots, rebalance, rebalance_map, save_map, shard
 from factengine.llm.topk import exact_top_k
 from factengine.llm.warc import ranges, read_warc, write_warc
 
@@ -63,6 +64,12 @@ def test_mixing_targets_and_edges(spark):
         assert abs(taken[s] - want[s]) < 0.25 * want[s] + 100
     again = sorted(map(str, mixing_plan(df).collect()))
     assert again == sorted(map(str, plan))
+    # rows of one id draw one by one
+    same = spark.createDataFrame([(None, f"w {i} w", "a") for i in range(300)] + [(5, "w w w", "a")] * 300 + [(i, "w " * 30, "b") for i in range(1000, 1040)], "doc_id long, text string, source string")
+    for one in (None, 5):
+        part = [r for r in mixing_plan(same).collect() if r.source == "a" and r.doc_id == one]
+        rate = part[0].rate
+        assert len(part) == 300 and abs(sum(r.copies for r in part) - 300 * rate) < 45
     out = mix(df)
     assert out.columns == df.columns
     assert sum(len((r.text or "").split()) for r in out.collect()) == sum(r.taken for r in plan)
@@ -124,11 +131,71 @@ def test_extract_parts():
     assert extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def shapes_of(aligner, trees):
+    def number(tree):
+        return aligner._numbered(tree[0], tuple(number(c) for c in tree[1]))
+
+    return [number(t) for t in trees]
+
+
+def naive_match(a, b):
+    """The textbook recursion of simple tree matching."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1]):
+        for j, y in enumerate(b[1]):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + naive_match(x, y))
+    return best[-1][-1] + 1
+
+
 def test_simple_tree_matching():
+    aligner = Aligner()
     page, ref = ("r", (("a", ()), ("x", ()), ("b", (("c", ()),)))), ("r", (("a", ()), ("b", (("c", ()), ("d", ())))))
-    assert align(page, ref) == [0, 1, -1, 2, 3]
-    wide = ("r", tuple((s, ()) for s in ("p", "q") * 400))
-    assert align(wide, wide)[-1] == 800
+    assert aligner.align(*shapes_of(aligner, (page, ref))) == [0, 1, -1, 2, 3]
+    rng = random.Random(6)
+
+    def tree(depth):
+        return (rng.choice("abc"), tuple(tree(depth - 1) for _ in range(rng.randrange(0, 6))) if depth else ())
+
+    for _ in range(300):
+        a, b = ("r", tree(3)[1]), ("r", tree(3)[1])
+        aligner = Aligner()
+        x, y = shapes_of(aligner, (a, b))
+        assert aligner.match(x, y) == naive_match(a, b)
+        out = [k for k in aligner.align(x, y) if k >= 0]
+        assert len(out) == naive_match(a, b) and out == sorted(set(out))
+    # no length of a list and no depth is too much
+    left, right = ("r", (("p", ()), ("q", ())) * 300 + (("z", ()),)), ("r", (("p", ()), ("q", ())) * 900 + (("z", ()),))
+    aligner = Aligner()
+    assert aligner.align(*shapes_of(aligner, (left, right)))[-1] == 1801
+    deep = parse("<div>" * 5000 + "deep" + "</div>" * 5000)
+    measure(deep)
+    folds = folded(deep)
+    shape = aligner.shape(folds)
+    assert len(folds) == 5001 and aligner.align(shape, shape) == list(range(5001))
+
+
+def nameless(i, body, head="Site of all things", foot="Written by nobody"):
+    deep = "<div>" * 15 + foot + "</div>" * 15
+    return f"<body><div><span>{head}</span></div><div><div><a href=/{i}>go {i}</a> <a>to {i}</a></div><div>{body}</div></div>{deep}</body>"
+
+
+def test_alignment_finds_chrome_without_names(spark):
+    rows = [(i, "http://one.host/x", nameless(i, f"<h1>Title {i}</h1><p>Story {i} begins.</p><h2>Sources</h2><p>It ends {i * i}.</p>")) for i in range(8)]
+    # a second layout on the same host, which the reference page lacks
+    rows += [(100 + i, "http://one.host/y", f"<body><section><h1>Entry {i}</h1><p>Of another kind {i}</p></section><section><div>Please pay</div></section></body>") for i in range(8)]
+    # cards are marked as articles, the text is not
+    rows += [(200 + i, "http://cards.host/z", f"<body><article><p>Card {i}</p></article><div><p>{'Long text number %d of many words. ' % i * 5}</p></div><div>Always here</div></body>") for i in range(8)]
+    # the same article everywhere, without a mark: what pages share is all there is
+    rows += [(300 + i, "http://same.host/z", "<body><div><p>All the same</p></div></body><!-- %d -->" % i) for i in range(5)]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == f"Title {i}\nStory {i} begins.\nSources\nIt ends {i * i}."
+        assert extract(rows[i][2]) != got[i]
+        assert got[100 + i] == f"Entry {i}\nOf another kind {i}"
+        assert got[200 + i] == f"Card {i}\n" + ("Long text number %d of many words. " % i * 5).strip()
+    assert {got[300 + i] for i in range(5)} == {"All the same"}
 
 
 def test_wrappers_drop_what_pages_share(spark):
@@ -214,8 +281,63 @@ def test_sharding_edges(spark, tmp_path):
     assert sorted(load.values())[-2] < 1.2 * min(load.values())
     shrunk = rebalance(grown, sizes, 7)
     assert max(shrunk.values()) == 6
-    assert save_map(spark, str(tmp_path / "map"), 2, grown, sizes).count() == len(sizes)
+    for _ in range(2):  # a rerun writes its version anew
+        assert {r.virtual_slot: r.shard for r in rebalance_map(spark, str(tmp_path / "map"), 1, 9).collect()} == grown
     assert sorted(r.version for r in spark.read.parquet(str(tmp_path / "map")).select("version").distinct().collect()) == [1, 2]
+    assert save_map(spark, str(tmp_path / "map"), 2, grown, sizes).count() == len(sizes)
+
+
+def test_equal_texts_stay_together_while_they_fit(spark):
+    rows = [(i, "t" * (i % 90)) for i in range(4000)] + [(10_000, "row")] * 500 + [(20_000, "row again")] * 65 + [(30_000 + i, "many ids") for i in range(900)]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    loads = check_shards(rows, got, 8)
+    assert max(loads.values()) < 1.05 * min(loads.values())
+    places = {}
+    for r in got:
+        places.setdefault((r.size, r.text_crc32), set()).add((r.shard, r.virtual_slot))
+    assert all(len(p) == 1 for p in places.values())
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def xx(*values):
+    """Spark's hash of strings and longs, from the public algorithm."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed)
+    return signed(seed)
+
+
+def test_sharding_equals_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, "word " * rng.randrange(0, 300)) for i in range(3000)] + [(i, None) for i in range(3)] + [(50_000 + i, "large group " * 100) for i in range(700)] + [(60_000, "large group " * 100)] * 40
+    shards, slots = 6, 256
+    size = {t: len((t or "").encode()) + 16 for _, t in rows}
+    total = sum(size[t] for _, t in rows)
+    bytes_of = Counter()
+    for _, t in rows:
+        bytes_of[t or ""] += size[t]
+    where, seen = [], Counter()
+    for i, t in rows:
+        h, nth = xx(t or ""), seen[i, t]
+        seen[i, t] += 1
+        parts = -(-bytes_of[t or ""] * 8 * shards // total) if bytes_of[t or ""] * shards > 0.95 * total else 1
+        where.append(xx(h, (xx(i) + nth) % parts if parts > 1 else None) % slots)
+    load = Counter()
+    for (_, t), s in zip(rows, where, strict=True):
+        load[s] += size[t]
+    held, shard_of = [0] * shards, {}
+    for s in sorted(load, key=lambda s: (-load[s], s)):
+        shard_of[s] = held.index(min(held))
+        held[shard_of[s]] += load[s]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shard(df, shards, virtual_slots=slots).collect()
+    want = Counter((i, size[t], s, shard_of[s]) for (i, t), s in zip(rows, where, strict=True))
+    assert Counter((r.doc_id, r.size, r.virtual_slot, r.shard) for r in got) == want
+    check_shards(rows, got, shards)
 
 
 # --- 6 ---------------------------------------------------------------------------------------------------------------
@@ -238,6 +360,31 @@ def test_licence_rules(spark):
     assert scan_licenses(df.limit(0)).collect() == []
 
 
+def test_every_licence_rule():
+    r = Recogniser()
+    assert len(RULES) > 800 and anchor() and len({licence for licence, *_ in RULES}) >= 30
+    for licence, kind, sequence in RULES:
+        # as a comment, with an unknown sentence between two of a text
+        text = "An unknown beginning.\n# " + "\n# Another sentence here.\n# ".join(SENTENCES[s] for s in sequence) + "\n\nThe end of it."
+        found = r.recognise(text)
+        assert found and found[0][0] == licence and (len(sequence) == 1 or found[0][1] == kind), (licence, sequence, found)
+        assert text[found[0][2]].isalnum() and len(found) == 1
+    far = "\n".join([SENTENCES["mit-grant"], *["Quite another sentence."] * 3, SENTENCES["mit-notice"], SENTENCES["mit-warranty"], SENTENCES["mit-liable"]])
+    assert [m[:2] for m in r.recognise(far)] == [("MIT", "partial")]
+    assert r.recognise("MIT License terms are discussed: licensed under the MIT License today by many") == []
+
+
+def test_licences_in_texts_of_many_lines():
+    r, last = Recogniser(), "\nReleased under the MIT License.\n"
+    for line in ("this line has no stop and the word licensed in it", "licensed under the apache license", "This program is free software"):
+        text = f"{line}\n" * (2_000_000 // len(line)) + last
+        began = time.time()
+        assert [m[0] for m in r.recognise(text)] == ["MIT"]
+        assert time.time() - began < 20
+    many = "Released under the MIT License. " * 20_000
+    assert len(r.recognise(many)) == 20_000
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -370,8 +517,19 @@ def test_top_k_equals_brute_force(spark):
     got = [tuple(r) for r in exact_top_k(df, df.where("vec_id % 100 = 0"), 10).collect()]
     ok = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, x in {i: v for i, v in ok if i % 100 == 0}.items():
-        scores = sorted(((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in ok if i != q and len(y) == len(x)))[:10]
-        want += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+    for at, (q, x) in enumerate(ok):
+        if q % 100 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for n, (i, y) in enumerate(ok) if n != at and len(y) == len(x))[:10]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
     assert sorted(got) == sorted(want)
     assert exact_top_k(df.limit(0), df.limit(0)).collect() == []
+
+
+def test_top_k_of_repeated_ids_and_large_components(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.5, 0.0]), (0, [0.5, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in exact_top_k(df, df.where("vec_id = 0"), 10).collect())
+    unit, half = 1024 * 1024, 512 * 1024
+    once = [(0, 1, 0, half), (0, 2, 1, half), (0, 3, 0, half // 2)]
+    assert got == sorted([(0, 1, 1, unit), (0, 2, 0, half), (0, 3, 0, half), *once, *once])
+    with pytest.raises(ValueError, match="64 bits"):
+        exact_top_k(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>"), df)
