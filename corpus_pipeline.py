@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factengine.llm import merge_dropout
-from factengine.llm.common import checked_broadcast, free_name, materialise
+from factengine.llm.common import checked_broadcast, free_name, materialise, numbered_copies
 from factengine.llm.jaccard_join import ngram_jaccard_join
 from factengine.llm.mixing import mix
 from factengine.llm.quality import score, train
@@ -49,7 +49,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def merge_dropout_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with seeded merge-dropout; copies of a document are varied one by one."""
-    coded = merge_dropout.encode(merge_dropout.numbered(docs.select("doc_id", "source", "text"), "copy"), copy_col="copy")
+    coded = merge_dropout.encode(numbered_copies(docs.select("doc_id", "source", "text"), "doc_id", "text", "copy"), copy_col="copy")
     return coded.select("doc_id", "source", F.size("token_ids").alias("n_tokens"), "token_ids")
 
 
