@@ -102,6 +102,7 @@ def compare(pairs: DataFrame) -> DataFrame:
             "matched": of(MATCHED),
             "mismatched": of(MISMATCHED),
             "unknown": of(UNKNOWN),
+            "values_equal": F.col("comparison.value") == MATCHED,
             "delta": F.when(numbers, relative_delta(s["canonical_number"], t["canonical_number"])),
             "same_sign": F.when(numbers, F.signum(s["canonical_number"]) == F.signum(t["canonical_number"])),
             "overlap": periods_overlap(s["period"], t["period"]),
@@ -131,7 +132,7 @@ def resolve_first_pass(judged: DataFrame) -> DataFrame:
     named = F.coalesce(*(F.when(blocker == f, F.lit(code)) for f, code in BLOCKED.items()), F.lit("missing_context"))
     blocked_differs = F.array_contains("mismatched", blocker)
     withheld = claims & (~differs | blocker.isNotNull())
-    why = F.when(~differs, "the two values were never shown to differ").otherwise(F.concat(blocker, F.when(blocked_differs, " differs between the two claims").otherwise(" could not be compared")))
+    why = F.when(~differs, "nothing shows that the values differ").otherwise(F.concat(blocker, F.when(blocked_differs, " is not the same on both sides").otherwise(" is unknown on one side at least")))
     return out.withColumns(
         {
             "verdict": F.when(withheld, "insufficient").otherwise(r["verdict"]),
@@ -208,27 +209,38 @@ def ask(payload: Column, provider: AdjudicationProvider, review: bool = False) -
     return run.asNondeterministic()(payload)
 
 
-def _payload() -> Column:
-    """What a judge sees of a pair: fourteen fields of each side and what code has found."""
-    side = lambda x: F.struct(*(x[c] for c in ("id", "subject", "predicate", "raw_value", "canonical_value", "canonical_number", "unit", "qualifiers", "modality", "attributed_to", "period")))
-    return F.to_json(F.struct(side(F.col("source")).alias("source"), side(F.col("target")).alias("target"), F.struct("matched", "mismatched", "unknown", "delta", "same_sign", "overlap").alias("findings")))
+#: What a judge sees of each side.
+SHOWN = ("document_id", "page", "subject", "predicate", "raw_value", "canonical_value", "unit", "value_type", "period", "qualifiers", "modality", "attributed_to", "table_context", "quote")
+
+
+def payload(pairs: DataFrame, first_reading: Column | None = None) -> Column:
+    """What a judge sees of a pair, as JSON: fourteen fields of each side, null where the pairs have no such field, what code
+    has found, and for a review the explanation of the first reading."""
+
+    def side(name: str) -> Column:
+        there = pairs.schema[name].dataType.names
+        return F.struct(*((F.col(f"{name}.{c}") if c in there else F.lit(None).cast("string")).alias(c) for c in SHOWN)).alias(name)
+
+    findings = F.struct("matched", "mismatched", "unknown", "values_equal", "same_sign", "delta", "overlap").alias("findings")
+    reading = [] if first_reading is None else [first_reading.alias("first_reading")]
+    return F.to_json(F.struct(side("source"), side("target"), findings, *reading), {"ignoreNullFields": "false"})
 
 
 def adjudicate(pairs: DataFrame, pipeline_version: str, provider: AdjudicationProvider | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges and skips of hydrated pairs, both from one pass over the pairs without a shuffle.
 
     Code settles what it can; only the rest is put to the provider, and only contradictions that survive the rules to its
-    second pass. Persist or write the edges before the skips are read as well, or the provider is asked again; providers
+    second pass, which is told the first reading. Persist or write the edges before the skips are read as well, or the provider is asked again; providers
     must be pure functions of the pair.
     """
     provider = provider or InsufficientByDefault()
     c, none = F.col, F.lit(None).cast("string")
-    found = compare(pairs).withColumn("__payload", _payload())
+    found = compare(pairs)
     open_pair = c("settled").isNull()
-    asked = found.withColumn("__first", ask(F.when(open_pair, c("__payload")), provider))
+    asked = found.withColumn("__first", ask(F.when(open_pair, payload(found)), provider))
     first = resolve_first_pass(asked.withColumn("reply", F.from_json("__first.reply", _REPLY)))
     contested = open_pair & F.coalesce(c("verdict") == "contradicts", F.lit(False))
-    reviewed = first.withColumn("reviewed", contested).withColumn("__second", ask(F.when(contested, c("__payload")), provider, review=True))
+    reviewed = first.withColumn("reviewed", contested).withColumn("__second", ask(F.when(contested, payload(first, c("explanation"))), provider, review=True))
     judged = reviewed.withColumn("__review", F.from_json("__second.reply", _REVIEW))
     r = c("__review")
     yes = F.coalesce(r["reconcilable"], F.lit(False))

@@ -5,48 +5,71 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Vectors in a block.
 BLOCK = 2048
 
 
-def _blocks(rows: DataFrame, count: int) -> DataFrame:
-    """One row per block: parallel arrays of ids, groups and vectors."""
+def _blocks(rows: DataFrame, count: int, prefix: str) -> DataFrame:
+    """One row per block: parallel arrays of ids and groups, the vectors end to end, and their length."""
     packed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")).groupBy("block")
-    return packed.agg(F.collect_list(F.struct("id", "grp", "v")).alias("rows"))  # BLOCK rows on average
+    out = packed.agg(F.collect_list(F.struct("id", "grp", "v")).alias("rows"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high"))  # BLOCK rows on average
+    even = F.when(F.col("low") == F.col("high"), F.col("high")).otherwise(F.raise_error("vectors of unequal length").cast("int"))
+    return out.select("block", *(c.alias(f"{prefix}_{n}") for n, c in (("ids", F.col("rows.id")), ("groups", F.col("rows.grp")), ("flat", F.flatten("rows.v")), ("size", even))))
+
+
+def _side(batch: pa.RecordBatch, prefix: str, i: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Ids, groups and unit vectors of one block."""
+    ids, groups, flat = (batch.column(f"{prefix}_{n}")[i].values for n in ("ids", "groups", "flat"))
+    x = flat.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    return ids, groups.to_numpy(zero_copy_only=False), x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def best_of(sims: np.ndarray, open_: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's ``k`` largest open values, ties by ``order`` of the columns."""
+    masked = np.where(open_, sims, -np.inf)
+    rows, columns = np.nonzero(open_ & (masked >= np.partition(masked, -k, axis=1)[:, -k][:, None])) if masked.shape[1] > k else np.nonzero(open_)
+    placed = np.lexsort((order[columns], -masked[rows, columns], rows))
+    rows, columns = rows[placed], columns[placed]
+    nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[nth < k], columns[nth < k]
 
 
 def nearest(focus: DataFrame, corpus: DataFrame, k: int = 20, floor: float | None = None, block: int = BLOCK) -> DataFrame:
     """``(source_id, target_id, similarity)``: per focus row its ``k`` nearest corpus rows of other groups.
 
     Both sides have ``id, grp, v``; null and zero vectors are skipped, vectors of unequal length are an error. Ties go to
-    the smaller id. Every pair of blocks meets in one task; what is shuffled is each block once per block of the other
-    side, and k rows per focus row and block of the corpus.
+    the smaller id. Corpus blocks are dealt to lanes, no more than shuffle partitions, and each lane gets every focus block;
+    so a corpus block is shuffled once and a focus block once per lane, and k rows come back per focus row and block met.
     """
     usable = "v is not null and exists(v, x -> x <> 0)"
     focus, corpus = (d.select("id", "grp", F.col("v").cast("array<double>").alias("v")).where(usable) for d in (focus, corpus))
     n_focus, n_corpus = (max(1, -(-d.count() // block)) for d in (focus, corpus))
-    left = _blocks(focus, n_focus).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(n_corpus - 1))))
-    right = _blocks(corpus, n_corpus).select(F.col("block").alias("lane"), F.col("rows").alias("others"))
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for mine, others in zip(frame["rows"], frame["others"], strict=True):
-                a, b = (np.array([list(r["v"]) for r in side], dtype=np.float64) for side in (mine, others))
-                sims = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
-                ids = np.array([r["id"] for r in others], dtype=object)
-                groups = np.array([r["grp"] for r in others], dtype=object)
-                for i, row in enumerate(mine):
-                    keep = np.flatnonzero((groups != row["grp"]) & (True if floor is None else sims[i] >= floor))
-                    if len(keep) > k:  # all ties at the kth place stay until ids decide
-                        keep = keep[sims[i, keep] >= np.partition(sims[i, keep], -k)[-k]]
-                    best = sorted(keep.tolist(), key=lambda j: (-sims[i, j], ids[j]))[:k]
-                    yield pd.DataFrame({"source_id": [row["id"]] * len(best), "target_id": ids[best], "similarity": sims[i, best]})
-
-    kind = focus.schema["id"].dataType.simpleString()
-    found = left.join(right, "lane").select("rows", "others").mapInPandas(score, f"source_id {kind}, target_id {kind}, similarity double")
+    lanes = min(int(focus.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_corpus)
+    left = _blocks(focus, n_focus, "a").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).drop("block")
+    right = _blocks(corpus, n_corpus, "b").withColumn("lane", F.pmod("block", F.lit(lanes))).drop("block")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, groups, x = _side(batch, "a", i)
+                other_ids, other_groups, y = _side(batch, "b", i)
+                sims = x @ y.T
+                open_ = groups[:, None] != other_groups[None, :]
+                if floor is not None:
+                    open_ &= sims >= floor
+                order = np.unique(other_ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+                rows, columns = best_of(sims, open_, order, k)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), other_ids.take(pa.array(columns)), pa.array(sims[rows, columns])], ["source_id", "target_id", "similarity"])
+
+    kind = focus.schema["id"].dataType
+    schema = T.StructType([T.StructField("source_id", kind), T.StructField("target_id", kind), T.StructField("similarity", T.DoubleType())])
+    met = left.join(right, "lane").select(*(f"{p}_{n}" for p in "ab" for n in ("ids", "groups", "flat")), "a_size", "b_size")
+    same = F.when(F.col("a_size") == F.col("b_size"), F.col("a_flat")).otherwise(F.raise_error("vectors of unequal length").cast("array<double>"))
+    found = met.withColumn("a_flat", same).drop("a_size", "b_size").mapInArrow(score, schema)
     place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.col("similarity").desc(), "target_id"))
     return found.withColumn("place", place).where(F.col("place") <= k).drop("place")

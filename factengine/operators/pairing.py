@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factengine.functions.text import affinity, filled, pair_key, strip
+from factengine.functions.text import affinity, clamp_limit, filled, pair_key, strip
 from factengine.operators.bandjoin import band_join, within
 from factengine.operators.nearest import nearest
 
@@ -39,22 +39,30 @@ def _side(facts: DataFrame, prefix: str, columns: tuple[str, ...] = COLUMNS) ->
     return facts.select(*(F.col(c).alias(f"{prefix}_{c}") for c in columns))
 
 
-def pair_deterministic(focus: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``(source_id, target_id)`` of facts of different documents whose canonical values are equal.
+def published(facts: DataFrame, version: str | None = None) -> DataFrame:
+    """The facts that may be paired: published ones, and of one pipeline version if it is given. Facts without a status are
+    taken as they are."""
+    facts = facts.where("status = 'published'") if "status" in facts.columns else facts
+    return facts if version is None else facts.where(F.col("pipeline_version") == version)
+
+
+def pair_deterministic(focus: DataFrame, corpus: DataFrame, version: str | None = None) -> DataFrame:
+    """``(source_id, target_id)`` of published facts of different documents whose canonical values are equal.
 
     Numbers go through the tolerance join; facts without numbers through a hash join on the text. No cap.
     """
     need = ("id", "document_id", "canonical_value", "canonical_number")
-    a, b = _side(focus, "a", need), _side(corpus, "b", need)
+    a, b = _side(published(focus, version), "a", need), _side(published(corpus, version), "b", need)
     numbers = band_join(a, b, "a_canonical_number", "b_canonical_number")
     texts = a.where("a_canonical_number is null").join(b.where("b_canonical_number is null"), F.col("a_canonical_value") == F.col("b_canonical_value"))
     both = numbers.select("a_id", "b_id", "a_document_id", "b_document_id").unionByName(texts.select("a_id", "b_id", "a_document_id", "b_document_id"))
     return both.where("a_document_id <> b_document_id").select(F.col("a_id").alias("source_id"), F.col("b_id").alias("target_id"))
 
 
-def pair_semantic(focus: DataFrame, corpus: DataFrame, k: int = TOP_K) -> DataFrame:
-    """``(source_id, target_id, similarity)``: the ``k`` nearest facts of other documents; sides have ``id, document_id, embedding``."""
-    side = lambda d: d.select("id", F.col("document_id").alias("grp"), F.col("embedding").alias("v"))
+def pair_semantic(focus: DataFrame, corpus: DataFrame, k: int = TOP_K, version: str | None = None) -> DataFrame:
+    """``(source_id, target_id, similarity)``: the ``k`` nearest published facts of other documents; sides have ``id,
+    document_id, embedding``."""
+    side = lambda d: published(d, version).select("id", F.col("document_id").alias("grp"), F.col("embedding").alias("v"))
     return nearest(side(focus), side(corpus), k)
 
 
@@ -130,3 +138,16 @@ def pair_stats(focus: DataFrame, corpus: DataFrame, filtered: DataFrame) -> Data
     return counts.crossJoin(focus.agg(F.count("*").alias("focus"))).crossJoin(corpus.agg(F.count("*").alias("corpus")))  # single rows
 
 
+
+
+def pairs_report(document_id, facts: DataFrame, semantic: DataFrame, version: str, limit: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What pairing would propose for one document now, without writing it: ``(pairs, excluded, stats)``.
+
+    ``pairs`` are the best ones with both sides' facts, ``excluded`` the refusals per fact and reason, ``stats`` one row of
+    counters; the first two are cut to ``limit`` rows. ``semantic`` has the proposals by similarity.
+    """
+    focus = facts.where(F.col("document_id") == document_id)
+    most = clamp_limit(limit, 100)
+    mine = semantic.join(focus.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    done = prefilter(union_paths(pair_deterministic(focus, facts, version), mine), published(facts, version))
+    return rank_pairs(done).limit(most), exclusion_summary(done).limit(most), pair_stats(published(focus, version), published(facts, version), done)

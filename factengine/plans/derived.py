@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores if it has fewer partitions, as a file of one row group has; larger inputs stay as read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+from factengine.functions.values import normalize_value
+from factengine.schemas import TABLE_CONTEXT
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def price(column: str = "p_retailprice") -> Column:
@@ -42,10 +39,28 @@ def price_claims(part: DataFrame) -> DataFrame:
 
 
 def price_facts(part: DataFrame) -> DataFrame:
-    """The claims' facts with their canonical values taken from the table itself: what normalisation has to arrive at."""
-    claims = price_claims(part.withColumn("cents", price()))
-    values = part.select("p_partkey", (price() * 1000000).cast("decimal(30,0)").alias("amount"))
-    return claims.drop("unit").join(values, "p_partkey").select("*", F.lit("INR").alias("unit"), F.col("amount").cast("string").alias("canonical_value"), F.col("amount").cast("double").alias("canonical_number")).drop("amount")
+    """The price claims as stored facts, their values normalised. By the last digit of the key the second claim differs in
+    type, predicate, subject or document, so that every rule about pairs has something to refuse."""
+    claims = price_claims(part)
+    value = normalize_value(F.col("raw_value"), F.col("value_type"), F.col("unit"))
+    facts = claims.withColumn("v", value).withColumn("k", F.col("p_partkey") % 10).withColumn("second", F.col("id").startswith("c"))
+    k, second = F.col("k"), F.col("second")
+    return facts.select(
+        "id",
+        F.when(second & (k == 9), F.concat(F.lit("m"), F.substring("document_id", 2, 100))).otherwise(F.col("document_id")).alias("document_id"),
+        F.when(second & k.isin(4, 5), "Something else").otherwise(F.col("subject")).alias("subject"),
+        F.when(second & (k == 3), "headcount").when(second & (k == 4), "includes").when(second & (k == 5), "climbs").otherwise(F.col("predicate")).alias("predicate"),
+        F.when(second & (k == 2), "duration").otherwise(F.col("value_type")).alias("value_type"),
+        "raw_value",
+        F.col("v.unit").alias("unit"),
+        F.col("v.canonical_value").alias("canonical_value"),
+        F.col("v.canonical_number").alias("canonical_number"),
+        "p_partkey",
+        "p_size",
+        "p_type",
+        F.when(second & (F.col("p_partkey") % 13 == 0), "rejected").otherwise("published").alias("status"),
+        F.when(F.col("p_partkey") % 17 == 0, "v1").otherwise("v2").alias("pipeline_version"),
+    )
 
 
 def order_facts(orders: DataFrame) -> DataFrame:
@@ -68,13 +83,41 @@ def order_facts(orders: DataFrame) -> DataFrame:
     )
 
 
+def stored_facts(orders: DataFrame) -> DataFrame:
+    """The order facts with every column of the facts table; every second one has a period of four."""
+    k, published = F.col("id"), F.col("status") == "published"
+    dated = k % 4 == 0
+    return order_facts(orders).withColumns(
+        {
+            "canonical_value": F.col("raw_value"),
+            "canonical_number": F.col("raw_value").cast("double"),
+            "unit": F.when(k % 3 != 0, "USD"),
+            "value_type": F.lit("money"),
+            "normalization_rule": F.lit("usd_identity"),
+            "period_start": F.when(dated, F.lit("2024-01-01").cast("date")),
+            "period_end": F.when(dated, F.lit("2024-12-31").cast("date")),
+            "period_precision": F.when(dated, "year"),
+            "qualifiers": F.create_map(F.lit("region"), F.lit("north")),
+            "modality": F.when(k % 4 == 0, "projected").otherwise("observed"),
+            "attributed_to": F.lit(None).cast("string"),
+            "source": F.lit("prose"),
+            "table_context": F.lit(None).cast(TABLE_CONTEXT),
+            "quote": F.col("subject"),
+            "line_ids": F.array(F.lit("p1l1")),
+            "verified": published,
+            "context_complete": published,
+            "rejection_detail": F.when(~published, "not found"),
+        }
+    )
+
+
 def order_edges(orders: DataFrame) -> DataFrame:
     """One edge per order, to the fact of the next order key."""
     k = F.col("o_orderkey")
     verdicts = F.array(*map(F.lit, ("corroborates", "contradicts", "reconciles", "insufficient")))
     reasons = F.array(*map(F.lit, ("equivalent_value", "value_conflict", "vintage_difference", "missing_context")))
     at = (F.floor(k / 3) % 4 + 1).cast("int")
-    return orders.select(k.alias("id"), k.alias("source_id"), (k + 1).alias("target_id"), F.element_at(verdicts, at).alias("verdict"), F.element_at(reasons, at).alias("reason_code"), F.when(k % 13 != 0, (k % 97) / 100.0).alias("confidence"), F.when(k % 5 == 0, "contradicts").alias("prior_verdict"))
+    return orders.select(k.alias("id"), k.alias("source_id"), (k + 1).alias("target_id"), F.element_at(verdicts, at).alias("verdict"), F.element_at(reasons, at).alias("reason_code"), F.when(k % 13 != 0, (k % 97) / 100.0).alias("confidence"), F.when(k % 5 == 0, "contradicts").alias("prior_verdict"), F.when(k % 10 == 0, "Restated.").alias("prior_explanation"), F.array(F.lit("unit")).alias("matched_fields"), F.array(F.lit("value")).alias("mismatched_fields"), F.lit("So it is.").alias("explanation"), F.when(k % 4 == 0, "v1").otherwise("v2").alias("pipeline_version"))
 
 
 def customer_documents(customer: DataFrame) -> DataFrame:
@@ -86,13 +129,19 @@ def customer_documents(customer: DataFrame) -> DataFrame:
         F.when(failed, "failed").when(k % 4 == 0, "parsing").otherwise("ready").alias("status"),
         F.when(failed, F.when(k % 2 == 0, "encrypted").otherwise("parse_failed")).alias("failure_reason"),
         F.when(~failed, F.when(k % 3 == 0, "v1").otherwise("v2")).alias("pipeline_version"),
+        F.concat("c_name", F.lit(".pdf")).alias("filename"),
+        F.sha2("c_name", 256).alias("content_hash"),
+        (k * 1000).cast("long").alias("byte_size"),
+        F.when(failed, "it would not open").alias("failure_detail"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (k % 400).cast("int")).alias("created_at"),
     )
 
 
 def customer_pages(customer: DataFrame) -> DataFrame:
     """As many pages per customer as its nation's number; some failed."""
     pages = customer.select(F.col("c_custkey").alias("document_id"), F.explode(F.sequence(F.lit(1), (F.col("c_nationkey") + 1).cast("int"))).alias("page_number"))
-    return pages.withColumn("status", F.when((F.col("document_id") + F.col("page_number")) % 9 == 0, "failed").otherwise("parsed"))
+    failed = (F.col("document_id") + F.col("page_number")) % 9 == 0
+    return pages.withColumns({"status": F.when(failed, "failed").otherwise("parsed"), "failure_reason": F.when(failed, "no_text_layer"), "failure_detail": F.lit(None).cast("string")})
 
 
 def event_jobs(events: DataFrame) -> DataFrame:
@@ -100,7 +149,7 @@ def event_jobs(events: DataFrame) -> DataFrame:
     k = F.col("event_id")
     status = F.element_at(F.array(*map(F.lit, ("queued", "running", "completed", "failed"))), (k % 4 + 1).cast("int"))
     stage = F.element_at(F.array(*map(F.lit, ("parse", "extract", "relate"))), (k % 3 + 1).cast("int"))
-    return events.select(k.alias("id"), F.col("user_id").alias("document_id"), F.col("ts").alias("created_at"), status.alias("status"), stage.alias("stage"))
+    return events.select(k.alias("id"), F.col("user_id").alias("document_id"), F.col("ts").alias("created_at"), status.alias("status"), stage.alias("stage"), F.when(k % 2 == 0, "v2").otherwise("v1").alias("pipeline_version"), F.when(k % 4 == 3, "parse_failed").alias("failure_reason"))
 
 
 def line_boxes(lineitem: DataFrame) -> DataFrame:
@@ -134,3 +183,16 @@ def grid_pages(lineitem: DataFrame) -> DataFrame:
     zero = F.lit("h")
     head = F.array(cell(zero, "t", 20.0, F.lit("Order lines"), F.lit(5), 16.0, 230.0), cell(zero, "u", 20.0, F.lit("(amounts in US dollars)"), F.lit(25)), cell(zero, "q", 120.0, F.lit("Quantity"), F.lit(44)), cell(zero, "e", 220.0, F.lit("Price"), F.lit(44)))
     return lines.select(F.col("l_orderkey").alias("document_id"), F.lit(1).alias("page_number"), F.lit(612.0).alias("width"), F.concat(head, "cells").alias("lines"))
+
+
+def price_pages(part: DataFrame) -> DataFrame:
+    """A page per part in a document per brand, as plain text: a line with a price and its year, a line about revenue that
+    names no year, or a line without a number."""
+    amount = F.col("p_retailprice").cast("decimal(18,2)").cast("string")
+    k = F.col("p_partkey") % 3
+    line = (
+        F.when(k == 0, F.concat(F.lit("Revenue from "), "p_name", F.lit(" was ₹"), amount, F.lit(" million")))
+        .when(k == 1, F.concat(F.lit("The price of "), "p_name", F.lit(" was ₹"), amount, F.lit(" million for the year ended 31 March 2024.")))
+        .otherwise(F.concat(F.lit("No price was set for "), "p_name"))
+    )
+    return part.select(F.col("p_brand").alias("document_id"), F.col("p_partkey").cast("int").alias("page_number"), F.concat(F.lit("Prices and amounts\n"), line).alias("text"))

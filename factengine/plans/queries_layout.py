@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from factengine.operators import extract, gates, layout
 from factengine.operators.grounding import audit, audit_summary, ground
 from factengine.operators.providers import embed
-from factengine.plans.derived import document_pages, grid_pages, line_boxes, table
+from factengine.operators.publish import candidates_of, locate, to_facts
+from factengine.plans.derived import document_pages, grid_pages, line_boxes, price_pages, table
 from factengine.plans.registry import query
 from factengine.schemas import CANDIDATE
+from factengine.session import new_folder, written
 from factengine.sources import intake
+from factengine.sources.store import Store
 
 _LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda t: regexp_replace(t, '^[\\s\\x{00a0}\\x{3000}\\x{feff}]+|[\\s\\x{00a0}\\x{3000}\\x{feff}]+$', '', 'g')), lambda t: length(t) > 0)"
 
@@ -64,12 +67,12 @@ def sampled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").where("s_suppkey > 0").select("s_suppkey", intake.sampled_pages(F.col("s_suppkey")).alias("pages"))
 
 
-@query("SELECT doc_id, CASE WHEN text IS NULL THEN false WHEN doc_id % 3 = 2 THEN false ELSE true END AS quoted FROM documents WHERE length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 40")
+@query("SELECT doc_id, text IS NOT NULL AND doc_id % 3 <> 2 AS quoted FROM documents")
 def verbatim_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes with other line breaks are found; quotes with an invented word are not."""
-    docs = table(spark, sf_dir, "documents").where(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 40)
+    """Whole texts as quotes: with other line breaks they are found, with an invented word they are not; null has none."""
+    docs = table(spark, sf_dir, "documents")
     flat = F.trim(F.regexp_replace("text", r"\s+", " "))
-    quote = F.when(F.col("doc_id") % 3 == 2, F.concat(F.lit("inventedword "), F.substring(flat, 1, 40))).when(F.col("doc_id") % 3 == 1, F.regexp_replace(F.substring(flat, 1, 40), " ", "\n")).otherwise(flat)
+    quote = F.when(F.col("doc_id") % 3 == 2, F.concat(F.lit("inventedword "), flat)).when(F.col("doc_id") % 3 == 1, F.replace(flat, F.lit(" "), F.lit("\n"))).otherwise(flat)
     return docs.select("doc_id", gates.verbatim(quote, F.col("text")).alias("quoted"))
 
 
@@ -150,7 +153,7 @@ def ground_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+WITH d AS (SELECT doc_id FROM documents)
 SELECT reason, count(*) AS count FROM (
   SELECT unnest(list_filter([CASE WHEN doc_id % 10 = 1 THEN 'page_missing' END, CASE WHEN doc_id % 10 <> 1 AND doc_id % 10 = 2 THEN 'line_missing' END, CASE WHEN doc_id % 10 = 3 THEN 'quote_missing' END, CASE WHEN doc_id % 10 = 4 THEN 'not_verified' END, CASE WHEN doc_id % 10 = 5 THEN 'context_incomplete' END, CASE WHEN doc_id % 10 = 6 THEN 'table_context_missing' END], lambda x: x IS NOT NULL)) AS reason FROM d)
 GROUP BY ALL
@@ -158,14 +161,14 @@ GROUP BY ALL
 )
 def evidence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published facts with one planted fault in ten kinds, found again by the audit."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     k = F.col("doc_id") % 10
     none = F.lit(None).cast("string")
     facts = docs.select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("doc_id").alias("document_id"),
         F.when(k == 1, 2).otherwise(1).alias("page"),
-        F.when(k == 3, F.concat(F.lit("\u0001invented "), F.substring("text", 1, 20))).otherwise(F.col("text")).alias("quote"),
+        F.when(k == 3, F.concat(F.lit("\u0001invented "), "text")).otherwise(F.col("text")).alias("quote"),
         F.array(F.when(k == 2, "p1l99999999").otherwise("p1l1")).alias("line_ids"),
         (k != 4).alias("verified"),
         (k != 5).alias("context_complete"),
@@ -247,14 +250,24 @@ def table_cell_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("document_id", "id", F.size("cells").cast("long").alias("cells"), F.get(headers, F.size(headers) - 1).alias("some_header"))
 
 
-@query()
+@query(
+    f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LINES} AS ls FROM documents), l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM d), n AS (SELECT doc_id, i, length(ls[i]) + 1 AS size FROM l),
+r AS (
+  SELECT doc_id, i, 1 AS b, size AS run, size FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.doc_id, n.i, CASE WHEN r.run + n.size > 4000 THEN r.b + 1 ELSE r.b END, CASE WHEN r.run + n.size > 4000 THEN n.size ELSE r.run + n.size END, n.size FROM r JOIN n ON n.doc_id = r.doc_id AND n.i = r.i + 1
+)
+SELECT doc_id AS document_id, 'prose-' || b AS id, count(*) AS lines, sum(size)::BIGINT AS chars FROM r GROUP BY ALL
+"""
+)
 def prose_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prose of every document in batches of at most 4,000 characters."""
     pages = intake.text_pages(document_pages(table(spark, sf_dir, "documents"))).withColumn("tables", F.array().cast("array<struct<quality: string, rows: array<struct<cells: array<struct<lineIds: array<string>>>>>>>"))
     return extract.prose_batches(pages).groupBy("document_id", "id").agg(F.count("*").alias("lines"), F.sum(F.length("text") + 1).alias("chars"))
 
 
-@query()
+@query("WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) SELECT 'number' AS \"valueType\", NULL::VARCHAR AS kind, (3 * sum(n))::BIGINT AS n FROM n WHERE n >= 2")
 def extract_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of the rebuilt tables by the offline provider, counted by type."""
     batches = extract.table_batches(extract.table_inputs(layout.reconstruct(grid_pages(table(spark, sf_dir, "lineitem")))))
@@ -314,3 +327,34 @@ def embed_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offline vectors of part names are of unit length."""
     v = table(spark, sf_dir, "part").select("p_partkey", embed(F.col("p_name"), dimensions=64).alias("v"))
     return v.select("p_partkey", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 5).alias("norm"))
+
+
+@query("SELECT c_nationkey AS document_id, CASE WHEN count(*) >= 8 AND count(DISTINCT c_custkey % 2) = 2 THEN 2 ELSE 1 END AS bands, CASE WHEN count(*) >= 8 AND count(DISTINCT c_custkey % 2) = 2 THEN 250.0::DOUBLE ELSE 600.0::DOUBLE END AS first_end FROM customer GROUP BY ALL")
+def column_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a nation as lines in two columns of a page: the gutter between them cuts it."""
+    c = table(spark, sf_dir, "customer")
+    left, y = F.when(F.col("c_custkey") % 2 == 0, 0.0).otherwise(300.0), (F.col("c_custkey") * 20).cast("double")
+    box = F.struct(left.alias("x0"), y.alias("y0"), (left + 200).alias("x1"), (y + 10).alias("y1"))
+    line = F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("text"), box.alias("bbox"), F.lit(10.0).alias("size"))
+    pages = c.groupBy(F.col("c_nationkey").alias("document_id")).agg(F.collect_list(line).alias("lines")).withColumns({"page_number": F.lit(1), "width": F.lit(600.0)})
+    return layout.reconstruct(pages).select("document_id", F.size("bands").alias("bands"), F.col("bands")[0]["x1"].alias("first_end"))
+
+
+@query(
+    """
+WITH p AS (SELECT p_brand, p_partkey, CAST(p_retailprice AS DECIMAL(18,2)) AS amount, p_partkey % 3 AS k,
+  CASE p_partkey % 3 WHEN 0 THEN 'Revenue from ' || p_name || ' was ₹' || CAST(p_retailprice AS DECIMAL(18,2)) || ' million' ELSE 'The price of ' || p_name || ' was ₹' || CAST(p_retailprice AS DECIMAL(18,2)) || ' million for the year ended 31 March 2024.' END AS line FROM part)
+SELECT p_brand AS document_id, p_partkey::INT AS page, CASE k WHEN 0 THEN 'rejected' ELSE 'published' END AS status, CASE k WHEN 0 THEN 'missing_context' END AS rejection_reason,
+  (amount * 1000000)::DECIMAL(30,0)::VARCHAR AS canonical_value, 'INR' AS unit, 'p' || p_partkey || 'l2' AS lines, least(612.0, length(line) * 6.0)::DOUBLE AS x1, CASE k WHEN 1 THEN DATE '2024-03-31' END AS period_end
+FROM p WHERE k < 2
+"""
+)
+def write_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From pages to stored facts: batches over many pages, candidates, each put on the page of its first cited line,
+    grounded there, stored and read back."""
+    raw = price_pages(table(spark, sf_dir, "part"))
+    pages = written(layout.reconstruct(intake.text_pages(raw)), "pages")
+    found, batches = candidates_of(pages)
+    facts = to_facts(locate(written(found, "candidates"), pages, batches), pages, "v2")
+    stored = Store(spark, new_folder(spark, "facts")).write("facts", facts)
+    return stored.select("document_id", "page", "status", "rejection_reason", "canonical_value", "unit", F.array_join("line_ids", ",").alias("lines"), "bbox.x1", "period_end")

@@ -10,24 +10,29 @@ from factengine.operators import pairing
 from factengine.operators.extract import pair_plan
 from factengine.operators.providers import embedding_text
 from factengine.plans.derived import price_facts, table
+from factengine.plans.read import hydrate
 from factengine.plans.registry import query
+from factengine.session import written
 
 _FACTS = """
 f AS (
-  SELECT k.form || p_partkey AS id, k.form || ':' || p_brand AS document_id, p_name AS subject, k.predicate, (CAST(p_retailprice AS DECIMAL(18,2)) * 1000000)::DECIMAL(30,0)::DOUBLE AS num, p_type, p_size, p_partkey
-  FROM part, (VALUES ('m', 'retail price'), ('c', 'price at retail')) k(form, predicate)
+  SELECT k.form || p_partkey AS id, CASE WHEN k.form = 'c' AND p_partkey % 10 = 9 THEN 'm' ELSE k.form END || ':' || p_brand AS document_id, CASE WHEN k.form = 'c' AND p_partkey % 10 IN (4, 5) THEN 'Something else' ELSE p_name END AS subject,
+    CASE WHEN k.form = 'm' THEN 'retail price' ELSE CASE p_partkey % 10 WHEN 3 THEN 'headcount' WHEN 4 THEN 'includes' WHEN 5 THEN 'climbs' ELSE 'price at retail' END END AS predicate,
+    CASE WHEN k.form = 'c' AND p_partkey % 10 = 2 THEN 'duration' ELSE 'money' END AS value_type, (CAST(p_retailprice AS DECIMAL(18,2)) * 1000000)::DECIMAL(30,0)::DOUBLE AS num, p_partkey, k.form
+  FROM part, (VALUES ('m'), ('c')) k(form) WHERE NOT (k.form = 'c' AND p_partkey % 13 = 0) AND p_partkey % 17 <> 0
 )"""
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    facts = price_facts(table(spark, sf_dir, "part"))
+    """The price facts, stored once, in their two halves; the SQL keeps only those that are published in the version."""
+    facts = written(price_facts(table(spark, sf_dir, "part")), "price_facts")
     return facts.where("id like 'm%'"), facts.where("id like 'c%'")
 
 
-@query(f"WITH {_FACTS} SELECT a.id AS source_id, b.id AS target_id FROM f a JOIN f b ON a.id[1] = 'm' AND b.id[1] = 'c' AND a.document_id <> b.document_id AND abs(a.num - b.num) <= 1e-9 * greatest(abs(a.num), abs(b.num), 1)")
+@query(f"WITH {_FACTS} SELECT a.id AS source_id, b.id AS target_id FROM f a JOIN f b ON a.form = 'm' AND b.form = 'c' AND a.document_id <> b.document_id AND abs(a.num - b.num) <= 1e-9 * greatest(abs(a.num), abs(b.num), 1)")
 def pair_deterministic_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices in millions against prices in crores, by the tolerance join."""
-    return pairing.pair_deterministic(*_facts(spark, sf_dir))
+    """Published prices in millions against prices in crores, by the tolerance join."""
+    return pairing.pair_deterministic(*_facts(spark, sf_dir), "v2")
 
 
 @query(
@@ -87,67 +92,88 @@ def pair_union_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.select(key.alias("pair_key"), F.col("source_id").cast("long").alias("source_id"), F.col("target_id").cast("long").alias("target_id"), F.array_join("paths", ",").alias("paths"), F.round("similarity", 6).alias("similarity"))
 
 
-def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price pairs by value, and pairs of parts of one type and size with a similarity made from their keys."""
+def _proposals(million: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs as an earlier run may have proposed them: by value though values have changed since, and by a similarity made
+    from the keys, some to facts that are not there."""
+    k = F.col("p_partkey")
+    stale = million.where(k % 10 == 6).select(F.col("id").alias("source_id"), F.concat(F.lit("c"), k + 1).alias("target_id"))
+    near = million.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(3)))).where(~((k % 10 == 3) & (F.col("d") == 0)))
+    gone = (k % 10 == 7) & (F.col("d") == 0)
+    target = F.when(gone, F.concat(F.lit("x"), k)).otherwise(F.concat(F.lit("c"), k + F.col("d")))
+    return stale, near.select(F.col("id").alias("source_id"), target.alias("target_id"), ((k * 7 + F.col("d") * 31) % 100 / 100.0).alias("similarity"))
+
+
+def _filtered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both halves, and their proposed pairs through the cascade."""
     million, crore = _facts(spark, sf_dir)
-    found = pairing.pair_deterministic(million, crore)
-    a, b = (d.select(F.col("id").alias(f"{n}_id"), "p_type", "p_size", F.col("p_partkey").alias(f"{n}_key")) for n, d in (("source", million), ("target", crore)))
-    near = a.join(b, ["p_type", "p_size"]).where("abs(source_key - target_key) <= 300").select("source_id", "target_id", ((F.col("source_key") * 7 + F.col("target_key") * 3) % 100 / 100.0).alias("similarity"))
-    return pairing.prefilter(pairing.union_paths(found, near), million.unionByName(crore))
+    stale, near = _proposals(million)
+    found = pairing.pair_deterministic(million, crore, "v2").unionByName(stale)
+    return million, crore, pairing.prefilter(pairing.union_paths(found, near), pairing.published(million.unionByName(crore), "v2"))
 
 
 _TOK = "list_distinct(list_filter(string_split(lower({0}), ' '), lambda w: w NOT IN ('at')))"
 _AFF = "CASE WHEN len(list_intersect({a}, {b})) = 0 THEN 0.0 ELSE greatest(len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))), 0.75 * len(list_intersect({a}, {b})) / least(len({a}), len({b}))) END"
-_CASCADE = f"""
+
+
+def _cascade(by_value: str, focus: str = "true") -> str:
+    """The cascade over the pairs that a query proposes by value, and over those by similarity."""
+    return f"""
 WITH {_FACTS}, d AS (
-  SELECT a.id AS source_id, b.id AS target_id, 'd' AS path, NULL::DOUBLE AS similarity FROM f a JOIN f b ON a.id[1] = 'm' AND b.id[1] = 'c' AND a.num = b.num AND a.document_id <> b.document_id
+  {by_value}
   UNION ALL
-  SELECT a.id, b.id, 's', (a.p_partkey * 7 + b.p_partkey * 3) % 100 / 100.0::DOUBLE FROM f a JOIN f b ON a.id[1] = 'm' AND b.id[1] = 'c' AND a.p_type = b.p_type AND a.p_size = b.p_size AND abs(a.p_partkey - b.p_partkey) <= 300
+  SELECT 'm' || p_partkey, CASE WHEN p_partkey % 10 = 7 AND d = 0 THEN 'x' || p_partkey ELSE 'c' || (p_partkey + d) END, 's', (p_partkey * 7 + d * 31) % 100 / 100.0::DOUBLE FROM part, (VALUES (0), (1), (2), (3)) n(d) WHERE NOT (p_partkey % 10 = 3 AND d = 0) AND {focus}
 ), u AS (
   SELECT source_id, target_id, bool_or(path = 'd') AS by_value, bool_or(path = 's') AS by_text, CASE WHEN count(*) > 1 THEN nullif(max(similarity), 0) ELSE max(similarity) END AS similarity FROM d GROUP BY ALL
 ), p AS (
-  SELECT u.*, a.document_id AS da, b.document_id AS db, a.num = b.num AS same, {_TOK.format("a.subject")} AS sa, {_TOK.format("b.subject")} AS sb, coalesce(similarity, 0) AS sim
-  FROM u JOIN f a ON a.id = source_id JOIN f b ON b.id = target_id
+  SELECT u.*, a.id IS NULL OR b.id IS NULL AS gone, a.document_id AS da, b.document_id AS db, a.value_type AS ta, b.value_type AS tb, coalesce(a.num = b.num, false) AS same, {_TOK.format("a.subject")} AS sa, {_TOK.format("b.subject")} AS sb, b.predicate = 'includes' AS generic,
+    CASE WHEN b.predicate IN ('price at retail', 'retail price') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS predicate_affinity, coalesce(similarity, 0) AS sim
+  FROM u LEFT JOIN f a ON a.id = source_id LEFT JOIN f b ON b.id = target_id
 ), q AS (
-  SELECT *, {_AFF.format(a="sa", b="sb")} AS subject_affinity, 1.0::DOUBLE AS predicate_affinity FROM p
+  SELECT *, CASE WHEN gone THEN 0.0 ELSE {_AFF.format(a="sa", b="sb")} END AS subject_affinity FROM p
 ), x AS (
   SELECT *, least(source_id, target_id) || ':' || greatest(source_id, target_id) AS pair_key,
     CASE WHEN same THEN 0.75 + 0.25 * (predicate_affinity + subject_affinity) / 2 ELSE 0.7 * sim END AS score,
-    CASE WHEN da = db THEN 'same_document' WHEN NOT ((by_text AND sim >= 0.5) OR (by_value AND same)) THEN CASE WHEN by_value AND NOT same THEN 'value_mismatch' ELSE 'similarity_floor' END
-      WHEN by_text AND NOT by_value AND NOT (subject_affinity >= 0.25 OR predicate_affinity >= 0.5) AND sim < 0.72 THEN 'claim_relation'
+    CASE WHEN gone THEN 'unknown_assertion' WHEN da = db THEN 'same_document' WHEN ta <> tb THEN 'value_type' WHEN NOT ((by_text AND sim >= 0.5) OR (by_value AND same)) THEN CASE WHEN by_value AND NOT same THEN 'value_mismatch' ELSE 'similarity_floor' END
+      WHEN by_text AND NOT by_value AND NOT (subject_affinity >= 0.25 OR (predicate_affinity >= 0.5 AND NOT generic)) AND sim < 0.72 THEN 'claim_relation'
       WHEN by_value AND NOT by_text AND predicate_affinity < 0.5 THEN 'predicate' END AS exclusion_reason
   FROM q
 )"""
 
 
+_STALE = "SELECT 'm' || p_partkey AS source_id, 'c' || (p_partkey + 1) AS target_id, 'd' AS path, NULL::DOUBLE AS similarity FROM part WHERE p_partkey % 10 = 6"
+_CASCADE = _cascade(f"SELECT a.id AS source_id, b.id AS target_id, 'd' AS path, NULL::DOUBLE AS similarity FROM f a JOIN f b ON a.form = 'm' AND b.form = 'c' AND a.num = b.num AND a.document_id <> b.document_id UNION ALL {_STALE}")
+_ONE = "(SELECT 'm:' || min(p_brand) FROM part)"
+_REPORT = _cascade(f"SELECT a.id AS source_id, b.id AS target_id, 'd' AS path, NULL::DOUBLE AS similarity FROM f a JOIN f b ON a.document_id = {_ONE} AND a.num = b.num AND a.document_id <> b.document_id", f"'m:' || p_brand = {_ONE}")
+
+
 @query(f"{_CASCADE} SELECT coalesce(exclusion_reason, 'kept') AS outcome, count(*) AS n, round(max(score), 9) AS score FROM x GROUP BY ALL")
 def prefilter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many pairs each rule refuses."""
-    return _filtered(spark, sf_dir).groupBy(F.coalesce("exclusion_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"), F.round(F.max("score"), 9).alias("score"))
+    return _filtered(spark, sf_dir)[2].groupBy(F.coalesce("exclusion_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"), F.round(F.max("score"), 9).alias("score"))
 
 
 @query(f"{_CASCADE} SELECT source_id, exclusion_reason, count(*) AS count, round(max(score), 9) AS best_score FROM x WHERE exclusion_reason IS NOT NULL GROUP BY ALL")
 def exclusion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refusals per fact and reason."""
-    return pairing.exclusion_summary(_filtered(spark, sf_dir)).withColumn("best_score", F.round("best_score", 9))
+    return pairing.exclusion_summary(_filtered(spark, sf_dir)[2]).withColumn("best_score", F.round("best_score", 9))
 
 
 @query(f"{_CASCADE} SELECT pair_key, round(score, 9) AS score FROM x WHERE exclusion_reason IS NULL ORDER BY x.score DESC, pair_key LIMIT 100")
 def pair_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred best pairs of the ranking."""
-    return pairing.rank_pairs(_filtered(spark, sf_dir)).limit(100).select("pair_key", F.round("score", 9).alias("score"))
+    return pairing.rank_pairs(_filtered(spark, sf_dir)[2]).limit(100).select("pair_key", F.round("score", 9).alias("score"))
 
 
 @query(f"{_CASCADE} SELECT count(*) AS retrieved, count(*) FILTER (by_value) AS deterministic, count(*) FILTER (by_text) AS semantic, count(*) FILTER (exclusion_reason IS NULL) AS pairs, 0::BIGINT AS capped, count(*) FILTER (exclusion_reason IS NOT NULL) AS dropped, (SELECT count(*) FROM part) AS focus, (SELECT count(*) FROM part) AS corpus FROM x")
 def pair_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of one pairing run."""
-    return pairing.pair_stats(*_facts(spark, sf_dir), _filtered(spark, sf_dir))
+    return pairing.pair_stats(*_filtered(spark, sf_dir))
 
 
 @query(f"{_CASCADE} SELECT source_id, ((row_number() OVER (PARTITION BY source_id ORDER BY x.score DESC, pair_key) - 1) // 2)::INT AS batch, pair_key FROM x WHERE exclusion_reason IS NULL")
 def pair_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept pairs of each fact in batches of two."""
-    kept = _filtered(spark, sf_dir).where("exclusion_reason is null")
+    kept = _filtered(spark, sf_dir)[2].where("exclusion_reason is null")
     return pair_plan(kept, "source_id", 2).select("source_id", "batch", "pair_key")
 
 
@@ -238,7 +264,7 @@ def orient_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("reason_code").agg(F.count_if(F.col("source_id") == F.col("source.id")).alias("source_first"), F.count("*").alias("n"))
 
 
-@query()
+@query(f"{_PAIRS} SELECT CASE WHEN settled IS NULL THEN 'insufficient' ELSE 'corroborates' END AS verdict, coalesce(settled, 'missing_context') AS reason_code, count(*) AS n FROM g GROUP BY ALL")
 def adjudicate_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of all order pairs with the offline judge, by verdict and reason."""
     edges, _ = judge.adjudicate(_order_pairs(spark, sf_dir), "0.7.0-offline")
@@ -248,18 +274,28 @@ def adjudicate_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 {_CASCADE}
-SELECT CASE WHEN same AND subject_affinity >= 0.5 THEN 'equivalent_value' ELSE 'open' END AS outcome, count(*) AS n FROM x WHERE exclusion_reason IS NULL GROUP BY ALL
+SELECT CASE WHEN same AND subject_affinity >= 0.5 AND predicate_affinity >= 0.5 THEN 'equivalent_value' ELSE 'open' END AS outcome, count(*) AS n FROM x WHERE exclusion_reason IS NULL GROUP BY ALL
 """
 )
 def settle_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """End to end: prices normalised, paired, filtered, compared; how many pairs corroborate."""
-    kept = _filtered(spark, sf_dir).where("exclusion_reason is null")
-    none, kind = F.lit(None), "struct<start: date, end: date, precision: string>"
-    side = lambda p: F.struct(F.col(f"{p}_id").alias("id"), F.col(f"{p}_subject").alias("subject"), F.col(f"{p}_predicate").alias("predicate"), F.concat(F.lit(p), F.col(f"{p}_canonical_value")).alias("raw_value"), F.col(f"{p}_canonical_value").alias("canonical_value"), F.col(f"{p}_canonical_number").alias("canonical_number"), F.col(f"{p}_unit").alias("unit"), none.cast("map<string, string>").alias("qualifiers"), F.lit("observed").alias("modality"), none.cast("string").alias("attributed_to"), F.struct(F.lit("2024-01-01").cast("date").alias("start"), F.lit("2024-12-31").cast("date").alias("end"), F.lit("year").alias("precision")).cast(kind).alias("period"))
-    found = judge.compare(kept.select("pair_key", side("a").alias("source"), side("b").alias("target")))
+    """End to end: prices normalised and stored, paired, filtered, hydrated, compared; how many pairs corroborate."""
+    million, crore, done = _filtered(spark, sf_dir)
+    year = F.struct(F.lit("2024-01-01").cast("date").alias("start"), F.lit("2024-12-31").cast("date").alias("end"), F.lit("year").alias("precision"))
+    facts = million.unionByName(crore).withColumns({"qualifiers": F.lit(None).cast("map<string, string>"), "modality": F.lit("observed"), "attributed_to": F.lit(None).cast("string"), "period": year})
+    pairs = hydrate(done.where("exclusion_reason is null").select("pair_key", "source_id", "target_id"), facts, "subject", "predicate", "raw_value", "canonical_value", "canonical_number", "unit", "qualifiers", "modality", "attributed_to", "period")
+    found = judge.compare(pairs)
     return found.groupBy(F.coalesce("settled", F.lit("open")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
+@query(f"{_REPORT} SELECT pair_key, round(score, 9) AS score FROM x WHERE exclusion_reason IS NULL ORDER BY x.score DESC, pair_key LIMIT 100")
+def pairs_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred best pairs of one document, as pairing would propose them now (a top-k report)."""
+    million, crore = _facts(spark, sf_dir)
+    document = million.agg(F.min("document_id")).first()[0]
+    pairs, _, _ = pairing.pairs_report(document, million.unionByName(crore), _proposals(million)[1], "v2")
+    return pairs.select("pair_key", F.round("score", 9).alias("score"))
+
+
 @query("SELECT p_partkey, trim(p_name) || ': retail price' AS text FROM part")
 def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is embedded of a claim."""

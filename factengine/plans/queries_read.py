@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factengine.plans import read
-from factengine.plans.derived import customer_documents, customer_pages, event_jobs, order_edges, order_facts, table
+from factengine.plans.derived import customer_documents, customer_pages, event_jobs, order_edges, order_facts, stored_facts, table
+from factengine.plans.export import export_documents
 from factengine.plans.registry import query
+from factengine.session import new_folder
 from factengine.sources import store
 
 _FACTS = """
@@ -238,15 +238,82 @@ def vector_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that have no vector yet, by an anti join against the side table."""
     have = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"))
-    return _edges(spark, sf_dir).join(have, "id", "left_anti").select("id")
+    return read.without_vector(_edges(spark, sf_dir), have).select("id")
+
+
+_EXPORTED = "struct<documents: array<struct<pagesParsed: bigint, pagesFailed: bigint, filename: string>>, facts: array<struct<id: bigint, rawValue: string, period: struct<start: string>, evidence: struct<quote: string>, qualifiers: string>>, edges: array<struct<id: bigint, priorPass: struct<verdict: string>>>, failures: struct<documents: array<struct<reason: string>>, pages: array<struct<page: int, reason: string>>, assertions: array<struct<id: bigint, rejectionReason: string>>>>"
 
 
-@query()
+@query(
+    f"""
+WITH {_FACTS}, {_EDGES}, {_DOCS},
+c AS (SELECT * FROM d WHERE pipeline_version = 'v2' OR (status = 'failed' AND pipeline_version IS NULL)),
+w AS (SELECT document_id, count(*) FILTER (status = 'published') AS facts, count(*) FILTER (status = 'published' AND id % 4 = 0) AS dated, count(*) FILTER (status = 'rejected') AS rejected, coalesce(sum(id) FILTER (status = 'published'), 0) AS id_sum FROM f WHERE pipeline_version = 'v2' GROUP BY ALL),
+t AS (SELECT DISTINCT f.document_id, e.id FROM e JOIN f ON f.pipeline_version = 'v2' AND (f.id = e.source_id OR f.id = e.target_id) WHERE e.id % 4 <> 0),
+l AS (SELECT document_id, count(*) AS edges, count(*) FILTER (id % 10 = 0) AS priors FROM t GROUP BY ALL),
+g AS (SELECT document_id, count(*) FILTER (status = 'parsed') AS parsed, count(*) FILTER (status = 'failed') AS failed, sum(page_number) FILTER (status = 'failed') AS failed_sum FROM p GROUP BY ALL)
+SELECT c.document_id, g.parsed, g.failed, coalesce(g.failed_sum, 0)::BIGINT AS failed_sum, c.failure_reason, coalesce(facts, 0) AS facts, coalesce(dated, 0) AS dated, coalesce(rejected, 0) AS rejected, coalesce(id_sum, 0)::BIGINT AS id_sum, coalesce(edges, 0) AS edges, coalesce(priors, 0) AS priors
+FROM c LEFT JOIN w USING (document_id) LEFT JOIN l USING (document_id) LEFT JOIN g USING (document_id)
+"""
+)
 def export_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON document per customer of the current version."""
-    none = F.lit(None)
-    facts = _facts(spark, sf_dir).withColumns({"quote": F.col("subject"), "line_ids": F.array(F.lit("p1l1")), "period_start": none.cast("date"), "period_end": none.cast("date"), "period_precision": none.cast("string")})
-    return read.export_documents(_documents(spark, sf_dir), facts, "v2")
+    """One JSON document per customer of the current version, read again and counted."""
+    orders = table(spark, sf_dir, "orders")
+    out = export_documents(_documents(spark, sf_dir), _pages(spark, sf_dir), stored_facts(orders), order_edges(orders), "v2")
+    j = out.select("document_id", F.from_json("json", _EXPORTED).alias("j"))
+    size = lambda c: F.size(c).cast("long")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    dated = F.filter("j.facts", lambda f: f["period"].isNotNull())
+    priors = F.filter("j.edges", lambda e: e["priorPass"].isNotNull())
+    return j.select(
+        "document_id",
+        F.col("j.documents")[0]["pagesParsed"].alias("parsed"),
+        F.col("j.documents")[0]["pagesFailed"].alias("failed"),
+        total(F.transform("j.failures.pages", lambda p: p["page"].cast("long"))).alias("failed_sum"),
+        F.get("j.failures.documents.reason", F.lit(0)).alias("failure_reason"),
+        size("j.facts").alias("facts"),
+        size(dated).alias("dated"),
+        size("j.failures.assertions").alias("rejected"),
+        total("j.facts.id").alias("id_sum"),
+        size("j.edges").alias("edges"),
+        size(priors).alias("priors"),
+    )
+
+
+@query(f"WITH {_DOCS} SELECT d.document_id AS id, c_name || '.pdf' AS filename, sha256(c_name) AS content_hash, d.status, page_count, count(*) FILTER (p.status = 'parsed') AS pages_parsed, count(*) FILTER (p.status = 'failed') AS pages_failed FROM d JOIN customer ON c_custkey = d.document_id LEFT JOIN p USING (document_id) GROUP BY ALL")
+def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read.document_summaries(_documents(spark, sf_dir), _pages(spark, sf_dir))
+
+
+@query(
+    f"""
+WITH {_DOCS}, {_FACTS}, {_JOBS}, t AS (SELECT document_id, count(*) FILTER (status = 'published') AS published, count(*) FILTER (status = 'rejected') AS rejected FROM f GROUP BY ALL),
+o AS (SELECT document_id, id, stage FROM j WHERE status IN ('queued', 'running') AND id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, id DESC) = 1)
+SELECT d.document_id, d.document_id * 1000 AS byte_size, d.status, DATE '2024-01-01' + (d.document_id % 400)::INT AS created_at, coalesce(published, 0) AS published, coalesce(rejected, 0) AS rejected, o.id AS job_id, o.stage FROM d LEFT JOIN t USING (document_id) LEFT JOIN o USING (document_id)
+"""
+)
+def documents_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, newest first, with their counts and open jobs."""
+    out = read.list_documents(_documents(spark, sf_dir), _facts(spark, sf_dir), event_jobs(table(spark, sf_dir, "events")), "v2")
+    return out.select("document_id", "byte_size", "status", "created_at", "facts.published", "facts.rejected", F.col("job.id").alias("job_id"), "job.stage")
+
+
+@query(f"WITH {_DOCS} SELECT document_id, page_number, status FROM p WHERE document_id = 7 AND page_number = 2")
+def page_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page of one document (a look-up)."""
+    return read.read_page(_pages(spark, sf_dir), 7, "2").select("document_id", "page_number", "status")
+
+
+@query(
+    f"""
+WITH {_DOCS}, {_JOBS}, one AS (SELECT * FROM j WHERE id = 42)
+SELECT one.id, one.document_id, one.stage, one.status, max(d.page_count) AS page_count, count(*) FILTER (p.status = 'parsed') AS parsed, count(*) FILTER (p.status = 'failed') AS failed FROM one LEFT JOIN d USING (document_id) LEFT JOIN p USING (document_id) GROUP BY ALL
+"""
+)
+def job_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One job with its document's coverage (a look-up)."""
+    out = read.read_job(event_jobs(table(spark, sf_dir, "events")), _documents(spark, sf_dir), _pages(spark, sf_dir), 42)
+    return out.select("id", "document_id", "stage", "status", "page_count", "parsed", "failed")
 
 
 @query("SELECT 0::BIGINT AS missing, 0::BIGINT AS extra")
@@ -258,16 +325,13 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.col("period_start").isNotNull()
     facts = facts.withColumns({c: F.when(whole, F.col(c)) for c in ("period_end", "period_precision")})
     nested = facts.select(*(c for c in facts.columns if c not in ("page", "quote", "line_ids", "period_start", "period_end", "period_precision")), *read.nest_fact())
-    root = f"{spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix='factengine-')}/round-trip-{spark.sparkContext.applicationId}-{id(object())}"
-    return read.differences(facts, read.flatten_fact(Store(spark, root).write("facts", nested)))
+    return read.differences(facts, read.flatten_fact(Store(spark, new_folder(spark, "round-trip")).write("facts", nested)))
 
 
-@query(f"WITH {_EDGES} SELECT id, prior_verdict IS NOT NULL AND id % 2 = 0 AS has_prior FROM e")
+@query(f"WITH {_EDGES} SELECT id, CASE WHEN id % 10 = 0 THEN 'contradicts' END AS prior FROM e")
 def nest_prior_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prior pass only where both of its columns are set."""
-    text = F.when(F.col("id") % 2 == 0, "Restated.")
-    prior = F.when(F.col("prior_verdict").isNotNull() & text.isNotNull(), F.struct("prior_verdict", text.alias("explanation")))
-    return _edges(spark, sf_dir).select("id", prior.isNotNull().alias("has_prior"))
+    return _edges(spark, sf_dir).withColumn("p", read.nest_prior_pass()).select("id", F.col("p.verdict").alias("prior"))
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS count FROM events GROUP BY ALL")
@@ -278,13 +342,13 @@ def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_counts(table(spark, sf_dir, "events")).select(F.col("window.start").alias("hour"), "event_type", "count")
 
 
-@query()
+@query("SELECT count(DISTINCT coalesce(text, '')) AS documents, count(DISTINCT coalesce(text, '')) AS contents FROM documents")
 def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through the file stream, landed twice: each content is stored once."""
     from factengine.sources.store import Store
     from factengine.streaming.intake import stream_intake as run
 
-    root = f"{spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix='factengine-')}/intake-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}-{id(object())}"
+    root = new_folder(spark, "intake")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tables = Store(spark, f"{root}/store")
     for _ in range(2):

@@ -47,7 +47,22 @@ FROM lineitem GROUP BY ALL
 def value_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discounts as percentages come to ratios."""
     raw = F.concat((F.col("l_discount").cast("decimal(4,2)") * 100).cast("int").cast("string"), F.lit("%"))
-    return _normal(table(spark, sf_dir, "lineitem"), raw, "percent").groupBy("v.canonical_value", "v.canonical_number", "v.unit", "v.normalization_rule").agg(F.count("*").alias("n"))
+    distinct = table(spark, sf_dir, "lineitem").groupBy(raw.alias("raw")).agg(F.count("*").alias("rows"))  # each value is normalised once
+    return _normal(distinct, F.col("raw"), "percent").groupBy("v.canonical_value", "v.canonical_number", "v.unit", "v.normalization_rule").agg(F.sum("rows").alias("n"))
+
+
+@query("SELECT p_partkey, 'fine ' || p_name AS canonical_value, 'text_nfkc' AS normalization_rule FROM part")
+def value_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in compatibility form with single spaces."""
+    out = _normal(table(spark, sf_dir, "part"), F.concat(F.lit(" \ufb01ne  "), "p_name"), "text")
+    return out.select("p_partkey", "v.canonical_value", "v.normalization_rule")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS canonical_value, 'date_day_to_iso' AS normalization_rule FROM orders")
+def value_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as values, in their words."""
+    out = _normal(table(spark, sf_dir, "orders"), F.date_format("o_orderdate", "d MMMM yyyy"), "date")
+    return out.select("o_orderkey", "v.canonical_value", "v.normalization_rule")
 
 
 @query(

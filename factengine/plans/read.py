@@ -1,4 +1,4 @@
-"""Read models: counts, coverage, ordered pages of rows, showcase cases, search, and the export document."""
+"""Read models: counts, coverage, lists and single rows, showcase cases, search, and samples."""
 
 from __future__ import annotations
 
@@ -163,10 +163,63 @@ def flatten_fact(facts: DataFrame) -> DataFrame:
     return facts.withColumns(flat).drop("evidence", "period")
 
 
+def nest_prior_pass() -> Column:
+    """The first reading of an edge that a review overruled, as a struct; null unless both its columns are set."""
+    whole = F.col("prior_verdict").isNotNull() & F.col("prior_explanation").isNotNull()
+    return F.when(whole, F.struct(F.col("prior_verdict").alias("verdict"), F.col("prior_explanation").alias("explanation")))
+
+
+def without_vector(facts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Facts that have no vector yet, neither in a column of their own nor in the side table."""
+    open_ = facts.where("embedding is null") if "embedding" in facts.columns else facts
+    return open_.join(vectors.select("id"), "id", "left_anti")
+
+
+def document_summaries(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """``(id, filename, content_hash, status, page_count, pages_parsed, pages_failed)``."""
+    counts = coverage(documents, pages).select("document_id", F.col("parsed").alias("pages_parsed"), F.col("failed").alias("pages_failed"))
+    return documents.join(counts, "document_id").select(F.col("document_id").alias("id"), "filename", "content_hash", "status", "page_count", "pages_parsed", "pages_failed")
+
+
+def list_documents(documents: DataFrame, facts: DataFrame, jobs: DataFrame, version: str) -> DataFrame:
+    """Every document, newest first, with its counts of facts and its newest open job of the version, if there is one."""
+    columns = [c for c in ("filename", "content_hash", "byte_size", "page_count", "status", "failure_reason", "failure_detail", "pipeline_version", "created_at") if c in documents.columns]
+    job = latest_jobs(jobs.where(F.col("pipeline_version") == version)).select("document_id", F.struct("id", "stage", "status").alias("job"))
+    totals = fact_totals(documents, facts).select("document_id", F.struct("published", "rejected").alias("facts"))
+    return documents.select("document_id", *columns).join(totals, "document_id").join(job, "document_id", "left").orderBy(F.col("created_at").desc(), "document_id")
+
+
+def page_number(value: object) -> int:
+    """A page number from 1, or an error that names the value."""
+    try:
+        number = float(str(value))
+    except ValueError:
+        number = 0.0
+    if not number.is_integer() or number < 1:
+        raise ValueError(f"{value!r} is not a page number")
+    return int(number)
+
+
+def read_page(pages: DataFrame, document_id, number: object) -> DataFrame:
+    """One page by its document and number; no row if it isn't there."""
+    return pages.where((F.col("document_id") == document_id) & (F.col("page_number") == page_number(number)))
+
+
+def read_job(jobs: DataFrame, documents: DataFrame, pages: DataFrame, job_id) -> DataFrame:
+    """One job with the coverage of its document, so that a partial run shows how far it came."""
+    job = jobs.where(F.col("id") == job_id)
+    own = documents.join(job.select("document_id"), "document_id", "left_semi")
+    counts = coverage(own, pages.join(own.select("document_id"), "document_id", "left_semi"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return job.join(counts, "document_id", "left").select(*jobs.columns, "page_count", zero("parsed"), zero("failed"))
+
+
 def write_samples(documents: DataFrame, facts: DataFrame, edges: DataFrame, pages: DataFrame, version: str, folder: str) -> None:
     """The export of the smallest ready document, the four cases, and each document's busiest page, as JSON under ``folder``."""
+    from factengine.plans.export import export_documents
+
     ready = documents.where("status = 'ready'").orderBy("page_count", "document_id").limit(1)
-    export_documents(ready, facts.join(ready.select("document_id"), "document_id", "left_semi"), version).select("json").write.mode("overwrite").text(f"{folder}/export")
+    export_documents(ready, pages, facts, edges, version).select("json").write.mode("overwrite").text(f"{folder}/export")
     showcase(edges, facts, pages, documents).write.mode("overwrite").json(f"{folder}/cases")
     busiest_pages(facts).write.mode("overwrite").json(f"{folder}/pages")
 
@@ -177,21 +230,6 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).agg(F.count("*").alias("missing")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("extra")))  # single rows
 
 
-def export_documents(documents: DataFrame, facts: DataFrame, version: str) -> DataFrame:
-    """``(document_id, json)``: one document per row with its published facts and its rejections, as JSON text."""
-    current = current_documents(documents, version).select("document_id", "status")
-    row = F.struct("id", "subject", "predicate", "status", "rejection_reason", *nest_fact())
-    grouped = facts.groupBy("document_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    joined = current.join(grouped, "document_id", "left").withColumn("rows", F.coalesce("rows", F.array().cast(grouped.schema["rows"].dataType)))
-    body = F.struct(
-        F.lit(version).alias("pipelineVersion"),
-        F.col("document_id").alias("documentId"),
-        F.filter("rows", lambda r: r["status"] == "published").alias("facts"),
-        F.struct(F.filter("rows", lambda r: r["status"] == "rejected").alias("assertions")).alias("failures"),
-    )
-    return joined.select("document_id", F.to_json(body).alias("json"))
-
-
 def deep_diff(a: object, b: object, path: str = "") -> list[str]:
     """Paths at which two plain values differ; the order of keys does not count, a length is reported once."""
     if isinstance(a, dict) and isinstance(b, dict):

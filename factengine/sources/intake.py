@@ -13,10 +13,22 @@ from factengine.schemas import LINE
 MAX_BYTES, HEADER_BYTES, SAMPLED_PAGES, MIN_CHARS = 64 << 20, 1024, 12, 120
 
 
-def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length, content, content_hash, refusal)`` of files up to 64 MiB; the hash of the bytes is the identity."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_BYTES)
-    return with_identity(files)
+def read_binary(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFrame:
+    """``(path, length, content, content_hash, refusal)`` of all files; the hash of the bytes is the identity.
+
+    Files above 64 MiB are refused as ``too_large`` and their bytes are not read.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    large = files.where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("content_hash"), F.lit("too_large").alias("refusal"))
+    return inspected(with_identity(files.where(F.col("length") <= most))).unionByName(large)
+
+
+def inspected(files: DataFrame) -> DataFrame:
+    """Adds to ``refusal`` what the bytes of a document tell without a parser: ``encrypted`` if its trailer names an
+    encryption dictionary, ``corrupted`` if it has no cross-reference or no page."""
+    text = F.decode("content", "ISO-8859-1")
+    whole = text.contains("startxref") & (text.rlike(r"/Type\s*/Page[^A-Za-z]") | text.contains("/ObjStm"))
+    return files.withColumn("refusal", F.coalesce("refusal", F.when(~whole, "corrupted").when(text.rlike(r"/Encrypt[^A-Za-z]"), "encrypted")))
 
 
 def with_identity(files: DataFrame) -> DataFrame:

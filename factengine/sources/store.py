@@ -1,4 +1,4 @@
-"""Stored tables: Parquet in versions, with insert-or-ignore, upsert and idempotent replay as whole-table expressions.
+"""Stored tables: Parquet in versions and increments, with insert-or-ignore, upsert and idempotent replay as whole-table expressions.
 
 The functions take and return DataFrames; :class:`Store` keeps each result as a new version directory and switches a
 pointer, so readers never see a half-written table and a write may read the version it replaces.
@@ -88,13 +88,37 @@ class Store:
         folder = self._path(f"{self.root}/{name}")
         if not self._fs.exists(folder):
             return []
-        found = [s.getPath() for s in self._fs.listStatus(folder)]
-        return sorted(int(p.getName()[1:]) for p in found if p.getName()[:1] == "v" and self._fs.exists(self._path(f"{p.toString()}/_SUCCESS")))
+        return sorted(int(n[1:]) for n in self._whole(folder) if n[1:].isdigit() and n[0] == "v")
 
-    def read(self, name: str, version: int | None = None) -> DataFrame | None:
-        """The newest whole version, or a given one; None if the table isn't there."""
+    def _whole(self, folder) -> list[str]:
+        """Names of the directories in a folder that were written to the end."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return [n for n in names if self._fs.exists(self._path(f"{folder.toString()}/{n}/_SUCCESS"))]
+
+    def _increments(self, name: str, version: int) -> list[str]:
+        folder = self._path(f"{self.root}/{name}")
+        return sorted(n for n in self._whole(folder) if n.startswith(f"v{version}.a")) if self._fs.exists(folder) else []
+
+    def read(self, name: str, version: int | None = None, without: str | None = None) -> DataFrame | None:
+        """The newest whole version, or a given one, with its increments (but the one of a key); None if there is nothing."""
+        versions = self.versions(name)
+        at = version if version is not None else versions[-1] if versions else 0
+        parts = [f"v{at}"] * (at in versions) + [n for n in self._increments(name, at) if n != f"v{at}.a{without}"]
+        return self.spark.read.parquet(*(f"{self.root}/{name}/{n}" for n in parts)) if parts else None
+
+    def append(self, name: str, df: DataFrame, key: str) -> None:
+        """Adds an increment to the newest version. The same key again replaces that increment, so a replayed batch counts
+        once; nothing that is stored is read or written again."""
+        at = (self.versions(name) or [0])[-1]
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{at}.a{key}")
+
+    def prune(self, name: str, keep: int = 2) -> list[int]:
+        """Deletes all but the newest versions, with their increments; returns the versions that are left."""
         versions = self.versions(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/v{versions[-1] if version is None else version}") if versions else None
+        for old in versions[: -keep or None]:
+            for part in [f"v{old}", *self._increments(name, old)]:
+                self._fs.delete(self._path(f"{self.root}/{name}/{part}"), True)
+        return self.versions(name)
 
     def write(self, name: str, df: DataFrame, *partition_by: str) -> DataFrame:
         """Writes the next version; a version counts once Spark's success marker is there."""

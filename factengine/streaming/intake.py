@@ -16,17 +16,17 @@ def stream_intake(spark: SparkSession, landing: str, schema: StructType | str, s
     """Takes what has landed and stops; a run without new files does nothing.
 
     The checkpoint remembers files. The same content in a new file is recognised by its hash: only rows whose hash is not
-    in the ``documents`` table go through ``process`` and into it. A batch that runs again after a failure adds nothing,
-    since its documents are stored by then or none of them is.
+    in the ``documents`` table go through ``process`` and into it. Each batch is an increment of that table under its own
+    number, so what is stored is never rewritten, and a batch that runs again after a failure replaces its own increment.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         new = rows.withColumn("content_hash", F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256))
-        stored = store.read("documents")
+        stored = store.read("documents", without=f"{number:09d}")
         known = stored.select("content_hash") if stored is not None else new.select("content_hash").limit(0)
         fresh = insert_or_ignore(known, new, "content_hash", F.col(order)).where("inserted").drop("inserted")
         done = process(fresh) if process else fresh
-        store.write("documents", done if stored is None else stored.unionByName(done))
+        store.append("documents", done, f"{number:09d}")
 
     source = spark.readStream.schema(schema).format(file_format).load(landing)
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
