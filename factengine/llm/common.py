@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a table of ids, sources or slots up to which it may be broadcast: 2 million longs are 16 MB.
 BROADCAST_ROWS = 2_000_000
+#: The same for rows with a digest beside the id, of which each is about 100 bytes.
+BROADCAST_KEYED = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,7 +90,7 @@ def numbered_copies(df: DataFrame, id_col: str, text_col: str, out_col: str) ->
     if again.isEmpty():
         return df.withColumn(out_col, F.lit(1).cast("long"))
     same = df[id_col].eqNullSafe(F.col(id_)) & F.md5(df[text_col]).eqNullSafe(F.col(key))
-    again = checked_broadcast(again)
+    again = checked_broadcast(again, BROADCAST_KEYED)
     once = df.join(again, same, "left_anti").withColumn(out_col, F.lit(1).cast("long"))
     counted = df.join(again, same, "left_semi").groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count("*").alias(n))
     return once.unionByName(each(counted, n, out_col).drop(n))

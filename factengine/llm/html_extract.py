@@ -499,7 +499,8 @@ def induce(pages: DataFrame) -> DataFrame:
     rotating = (F.col("n") >= SUPPORT / ROTATING) & (F.col("kinds") <= ROTATING * F.col("n"))
     menu = (F.col("n") >= SUPPORT) & (F.col("linked") > LINKS * F.col("chars"))
     nodes = nodes.withColumn("template", ~F.col("inside") & (constant | rotating | menu))
-    inside, outside = F.sum(F.when(F.col("inside"), F.col("chars"))), F.sum(F.when(~F.col("inside") & ~F.col("template"), F.col("own")))
+    inside, outside = F.sum(F.when(F.col("inside"), F.col("chars"))), F.sum(F.when(~F.col("inside") & ~F.col("template") & (F.col("n") >= SUPPORT), F.col("own")))
+    # only what some pages show in turn speaks against marked articles
     trusted = F.coalesce(inside, F.lit(0)) >= F.coalesce(outside, F.lit(0))
     # a set of the nodes of a host's layouts, not of its pages
     dropped = nodes.groupBy("host").agg(F.collect_set(F.when(F.col("template"), F.col("node"))).alias("dropped"), trusted.alias("trusted"))
