@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factengine.llm import merge_dropout
-from factengine.llm.common import checked_broadcast, free_name, materialise, numbered_copies
+from factengine.llm.common import BROADCAST_KEYED, checked_broadcast, free_name, materialise, numbered_copies
 from factengine.llm.jaccard_join import ngram_jaccard_join
 from factengine.llm.mixing import mix
 from factengine.llm.quality import score, train
@@ -20,7 +20,11 @@ LEAST_QUALITY = 0.3
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the cut; the model learns from `labels` that are not held out."""
+    """Documents whose quality score reaches the cut; the model learns from `labels` that are not held out.
+
+    Every text is scored whole, whatever its length; null counts as empty, repeated rows share their fate, an empty table
+    gives no rows, and columns that go by the names of the operators' own are kept.
+    """
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     name = free_name(docs.columns, "__score")
     return score(docs, model, "text", name).where(F.col(name) >= LEAST_QUALITY).drop(name)
@@ -33,22 +37,24 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     id_, key = free_name(docs.columns, "__id"), free_name(docs.columns, "__key")
     gone = found.where("doc_id is not null and key is not null and not (first and doc_id = class_id)").select(F.col("doc_id").alias(id_), F.col("key").alias(key)).distinct()
     same = (F.col("doc_id") == F.col(id_)) & (F.md5("text") == F.col(key))
-    kept = docs.join(checked_broadcast(gone), same, "left_anti")
+    kept = docs.join(checked_broadcast(gone, BROADCAST_KEYED), same, "left_anti")
     repeated = found.where("first and doc_id = class_id and n_links > 0").groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias(id_), F.col("key").alias(key))
     repeated = materialise(repeated, "repeated")
     if repeated.isEmpty():
         return kept
-    repeated = checked_broadcast(repeated)
+    repeated = checked_broadcast(repeated, BROADCAST_KEYED)
     return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or thinned out so that the sources reach weights 5, 2, 1 in turn."""
+    """Documents repeated or thinned out so that the sources reach weights 5, 2, 1 in turn. Null texts and sources, repeated
+    rows and empty tables as :func:`factengine.llm.mixing.mix` has them."""
     return mix(docs)
 
 
 def merge_dropout_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with seeded merge-dropout; copies of a document are varied one by one."""
+    """Token ids of every document, with seeded merge-dropout; copies of a document are varied one by one. Null texts have
+    null ids and a null number, empty ones none; texts of any length are encoded whole; an empty table gives no rows."""
     coded = merge_dropout.encode(numbered_copies(docs.select("doc_id", "source", "text"), "doc_id", "text", "copy"), copy_col="copy")
     return coded.select("doc_id", "source", F.size("token_ids").alias("n_tokens"), "token_ids")
 
