@@ -165,24 +165,20 @@ def document_pages(documents: DataFrame) -> DataFrame:
 
 def grid_pages(lineitem: DataFrame) -> DataFrame:
     """A page per order: a title, a unit line, a heading row and one row of cells per line of the order."""
-    c = F.col
 
     def cell(at: Column, name: str, x: float, text: Column, y: Column, size: float = 10.0, width: float = 60.0) -> Column:
         box = F.struct(F.lit(x).alias("x0"), y.cast("double").alias("y0"), F.lit(x + width).alias("x1"), (y + 10).cast("double").alias("y1"))
         return F.struct(F.concat(F.lit("l"), at, F.lit(name)).alias("id"), text.alias("text"), box.alias("bbox"), F.lit(size).alias("size"))
 
-    y = 60 + c("at") * 14
-    body = F.array(
-        cell(c("at"), "a", 20.0, F.concat(F.lit("part "), c("p").cast("string")), y),
-        cell(c("at"), "b", 120.0, c("q").cast("string"), y),
-        cell(c("at"), "c", 220.0, c("e").cast("string"), y),
-    )
+    def row(r: Column, at: Column) -> Column:
+        y = 60 + at * 14
+        part, amount, price = F.concat(F.lit("part "), r["l_partkey"].cast("string")), r["l_quantity"].cast("decimal(10,2)"), r["l_extendedprice"].cast("decimal(18,2)")
+        return F.array(cell(at, "a", 20.0, part, y), cell(at, "b", 120.0, amount.cast("string"), y), cell(at, "c", 220.0, price.cast("string"), y))
+
     rows = lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))).alias("rows"))
-    one = rows.select("l_orderkey", F.posexplode("rows").alias("at", "r")).select("l_orderkey", "at", F.col("r.l_partkey").alias("p"), F.col("r.l_quantity").cast("decimal(10,2)").alias("q"), F.col("r.l_extendedprice").cast("decimal(18,2)").alias("e"))
-    lines = one.withColumn("cells", body).groupBy("l_orderkey").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "cells"))), lambda x: x["cells"])).alias("cells"))
     zero = F.lit("h")
     head = F.array(cell(zero, "t", 20.0, F.lit("Order lines"), F.lit(5), 16.0, 230.0), cell(zero, "u", 20.0, F.lit("(amounts in US dollars)"), F.lit(25)), cell(zero, "q", 120.0, F.lit("Quantity"), F.lit(44)), cell(zero, "e", 220.0, F.lit("Price"), F.lit(44)))
-    return lines.select(F.col("l_orderkey").alias("document_id"), F.lit(1).alias("page_number"), F.lit(612.0).alias("width"), F.concat(head, "cells").alias("lines"))
+    return rows.select(F.col("l_orderkey").alias("document_id"), F.lit(1).alias("page_number"), F.lit(612.0).alias("width"), F.concat(head, F.flatten(F.transform("rows", row))).alias("lines"))
 
 
 def price_pages(part: DataFrame) -> DataFrame:
