@@ -3,8 +3,8 @@
 A *member* is a class of equal rows. It has a number of its own (ids may repeat), the least id and the key of its rows, a
 weight (how many rows it stands for) and a set of bucket codes. Two members are candidates if they share a code. Each
 candidate pair is compared once: in the bucket whose code is the least of those both have. Buckets with the same members
-are kept once. A bucket of more than ``block`` members is cut into blocks by a hash of the member, and each pair of
-blocks is one unit of work, so no task ever gathers a whole large bucket.
+are kept once. A bucket of more than ``block`` members is cut into blocks of half that by a hash of the member, and each
+pair of blocks is one unit of work, so no unit has many more than ``block`` members.
 
 A unit yields, for each of its members with links, how many rows it links to and one edge towards the root of its tree
 in the unit; the rows made are in proportion to the members, not to the pairs.
@@ -47,7 +47,8 @@ def units(members: DataFrame, block: int) -> DataFrame:
     else:
         placed = members.select("m", F.explode("codes").alias("code"))
         buckets = placed.groupBy("code").agg(*marks).where("n > 1")
-    kept = buckets.groupBy("n", "s1", "s2").agg(F.min("code").alias("code")).select("code", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    blocks = F.when(F.col("n") <= block, 1).otherwise(F.ceil(F.col("n") * 2 / block)).cast("int")
+    kept = buckets.groupBy("n", "s1", "s2").agg(F.min("code").alias("code")).select("code", blocks.alias("blocks"))
     side = F.pmod(F.xxhash64("m", "code"), F.col("blocks")).cast("int")
     dealt = placed.join(kept, "code").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select("code", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "m")
