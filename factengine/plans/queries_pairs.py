@@ -24,8 +24,8 @@ f AS (
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The price facts, stored once, in their two halves; the SQL keeps only those that are published in the version."""
-    facts = written(price_facts(table(spark, sf_dir, "part")), "price_facts")
+    """The price facts in their two halves, as they are stored; the SQL keeps only those published in the version."""
+    facts = price_facts(table(spark, sf_dir, "part"), normalised=False)
     return facts.where("id like 'm%'"), facts.where("id like 'c%'")
 
 
@@ -103,9 +103,15 @@ def _proposals(million: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stale, near.select(F.col("id").alias("source_id"), target.alias("target_id"), ((k * 7 + F.col("d") * 31) % 100 / 100.0).alias("similarity"))
 
 
-def _filtered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _normalised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The price facts from the claims' raw values, stored once."""
+    facts = written(price_facts(table(spark, sf_dir, "part")), "price_facts")
+    return facts.where("id like 'm%'"), facts.where("id like 'c%'")
+
+
+def _filtered(spark: SparkSession, sf_dir: str, facts=_facts) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Both halves, and their proposed pairs through the cascade."""
-    million, crore = _facts(spark, sf_dir)
+    million, crore = facts(spark, sf_dir)
     stale, near = _proposals(million)
     found = pairing.pair_deterministic(million, crore, "v2").unionByName(stale)
     return million, crore, pairing.prefilter(pairing.union_paths(found, near), pairing.published(million.unionByName(crore), "v2"))
@@ -279,7 +285,7 @@ SELECT CASE WHEN same AND subject_affinity >= 0.5 AND predicate_affinity >= 0.5
 )
 def settle_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End to end: prices normalised and stored, paired, filtered, hydrated, compared; how many pairs corroborate."""
-    million, crore, done = _filtered(spark, sf_dir)
+    million, crore, done = _filtered(spark, sf_dir, _normalised)
     year = F.struct(F.lit("2024-01-01").cast("date").alias("start"), F.lit("2024-12-31").cast("date").alias("end"), F.lit("year").alias("precision"))
     facts = million.unionByName(crore).withColumns({"qualifiers": F.lit(None).cast("map<string, string>"), "modality": F.lit("observed"), "attributed_to": F.lit(None).cast("string"), "period": year})
     pairs = hydrate(done.where("exclusion_reason is null").select("pair_key", "source_id", "target_id"), facts, "subject", "predicate", "raw_value", "canonical_value", "canonical_number", "unit", "qualifiers", "modality", "attributed_to", "period")
