@@ -84,7 +84,7 @@ def cosine_pairs(vectors: list, threshold: float) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(left), np.concatenate(right), np.concatenate(cosine)
 
 
-def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, tables: int = 8, width: int = 2, probes: int = 1, block: int = 1024) -> DataFrame:
+def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, tables: int = 8, width: int = 2, probes: int = 1, block: int = 512) -> DataFrame:
     """Links between vectors of equal labels whose cosine reaches the threshold.
 
     Returns ``id_col, class_id, n_links, component_id, kept, first`` per row: the least id with an equal vector and label,
