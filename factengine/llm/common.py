@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factengine.session import new_folder as new_path
+from factengine.session import written as materialise
+
+__all__ = ["BROADCAST_KEYED", "BROADCAST_ROWS", "bounded", "checked_broadcast", "each", "free_name", "materialise", "new_path", "numbered_copies", "qualified", "word_count"]
+
 #: Rows of a table of ids, sources or slots up to which it may be broadcast: 2 million longs are 16 MB.
 BROADCAST_ROWS = 2_000_000
 #: The same for rows with a digest beside the id, of which each is about 100 bytes.
 BROADCAST_KEYED = 250_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder.
-
-    Only a local master, as in tests, falls back to a temporary folder; a cluster has to name the folder in
-    ``spark.checkpoint.dir``.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="factengine-"))
-    return context.getCheckpointDir()
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with the scheme of its file system, by default the session's; ``file:/x`` becomes ``file:///x``."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -39,13 +23,6 @@ def qualified(spark: SparkSession, path: str) -> str:
     return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back, so that a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``limit`` rows, by a count that each task sums up for itself."""
     return df.count() <= limit
