@@ -329,6 +329,48 @@ def embed_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("p_partkey", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 5).alias("norm"))
 
 
+@query(
+    """
+WITH l AS (SELECT o_custkey AS document_id, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 14.0 ELSE 10.0 END AS size FROM orders),
+h AS (SELECT *, size >= 1.12 * median(size) OVER (PARTITION BY document_id) AS heading, row_number() OVER (PARTITION BY document_id ORDER BY o_orderkey) AS pos FROM l),
+b AS (SELECT *, sum(CASE WHEN heading OR pos = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY pos) AS batch FROM h)
+SELECT document_id, 'prose-' || batch AS id, max(CASE WHEN heading THEN 'Order ' || o_orderkey END) AS title, count(*) AS lines FROM b GROUP BY document_id, batch
+"""
+)
+def heading_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as lines, every fifth key in large print: each heading starts a batch and names it."""
+    line = F.struct(F.col("o_orderkey").alias("k"), F.concat(F.lit("p1l"), "o_orderkey").alias("id"), F.concat(F.lit("Order "), "o_orderkey").alias("text"), F.when(F.col("o_orderkey") % 5 == 0, 14.0).otherwise(10.0).alias("size"))
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("document_id")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    pages = rows.withColumns({"page_number": F.lit(1), "tables": F.array().cast("array<struct<quality: string, rows: array<struct<cells: array<struct<lineIds: array<string>>>>>>>")})
+    out = extract.prose_batches(pages).groupBy("document_id", "id").agg(F.max("section_title").alias("title"), F.count("*").alias("lines"))
+    return out
+
+
+@query(
+    """
+SELECT s_suppkey AS document_id, unnest(CASE s_suppkey % 2 WHEN 0 THEN ['clean', 'clean'] ELSE ['ragged'] END) AS quality, unnest(CASE s_suppkey % 2 WHEN 0 THEN ['Item|Value', 'Year|Sum'] ELSE [''] END) AS headers,
+  unnest(CASE s_suppkey % 2 WHEN 0 THEN [2, 3] ELSE [0] END) AS rows, unnest(CASE s_suppkey % 2 WHEN 0 THEN ['', '* estimated'] ELSE ['* estimated'] END) AS notes
+FROM supplier
+"""
+)
+def stacked_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two grids on one page, parted by a second heading row, with a footnote below; and cells that overlap, which make no
+    columns."""
+    def cell(i: int, text: str, x: float, y: int, width: float) -> str:
+        return f"struct('l{i}' AS id, '{text}' AS text, struct({x}D AS x0, {y}D AS y0, {x + width}D AS x1, {y + 10}D AS y1) AS bbox, 10D AS size)"
+
+    def page(rows: list[list[str]], shift: float, width: float) -> str:
+        cells = [(t, shift * j, 20 * i, 210.0 if t == top else width) for i, row in enumerate(rows) for j, t in enumerate(row)]
+        return f"array({', '.join(cell(n, t, x, y, w) for n, (t, x, y, w) in enumerate(cells))})"
+
+    top = "Figures in brief"  # it crosses the gutter, so that the page is one band
+    grids = page([[top], ["Item", "Value"], ["1.5", "2"], ["3", "4"], ["Year", "Sum"], ["5", "6"], ["7", "8"], ["9", "10"], ["* estimated"]], 200.0, 40.0)
+    overlap = page([["1", "2"], ["3", "4"], ["5", "6"], ["* estimated"]], 30.0, 60.0)
+    pages = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS document_id", "1 AS page_number", "400D AS width", f"CASE WHEN s_suppkey % 2 = 0 THEN {grids} ELSE {overlap} END AS lines")
+    t = layout.reconstruct(pages).select("document_id", F.explode("tables").alias("t"))
+    return t.select("document_id", "t.quality", F.array_join("t.columnHeaders", "|").alias("headers"), F.size("t.rows").alias("rows"), F.array_join("t.footnotes", "|").alias("notes"))
+
+
 @query("SELECT c_nationkey AS document_id, CASE WHEN count(*) >= 8 AND count(DISTINCT c_custkey % 2) = 2 THEN 2 ELSE 1 END AS bands, CASE WHEN count(*) >= 8 AND count(DISTINCT c_custkey % 2) = 2 THEN 250.0::DOUBLE ELSE 600.0::DOUBLE END AS first_end FROM customer GROUP BY ALL")
 def column_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of a nation as lines in two columns of a page: the gutter between them cuts it."""

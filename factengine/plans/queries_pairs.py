@@ -302,6 +302,21 @@ def pairs_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("pair_key", F.round("score", 9).alias("score"))
 
 
+@query(
+    """
+SELECT p_partkey, p_partkey % 5 <> 3 AS types, p_partkey % 4 <> 2 AS units FROM part
+"""
+)
+def comparable_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which types and which units may be compared: equal ones, any two numeric types with a plain number, and a unit with
+    none."""
+    k = F.col("p_partkey")
+    pick = lambda n, *values: F.element_at(F.array(*(F.lit(v) for v in values)), (k % n + 1).cast("int"))
+    types = pairing.value_types_compatible(pick(5, "money", "money", "number", "money", "text"), pick(5, "money", "number", "percent", "percent", "text"))
+    units = pairing.units_comparable(pick(4, "INR", " kg", "kg", None), pick(4, "inr ", "KG", "km", "INR"))
+    return table(spark, sf_dir, "part").select("p_partkey", types.alias("types"), units.alias("units"))
+
+
 @query("SELECT p_partkey, trim(p_name) || ': retail price' AS text FROM part")
 def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is embedded of a claim."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factengine.functions.periods import overlaps, parse_period, period_in_text
 from factengine.functions.text import affinity, prettify
-from factengine.functions.values import detect_currency, detect_scale, normalize_value, verify_in_source
+from factengine.functions.values import detect_currency, detect_scale, normalize_value, unit_in_source, verify_in_source
 from factengine.operators.adjudicate import compare_time
 from factengine.operators.grounding import document_calendars
 from factengine.plans.derived import price_claims, table
@@ -132,6 +132,15 @@ def value_in_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.nullif(F.regexp_extract(why, "^(numeric value|currency [A-Z]+)", 1), F.lit("")).alias("problem"))
 
 
+@query("SELECT p_partkey, p_partkey % 5 IN (0, 1, 2) AS shown FROM part")
+def unit_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a span shows a unit, by its sign, by a word for it, or in so many words."""
+    k = (F.col("p_partkey") % 5 + 1).cast("int")
+    units, spans = ("INR", "kg", "equity shares", "km", "equity shares"), ("Rs 5 in all", "a mass of 3 kilograms", "9 Equity  Shares", "3 kilograms", "9 preference shares")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), k)
+    return table(spark, sf_dir, "part").select("p_partkey", unit_in_source(pick(units), pick(spans)).alias("shown"))
+
+
 def _periods(spark: SparkSession, sf_dir: str, raw, year_end=None, month_day=None) -> DataFrame:
     """Bounds and precision of a period rendered from each order's date, counted."""
     p = table(spark, sf_dir, "orders").select(parse_period(raw, year_end, month_day).alias("p"))

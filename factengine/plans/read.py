@@ -51,11 +51,16 @@ def busiest_pages(facts: DataFrame) -> DataFrame:
     return best.select("document_id", "b.page", "b.count")
 
 
+def shown(facts: DataFrame) -> DataFrame:
+    """Facts without their vectors, which only retrieval reads."""
+    return facts.drop("embedding")
+
+
 def list_facts(facts: DataFrame, status: str | None = None, limit: float | None = None, offset: float | None = None) -> DataFrame:
     """A page of facts, most salient first; the id breaks ties. Limits are clamped, an unknown status is an error."""
     if one_of(status, STATUS, "status"):
         facts = facts.where(F.col("status") == status)
-    ordered = facts.orderBy(F.col("salience").desc_nulls_last(), F.col("confidence").desc_nulls_last(), "page", "id")
+    ordered = shown(facts).orderBy(F.col("salience").desc_nulls_last(), F.col("confidence").desc_nulls_last(), "page", "id")
     return ordered.offset(clamp_offset(offset)).limit(clamp_limit(limit))
 
 
