@@ -27,8 +27,6 @@ from factengine.llm.components import components
 
 #: Rows with a member: a part of its links, and an edge. Rows without: how many pairs have a similarity in a bin.
 LINKS = "m long, n long, root long, bin int, pairs long"
-#: Pairs whose code sets are compared at once.
-PAIRS_AT_ONCE = 1 << 16
 
 
 def numbered_members(classes: DataFrame, name: str) -> DataFrame:
@@ -54,38 +52,51 @@ def units(members: DataFrame, block: int) -> DataFrame:
     return dealt.select("code", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "m")
 
 
-def _first_met(codes_a: np.ndarray, codes_b: np.ndarray, code: int) -> np.ndarray:
-    """For rows of pairs: whether no code below ``code`` is in both sets."""
-    low = codes_a < code
-    return ~((codes_a[:, :, None] == codes_b[:, None, :]) & low[:, :, None]).any(axis=(1, 2))
-
-
-def _stacked(rows: list, order: np.ndarray) -> np.ndarray:
-    """Code sets as rows of one array; shorter ones repeat their last code."""
-    codes = [np.array(rows[i], dtype=np.int64) for i in order]
-    width = max(len(c) for c in codes)
-    return np.stack([np.pad(c, (0, width - len(c)), mode="edge") for c in codes])
+def open_pairs(codes: list, inner: list | None, sides: np.ndarray, unit: tuple) -> np.ndarray:
+    """Which pairs of a unit's members, left < right, are to be compared in it: those of its two blocks that share no code
+    below the unit's and no inner code."""
+    code, a, b = unit
+    n = len(codes)
+    out = np.triu(np.ones((n, n), dtype=bool), 1)
+    if a != b:
+        out &= sides[:, None] != sides[None, :]
+    owner = np.repeat(np.arange(n), [len(c) for c in codes])
+    flat = np.concatenate(codes)
+    low = flat < code
+    owner, flat = owner[low], flat[low]
+    if inner is not None:
+        owner = np.concatenate((owner, np.repeat(np.arange(n), [len(c) for c in inner])))
+        flat = np.concatenate((flat, *inner))
+    order = np.argsort(flat, kind="stable")
+    owner, flat = owner[order], flat[order]
+    starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, dtype=int)
+    ends = np.append(starts[1:], len(flat)) if len(flat) else starts
+    done: set[bytes] = set()
+    for i in np.flatnonzero(ends - starts > 1).tolist():
+        group = np.unique(owner[starts[i] : ends[i]])
+        if len(group) > 1 and (mark := group.tobytes()) not in done:
+            done.add(mark)
+            out[np.ix_(group, group)] = False
+    return out
 
 
 def _unit_links(unit: tuple, rows: dict, similar: Callable, edges: np.ndarray) -> tuple[list, list, list, np.ndarray]:
-    """Links of one unit, and its pairs per bin of similarity; rows: columns as lists in the order of arrival."""
-    code, a, b = unit
-    numbers, weights = np.array(rows["m"], dtype=np.int64), np.array(rows["weight"], dtype=np.int64)
+    """Links of one unit, and its pairs per bin of similarity; rows: columns as lists in the order of arrival. Only members
+    that have a pair to be compared are compared."""
+    none: tuple[list, list, list, np.ndarray] = ([], [], [], np.zeros(len(edges), dtype=np.int64))
+    numbers = np.array(rows["m"], dtype=np.int64)
     order = np.lexsort((numbers, np.array(rows["side"])))
-    left, right, likeness = similar([rows["payload"][i] for i in order])  # pairs of positions, left < right
-    if len(left) == 0:
-        return [], [], [], np.zeros(len(edges), dtype=np.int64)
-    numbers, weights = numbers[order], weights[order]
-    sides = np.array(rows["side"])[order]
-    codes = _stacked(rows["codes"], order)
-    inner = _stacked(rows["inner"], order) if "inner" in rows else None
-    keep = np.ones(len(left), dtype=bool) if a == b else sides[left] != sides[right]
-    for at in range(0, len(left), PAIRS_AT_ONCE):
-        part = slice(at, at + PAIRS_AT_ONCE)
-        keep[part] &= _first_met(codes[left[part]], codes[right[part]], code)
-        if inner is not None:
-            keep[part] &= ~(inner[left[part]] == inner[right[part]]).any(axis=1)
+    array = lambda name: [np.array(rows[name][i], dtype=np.int64) for i in order] if name in rows else None
+    wanted = open_pairs(array("codes"), array("inner"), np.array(rows["side"])[order], unit)
+    own = np.flatnonzero(wanted.any(axis=0) | wanted.any(axis=1))
+    if not len(own):
+        return none
+    left, right, likeness = similar([rows["payload"][i] for i in order[own]])  # pairs of positions, left < right
+    keep = wanted[own[left], own[right]]
     left, right = left[keep], right[keep]
+    if not len(left):
+        return none
+    numbers, weights = numbers[order][own], np.array(rows["weight"], dtype=np.int64)[order][own]
     bins = np.bincount(np.searchsorted(edges, likeness[keep], side="right"), minlength=len(edges) + 1)[1:][: len(edges)]
     counts = np.zeros(len(numbers), dtype=np.int64)
     np.add.at(counts, left, weights[right])
@@ -140,7 +151,7 @@ def links(members: DataFrame, payload: DataFrame, similar: Callable, block: int,
     """
     work = materialise(units(members, block), "units")
     partners = work.select("m").distinct()
-    if bounded(partners):
+    if bounded(work) or bounded(partners):  # rows of a written table are counted from its footers
         members = members.join(F.broadcast(partners), "m", "left_semi")
         payload = payload.join(F.broadcast(members.select("id").distinct()), "id", "left_semi")
     own = [c for c in ("m", "weight", "codes", "inner") if c in members.columns]
@@ -177,7 +188,9 @@ def per_class(members: DataFrame, found: DataFrame) -> DataFrame:
     parts = components(found.where("m is not null").select(F.col("m").alias("u"), F.col("root").alias("v")))
     named = parts.withColumnRenamed("node", "m").join(members.select("m", "id", "key"), "m")
     heads = named.groupBy("component").agg(F.min(F.struct("id", "key")).alias("head"))
-    placed = named.select("m", "component").join(heads, "component").select("m", "head")
+    # on a hash beside the component, so that a large component's rows are dealt out for this join and can be split
+    keyed = lambda df: df.withColumn("h", F.xxhash64("component"))
+    placed = keyed(named.select("m", "component")).join(keyed(heads), ["h", "component"]).select("m", "head")
     out = members.select("m", "id", "key", "weight").join(counts, "m", "left").join(placed, "m", "left")
     own = F.struct("id", "key")
     return out.select("key", F.col("id").alias("class_id"), "weight", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("head.id"), F.col("id")).alias("component_id"), F.coalesce(F.col("head") == own, F.lit(True)).alias("first"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from factengine.llm.common import materialise
@@ -36,8 +36,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` as a written table, with their number and the sum of their hashes, counted while they are written."""
+    seen = Observation()
+    table = materialise(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark")), "edges")
+    return table, (seen.get["n"], seen.get["mark"])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -46,13 +49,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round is two hash aggregations and two joins; its result is a written table, so the lineage stays short. Hubs
     are aggregated with partial sums on the map side, and adaptive skew joins split them. An empty input gives no rows.
     """
-    edges = materialise(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = _state(edges)
+    edges, state = _stored(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
         if not state[0]:
             break
-        edges = materialise(_small_star(_large_star(edges)), "edges")
-        before, state = state, _state(edges)
+        before = state
+        edges, state = _stored(_small_star(_large_star(edges)))
         if before == state:
             break
     else:

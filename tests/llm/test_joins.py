@@ -142,6 +142,24 @@ def test_join_edge_rows(spark):
     assert ngram_jaccard_join(df.limit(0)).collect() == []
 
 
+def test_pairs_are_compared_in_one_unit(spark):
+    from factengine.llm.buckets import open_pairs
+
+    rng = random.Random(13)
+    for _ in range(200):
+        n = rng.randrange(2, 12)
+        codes = [np.array(sorted(rng.sample(range(12), rng.randrange(1, 5)))) for _ in range(n)]
+        inner = [np.array(rng.sample(range(100, 130), 2)) for _ in range(n)] if rng.random() < 0.5 else None
+        sides, code = np.array(sorted(rng.randrange(2) for _ in range(n))), rng.randrange(12)
+        for a, b in ((0, 0), (0, 1)):
+            got = open_pairs(codes, inner, sides, (code, a, b))
+            for i in range(n):
+                for j in range(n):
+                    low = {c for c in set(codes[i]) & set(codes[j]) if c < code}
+                    met = inner is not None and set(inner[i]) & set(inner[j])
+                    assert got[i, j] == (i < j and not low and not met and (a == b or sides[i] != sides[j]))
+
+
 def brute_cosine(rows, threshold=0.98):
     links = []
     for i, (a, x, k) in enumerate(rows):
