@@ -35,9 +35,13 @@ CLOSES_P = BLOCK - frozenset("br body html title option td th tr tbody thead tfo
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 CHROME_TAGS = frozenset("head nav aside footer form button select dialog menu search template".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-CHROME_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|foot|header|masthead|topbar|toolbar|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|comment-?list|disqus|replies|respond|reviews?|pagination|pager|skip-link|widget\w*|copyright)(?:$|[\s_-])")
+CHROME_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|banner)|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|foot|header|masthead|topbar|toolbar|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|comment-?list|disqus|discussion|replies|respond|reviews?|pagination|pager|skip-link|widget\w*|copyright)(?:$|[\s_-])")
 ARTICLE_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:article(?:-?body)?|post(?:-?(?:body|content))?|entry(?:-?content)?|main(?:-?content)?|story(?:-?body)?|content)(?:$|[\s_-])")
 
+#: The head of an article, which is no page header, and where a name in camel case is parted.
+ARTICLE_HEAD = re.compile(r"(?i)(?:^|[\s_-])(?:article|post|entry|story|content)[_-]?(?:header|head|title)(?:$|[\s_-])")
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+
 TOKEN = re.compile(r"<!--(.*?)(?:-->|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)"
@@ -57,7 +61,8 @@ class Node:
         self.signature = f"{name}.{kind}" if kind else name
         role = named.get("role", "").lower()
         hidden = re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes) is not None or "display:none" in named.get("style", "").replace(" ", "") or named.get("aria-hidden") == "true"
-        self.chrome = name in CHROME_TAGS or name == "header" or role in CHROME_ROLES or hidden or bool(kind and name not in ("html", "body", "article", "main") and CHROME_NAME.search(kind))
+        named_chrome = bool(kind) and name not in ("html", "body", "article", "main") and CHROME_NAME.search(parted := CAMEL.sub("-", kind)) is not None and ARTICLE_HEAD.search(parted) is None
+        self.chrome = name in CHROME_TAGS or name == "header" or role in CHROME_ROLES or hidden or named_chrome
 
 
 def parse(page: str) -> Node:
@@ -408,7 +413,7 @@ def extract(page: str, reference: str | None = None, dropped: frozenset = frozen
     def left_out(node: Node) -> bool:
         if node is document or id(node) in own:
             return False
-        return id(node) in skip or node.chrome and not (node.name == "header" and roots != [document] and "." not in node.signature)
+        return id(node) in skip or node.chrome and not (node.name == "header" and roots != [document] and ("." not in node.signature or ARTICLE_HEAD.search(CAMEL.sub("-", node.signature.split(".", 1)[1]))))
 
     text = "\n".join(b for r in roots for b in blocks(r, left_out))
     return text if text or not skip or reference is None else extract(page, trusted=trusted)
