@@ -316,7 +316,8 @@ class Encoder:
         """``(bytes, ends)`` of the texts whose ids end at ``ends``, byte pieces joined, without the leading mark."""
         width = self.width[ids]
         at = np.concatenate(([0], np.cumsum(width)))
-        data = self.shown[spread(self.start[ids], width)]
+        parts = [self.shown[spread(self.start[ids[i : i + IDS]], width[i : i + IDS])] for i in range(0, len(ids), IDS)]
+        data = np.concatenate([*parts, np.zeros(0, dtype=np.uint8)])
         begins, stops = at[np.concatenate(([0], ends[:-1]))], at[ends]
         led = np.flatnonzero((stops > begins) & (data[np.minimum(begins, max(0, len(data) - 1))] == 32)) if len(data) else begins[:0]
         keep = np.ones(len(data), dtype=bool)

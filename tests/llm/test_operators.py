@@ -127,6 +127,9 @@ def test_extract_parts():
       <section id="comments"><p>Nice</p></section></article></main><aside>More</aside><footer>&copy; me</footer></body></html>"""
     assert extract(page) == "Head & line\nOne two three\nFour <five>\nsix\nseven"
     assert extract("") == "" and extract("plain text") == "plain text"
+    named = """<body><div class=pageHeader>Site</div><article><header class="entry-header"><h1>Title</h1></header><div class="postTitle">Under it</div><p>Text</p>
+    <div class="adSlot">Buy</div><div id="commentsSection">Nice</div><div class="shareButtons">Share</div></article><div class="newsletterSignup">Join</div></body>"""
+    assert extract(named) == "Title\nUnder it\nText"
     assert extract("<p>a<br>b</p><!-- c --><p title=it's>d") == "a\nb\nd"
     assert extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
@@ -454,6 +457,8 @@ def test_dropout_equals_brute_force(model, monkeypatch):
         monkeypatch.setattr(merge_dropout, "LONGEST", 63)
         monkeypatch.setattr(merge_dropout, "CHARS", 20)
         monkeypatch.setattr(merge_dropout, "ROWS", 3)
+        monkeypatch.setattr(merge_dropout, "IDS", 7)
+        assert all(encoder.decode(x) == t for x, t in zip(want, texts, strict=True))
         assert [encoder.encode(t, k) for k, t in enumerate(texts)] == want
         monkeypatch.undo()
 
