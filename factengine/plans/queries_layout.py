@@ -12,8 +12,9 @@ from factengine.operators.publish import candidates_of, locate, to_facts
 from factengine.plans.derived import document_pages, grid_pages, line_boxes, price_pages, table
 from factengine.plans.registry import query
 from factengine.schemas import CANDIDATE
-from factengine.session import new_folder, written
+from factengine.session import new_folder, qualified, written
 from factengine.sources import intake
+from factengine.sources.objects import put_objects
 from factengine.sources.store import Store
 
 _LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda t: regexp_replace(t, '^[\\s\\x{00a0}\\x{3000}\\x{feff}]+|[\\s\\x{00a0}\\x{3000}\\x{feff}]+$', '', 'g')), lambda t: length(t) > 0)"
@@ -44,6 +45,14 @@ def intake_hash_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insert_or_ignore(new.limit(0).select("content_hash"), new, "content_hash", F.col("doc_id"))
 
 
+@query("SELECT DISTINCT 'doc:' || sha256(coalesce(text, '')) AS name, 'doc-' || sha256(coalesce(text, '')) AS stored_as, false AS reused FROM documents")
+def object_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct content stored once under the name of its hash."""
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    rows = table(spark, sf_dir, "documents").select(content.alias("content"))
+    return put_objects(rows, qualified(spark, new_folder(spark, "objects")), intake.storage_key(F.sha2("content", 256)))
+
+
 @query(
     """
 WITH p AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position, count(*) OVER (PARTITION BY source) AS n FROM documents),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -277,6 +279,36 @@ def adjudicate_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.groupBy("verdict", "reason_code").agg(F.count("*").alias("n"))
 
 
+class Contrary:
+    """A judge that calls every pair a contradiction and vouches for its context; its review reconciles even amounts."""
+
+    def generate(self, *, name: str, system: str, prompt: str, schema: dict, escalate: bool = False) -> dict:
+        if not escalate:
+            return {"verdict": "contradicts", "reasonCode": "value_conflict", "contextMatches": ["scope", "unit", "time"], "explanation": "So it seems.", "confidence": 0.8}
+        shown = json.loads(prompt.split("\n")[1])
+        even = shown["first_reading"] == "So it seems." and int(shown["source"]["canonical_value"]) % 2 == 0
+        return {"reconcilable": even, "reasonCode": "vintage_difference", "explanation": "One may be restated.", "confidence": 0.6}
+
+
+@query(
+    f"""
+{_PAIRS}, h AS (
+  SELECT *, CASE WHEN t_time <> 'matched' THEN 'time' WHEN t_scope = 'mismatched' THEN 'scope' WHEN t_modality <> 'matched' THEN 'modality' WHEN t_attribution <> 'matched' THEN 'attribution' END AS blocker FROM g
+), k AS (
+  SELECT *, settled IS NULL AND t_value = 'mismatched' AND blocker IS NULL AS contested, a::BIGINT % 2 = 0 AS even FROM h
+)
+SELECT CASE WHEN settled IS NOT NULL THEN 'corroborates' WHEN contested AND even THEN 'reconciles' WHEN contested THEN 'contradicts' ELSE 'insufficient' END AS verdict,
+  CASE WHEN settled IS NOT NULL THEN settled WHEN contested AND even THEN 'vintage_difference' WHEN contested THEN 'value_conflict' WHEN t_value <> 'mismatched' THEN 'missing_context' WHEN blocker = 'scope' THEN 'scope_mismatch' WHEN blocker = 'modality' THEN 'projection_vs_actual' WHEN blocker = 'attribution' THEN 'attribution_mismatch' ELSE 'missing_context' END AS reason_code,
+  contested AS reviewed, contested AND even AS downgraded, count(*) AS n
+FROM k GROUP BY ALL
+"""
+)
+def adjudicate_contested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of all order pairs with a contrary judge: contradictions that survive the rules are reviewed, some reconciled."""
+    edges, _ = judge.adjudicate(_order_pairs(spark, sf_dir), "0.7.0-contrary", Contrary())
+    return edges.groupBy("verdict", "reason_code", "reviewed", "downgraded").agg(F.count("*").alias("n"))
+
+
 @query(
     f"""
 {_CASCADE}
