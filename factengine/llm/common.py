@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factengine.session import new_folder as new_path
+from factengine.session import qualified
 from factengine.session import written as materialise
 
 __all__ = ["BROADCAST_KEYED", "BROADCAST_ROWS", "bounded", "checked_broadcast", "each", "free_name", "materialise", "new_path", "numbered_copies", "qualified", "word_count"]
@@ -16,13 +17,6 @@ BROADCAST_ROWS = 2_000_000
 BROADCAST_KEYED = 250_000
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """``path`` with the scheme of its file system, by default the session's; ``file:/x`` becomes ``file:///x``."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    uri = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
-    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
-
-
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``limit`` rows, by a count that each task sums up for itself."""
     return df.count() <= limit
