@@ -68,6 +68,20 @@ def test_tables_reach_inputs(spark):
     assert scores["e"] == 0 and scores["d"] > 0.3
 
 
+def test_pages_of_one_form_are_laid_out_once(spark, monkeypatch):
+    from factengine.operators import layout
+
+    pages = [[{**n, "text": n["text"].replace("5", str(i)), "id": f"{n['id']}-{i}"} for n in two_grids()] for i in range(5)] + [[]]
+    rows = [(i, 1, 400.0, [(n["id"], n["text"], tuple(n["bbox"].values()), n["size"]) for n in lines]) for i, lines in enumerate(pages)] + [(9, 1, 400.0, None)]
+    frame = spark.createDataFrame(rows, f"document_id int, page_number int, width double, lines array<{LINE}>").coalesce(1)
+    out = {r.document_id: r.asDict(True)["tables"] for r in reconstruct(frame).collect()}
+    assert out == {i: page_tables(lines, column_bands(lines, 400.0), 1) for i, lines in enumerate(pages)} | {9: []}
+    plans = [layout._Plan(lines, 400.0) for lines in pages[:2]]
+    assert (plans[0].cells == plans[1].cells).all()
+    marks = [[layout.text_class(n["text"]) for n in lines] for lines in pages[:5]]
+    assert all(m == marks[0] for m in marks)
+
+
 def test_prose_batches_and_plans(spark):
     def page(n, texts):
         return ("d", n, [(f"p{n}l{i}", t, (0.0, 0.0, 1.0, 1.0), s) for i, (t, s) in enumerate(texts)], [])
