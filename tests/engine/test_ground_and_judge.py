@@ -221,7 +221,8 @@ def test_unknown_argument():
     assert F is not None
 
 
-def test_pairs_by_classes_are_the_pairs_one_by_one(spark):
+def paired(spark):
+    """Two sides of facts with few values, one by one and by classes."""
     from factengine.operators import pairing
 
     kind = "id string, document_id string, subject string, predicate string, value_type string, unit string, canonical_value string, canonical_number double"
@@ -230,7 +231,13 @@ def test_pairs_by_classes_are_the_pairs_one_by_one(spark):
     near = spark.createDataFrame([(f"a{i}", f"b{j}", s) for i in range(0, 40, 3) for j, s in ((i, 0.9), (i + 4, 0.0), (i + 1, 0.6), (99, 0.9))], "source_id string, target_id string, similarity double")
     none = near.limit(0).select("source_id", "target_id")
     plain = pairing.prefilter(pairing.union_paths(pairing.pair_deterministic(a, b), near), a.unionByName(b)).collect()
-    grouped = pairing.Grouped(a, b, pairing.union_paths(none, near))
+    return plain, pairing.Grouped(a, b, pairing.union_paths(none, near))
+
+
+def test_pairs_by_classes_are_the_pairs_one_by_one(spark):
+    from factengine.operators import pairing
+
+    plain, grouped = paired(spark)
     got, want = {}, {}
     for r in grouped.rows("exclusion_reason", "score", "paths").collect():
         key = (r.exclusion_reason, round(r.score, 9), tuple(r.paths))
@@ -247,6 +254,27 @@ def test_pairs_by_classes_are_the_pairs_one_by_one(spark):
     assert {(r.source_id, r.exclusion_reason): (r["count"], round(r.best_score, 9)) for r in pairing.exclusion_summary(grouped.refused()).collect()} == refused
 
 
+def test_batches_by_classes_need_no_shuffle_of_pairs(spark, monkeypatch):
+    from factengine.operators import pairing
+    from factengine.operators.extract import pair_plan
+
+    plain, grouped = paired(spark)
+    want = sorted((r.source_id, r.pair_key, round(r.score, 9)) for r in plain if r.exclusion_reason is None)
+    for part, block in ((4_000_000, 512), (7, 3)):
+        monkeypatch.setattr(pairing, "PART", part)
+        monkeypatch.setattr(pairing, "BLOCK", block)
+        kept = grouped.kept()
+        assert sorted((r.source_id, r.pair_key, round(r.score, 9)) for r in kept.collect()) == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = pair_plan(kept, "source_id", 2, ("cls", "part"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    top = plan.splitlines()
+    window = next(i for i, n in enumerate(top) if "Window" in n)
+    assert next(n for n in top[window:] if "Exchange" in n or "SortMergeJoin" in n).count("SortMergeJoin") == 1
+
+
 def test_pairs_of_a_popular_value_are_dealt_out(spark):
     from factengine.operators.pairing import pair_deterministic
 
