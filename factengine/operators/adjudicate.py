@@ -113,6 +113,22 @@ def compare(pairs: DataFrame) -> DataFrame:
     return out.withColumn("settled", F.when(decided & about, F.when(same_text(s["raw_value"], t["raw_value"]), "exact_duplicate").otherwise("equivalent_value")))
 
 
+def forms(pairs: DataFrame) -> DataFrame:
+    """``(pair_key, n, source, target)``: pairs that agree in all but their ids, as one row for ``n`` of them.
+
+    Comparison, rules and providers read no ids, so what holds of a form holds of its pairs, and a judge is asked once. A
+    form's ids are null, so its edges have no direction; their numbers are what counts.
+    """
+    kinds = {p: pairs.schema[p].dataType for p in ("source", "target")}
+    named = {f"__{p}_{f.name}": (p, f) for p in kinds for f in kinds[p].fields if f.name != "id"}
+    is_map = lambda f: isinstance(f.dataType, T.MapType)
+    told = pairs.select(*((F.map_entries(F.col(p)[f.name]) if is_map(f) else F.col(p)[f.name]).alias(c) for c, (p, f) in named.items()))
+    rows = told.groupBy(*named).agg(F.count("*").alias("n"))
+    back = lambda c, f: F.map_from_entries(c) if is_map(f) else F.col(c)
+    side = lambda p: F.struct(F.lit(None).cast(kinds[p]["id"].dataType).alias("id"), *(back(c, f).alias(f.name) for c, (q, f) in named.items() if q == p))
+    return rows.select(F.sha2(F.to_json(F.struct(*named)), 256).alias("pair_key"), "n", side("source").alias("source"), side("target").alias("target"))
+
+
 def settled_explanation(reason: Column) -> Column:
     return F.when(reason == "exact_duplicate", "Both documents print the same value for the same claim.").otherwise("Both documents state the same value for the same claim in different words.")
 
@@ -247,6 +263,7 @@ def adjudicate(pairs: DataFrame, pipeline_version: str, provider: AdjudicationPr
     kept = F.concat("explanation", F.lit(" A second reading with the burden reversed found nothing that reconciles them: "), r["explanation"])
     final = judged.select(
         "pair_key",
+        *(["n"] if "n" in pairs.columns else []),
         "source",
         "target",
         "settled",

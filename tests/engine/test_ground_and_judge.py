@@ -292,3 +292,21 @@ def test_pairs_of_a_popular_value_are_dealt_out(spark):
     assert pairs.distinct().count() == pairs.count() == 2 * 720 * 720 + 2 * 28 * 28
     spread = [n for n in pairs.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
     assert len(spread) > 1 and max(spread) < 0.8 * sum(spread)
+
+
+def test_forms_stand_for_all_their_pairs(spark):
+    from factengine.operators.adjudicate import forms
+    from factengine.plans.queries_pairs import Contrary, _order_pairs
+
+    pairs = _order_pairs(spark, "/root/testdata/sf0.001")
+    few = forms(pairs)
+    assert few.agg(F.sum("n")).first()[0] == pairs.count() > few.count()
+    told = ("comparison", "delta", "same_sign", "overlap", "settled")
+    text = lambda d: F.to_json(F.struct(*(d[c] for c in told)))
+    one, many = compare(pairs), compare(few)
+    want = {r.k: r.n for r in one.groupBy(text(one).alias("k")).agg(F.count("*").alias("n")).collect()}
+    assert {r.k: r.n for r in many.groupBy(text(many).alias("k")).agg(F.sum("n").alias("n")).collect()} == want
+    by = ("verdict", "reason_code", "reviewed", "downgraded")
+    edges, _ = adjudicate(pairs.limit(400), "v", Contrary())
+    folded, _ = adjudicate(forms(pairs.limit(400)), "v", Contrary())
+    assert sorted(map(str, folded.groupBy(*by).agg(F.sum("n").alias("n")).collect())) == sorted(map(str, edges.groupBy(*by).agg(F.count("*").alias("n")).collect()))
