@@ -193,3 +193,31 @@ def test_invariants_and_helpers(spark):
     assert [clamp_limit(x) for x in (None, 0, 7.9, 9999, float("nan"))] == [50, 1, 7, 500, 50]
     assert deep_diff({"a": [1, {"b": 2}]}, {"a": [1, {"b": 3}], "c": 1}) == ["a[1].b", "c"]
     assert deep_diff([1], [1, 2]) == ["length"]
+
+
+def test_prose_of_many_documents_is_folded_in_one_stream(spark):
+    line = "struct(concat('l', i) AS id, concat('line ', i, ' of ', id) AS text, if(i % 4 = 0, 14D, 10D) AS size)"
+    tables = "cast(array() AS array<struct<quality: string, rows: array<struct<cells: array<struct<lineIds: array<string>>>>>>>) AS tables"
+    pages = spark.range(300).selectExpr("nullif(id, 7) AS document_id", "1 AS page_number", f"transform(sequence(1, int(id % 9 + 1)), i -> {line}) AS lines", tables)
+    few = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # documents go over the ends of batches
+        done = prose_batches(pages, 30)
+        assert "FlatMapGroupsInPandas" not in done._jdf.queryExecution().executedPlan().toString()
+        got = done.orderBy("document_id", "position").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", few)
+    want = []
+    for d in range(300):
+        number, chars, title = 0, 0, None
+        sizes = sorted(14.0 if i % 4 == 0 else 10.0 for i in range(1, d % 9 + 2))
+        body = (sizes[(len(sizes) - 1) // 2] + sizes[len(sizes) // 2]) / 2
+        for place, i in enumerate(range(1, d % 9 + 2)):
+            text = f"line {i} of {d}"
+            head = i % 4 == 0 and 14.0 >= body * 1.12
+            if not number or head or chars + len(text) + 1 > 30:
+                number, chars, title = number + 1, 0, text if head else title
+            chars += len(text) + 1
+            want.append((None if d == 7 else d, f"prose-{number}", title, f"l{i}", place))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[4])
+    assert sorted(((r.document_id, r.id, r.section_title, r.line_id, r.position) for r in got), key=key) == sorted(want, key=key)
