@@ -221,3 +221,16 @@ def test_prose_of_many_documents_is_folded_in_one_stream(spark):
             want.append((None if d == 7 else d, f"prose-{number}", title, f"l{i}", place))
     key = lambda r: (r[0] is not None, r[0] or 0, r[4])
     assert sorted(((r.document_id, r.id, r.section_title, r.line_id, r.position) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_a_task_keeps_the_nearest_of_all_blocks(spark):
+    from factengine.operators.nearest import lanes_best
+
+    rng = random.Random(2)
+    rows = [(f"v{i}", i % 4, [rng.choice((-1.0, 1.0)) for _ in range(5)]) for i in range(200)]  # many ties
+    df = spark.createDataFrame(rows, "id string, grp int, v array<double>")
+    found = lanes_best(df, df, 3, block=10)  # twenty blocks a side
+    assert found.count() <= 200 * 3 * 2
+    got = sorted((r.source_id, r.target_id) for r in nearest(df, df, 3, block=10).collect())
+    dot = lambda v, w: sum(a * b for a, b in zip(v, w, strict=True))
+    assert got == sorted((i, j) for i, g, v in rows for j in sorted((j for j, h, _ in rows if h != g), key=lambda j, v=v: (-dot(v, rows[int(j[1:])][2]), j))[:3])
