@@ -307,6 +307,7 @@ def test_forms_stand_for_all_their_pairs(spark):
     want = {r.k: r.n for r in one.groupBy(text(one).alias("k")).agg(F.count("*").alias("n")).collect()}
     assert {r.k: r.n for r in many.groupBy(text(many).alias("k")).agg(F.sum("n").alias("n")).collect()} == want
     by = ("verdict", "reason_code", "reviewed", "downgraded")
-    edges, _ = adjudicate(pairs.limit(400), "v", Contrary())
-    folded, _ = adjudicate(forms(pairs.limit(400)), "v", Contrary())
+    some = pairs.where("int(split(pair_key, ':')[0]) < 100")
+    edges, _ = adjudicate(some, "v", Contrary())
+    folded, _ = adjudicate(forms(some), "v", Contrary())
     assert sorted(map(str, folded.groupBy(*by).agg(F.sum("n").alias("n")).collect())) == sorted(map(str, edges.groupBy(*by).agg(F.count("*").alias("n")).collect()))
