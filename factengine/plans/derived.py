@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factengine.functions.values import normalize_value
+from factengine.functions.values import normalized
 from factengine.schemas import TABLE_CONTEXT
 
 
@@ -43,12 +43,13 @@ def price_facts(part: DataFrame, normalised: bool = True) -> DataFrame:
     """The price claims as facts, their values normalised, or as a table of stored facts has them. By the last digit of the
     key the second claim differs in type, predicate, subject or document, so that every rule about pairs has something to
     refuse."""
+    claims = price_claims(part)
     if normalised:
-        value = normalize_value(F.col("raw_value"), F.col("value_type"), F.col("unit"))
+        valued = normalized(claims, F.col("raw_value"), F.col("value_type"), F.col("unit"))
     else:
         amount = (price() * 1000000).cast("decimal(30,0)")
-        value = F.struct(F.lit("INR").alias("unit"), amount.cast("string").alias("canonical_value"), amount.cast("double").alias("canonical_number"))
-    facts = price_claims(part).withColumn("v", value).withColumn("k", F.col("p_partkey") % 10).withColumn("second", F.col("id").startswith("c"))
+        valued = claims.withColumn("v", F.struct(F.lit("INR").alias("unit"), amount.cast("string").alias("canonical_value"), amount.cast("double").alias("canonical_number")))
+    facts = valued.withColumn("k", F.col("p_partkey") % 10).withColumn("second", F.col("id").startswith("c"))
     k, second = F.col("k"), F.col("second")
     return facts.select(
         "id",

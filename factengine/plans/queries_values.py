@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from factengine.functions.periods import overlaps, parse_period, period_in_text
 from factengine.functions.text import affinity, prettify
-from factengine.functions.values import detect_currency, detect_scale, normalize_value, unit_in_source, verify_in_source
+from factengine.functions.values import detect_currency, detect_scale, normalized, unit_in_source, verify_in_source
 from factengine.operators.adjudicate import compare_time
 from factengine.operators.grounding import document_calendars
 from factengine.plans.derived import price_claims, table
 from factengine.plans.registry import query
-
+from factengine.session import dealt
 
 
 def _none():
@@ -20,7 +20,7 @@ def _none():
 
 
 def _normal(df: DataFrame, raw, kind: str, unit=None) -> DataFrame:
-    return df.withColumn("v", normalize_value(raw, F.lit(kind), _none() if unit is None else unit))
+    return normalized(df, raw, F.lit(kind), _none() if unit is None else unit)
 
 
 @query(
@@ -33,8 +33,8 @@ FROM part, (VALUES ('m'), ('c')) f(form)
 )
 def value_money_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices in millions and in crores come to the same exact value."""
-    claims = price_claims(table(spark, sf_dir, "part"))
-    return claims.select("id", normalize_value(F.col("raw_value"), F.lit("money"), F.col("unit")).alias("v")).select("id", "v.canonical_value", "v.canonical_number", "v.unit", "v.normalization_rule")
+    claims = price_claims(table(spark, sf_dir, "part")).select("id", "raw_value", F.col("unit").alias("given"))
+    return _normal(claims, F.col("raw_value"), "money", F.col("given")).select("id", "v.canonical_value", "v.canonical_number", "v.unit", "v.normalization_rule")
 
 
 @query(
@@ -47,7 +47,7 @@ FROM lineitem GROUP BY ALL
 def value_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discounts as percentages come to ratios."""
     raw = F.concat((F.col("l_discount").cast("decimal(4,2)") * 100).cast("int").cast("string"), F.lit("%"))
-    distinct = table(spark, sf_dir, "lineitem").groupBy(raw.alias("raw")).agg(F.count("*").alias("rows"))  # each value is normalised once
+    distinct = table(spark, sf_dir, "lineitem").groupBy(raw.alias("raw")).agg(F.count("*").alias("rows"))
     return _normal(distinct, F.col("raw"), "percent").groupBy("v.canonical_value", "v.canonical_number", "v.unit", "v.normalization_rule").agg(F.sum("rows").alias("n"))
 
 
@@ -129,7 +129,7 @@ def value_in_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 3
     span = F.when(k == 0, F.concat(F.lit("It was Rs "), amount, F.lit(" in all"))).when(k == 1, F.concat(F.lit("It was Rs 1"), amount)).otherwise(F.concat(F.lit("It was £"), amount))
     why = verify_in_source(F.concat(F.lit("₹"), amount), F.lit("money"), F.lit("INR"), span, F.lit(None).cast("boolean"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.nullif(F.regexp_extract(why, "^(numeric value|currency [A-Z]+)", 1), F.lit("")).alias("problem"))
+    return dealt(table(spark, sf_dir, "part")).select("p_partkey", F.nullif(F.regexp_extract(why, "^(numeric value|currency [A-Z]+)", 1), F.lit("")).alias("problem"))
 
 
 @query("SELECT p_partkey, p_partkey % 5 IN (0, 1, 2) AS shown FROM part")
@@ -138,7 +138,7 @@ def unit_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = (F.col("p_partkey") % 5 + 1).cast("int")
     units, spans = ("INR", "kg", "equity shares", "km", "equity shares"), ("Rs 5 in all", "a mass of 3 kilograms", "9 Equity  Shares", "3 kilograms", "9 preference shares")
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), k)
-    return table(spark, sf_dir, "part").select("p_partkey", unit_in_source(pick(units), pick(spans)).alias("shown"))
+    return dealt(table(spark, sf_dir, "part")).select("p_partkey", unit_in_source(pick(units), pick(spans)).alias("shown"))
 
 
 def _periods(spark: SparkSession, sf_dir: str, raw, year_end=None, month_day=None) -> DataFrame:

@@ -37,6 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly, before a step that takes far longer per row than a shuffle. A scan has a task per split and
+    row group, so a small file with many rows would be worked on by one core; the number is explicit, since AQE would join
+    the small partitions again."""
+    session = df.sparkSession
+    return df.repartition(max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from factengine.functions.periods import Calendar, Refused, date_in_source, find_period, fiscal_calendar, read_period
 from factengine.functions.text import affinity
-from factengine.functions.values import normalize_value, verify_in_source
+from factengine.functions.values import normalize_value, normalized, verify_in_source
 
 
 VALUES = [
@@ -116,3 +116,20 @@ def test_affinity(spark):
     pairs = [("revenue", "revenue"), ("revenue", "revenue from operations"), ("revenue growth", "growth in revenue"), ("revenue", "employee headcount"), ("", "x"), ("companies", "company")]
     rows = spark.createDataFrame(pairs, "a string, b string").select(affinity(F.col("a"), F.col("b")).alias("x")).collect()
     assert [r.x for r in rows] == [1.0, 0.75, 1.0, 0.0, 0.0, 1.0]
+
+
+def test_each_value_is_normalised_once(spark):
+    rows = [(1, "₹5 million", "money", None), (2, "₹5 million", "money", None), (3, "₹5 million", "money", "INR"), (4, None, "money", None), (5, None, None, None), (6, "7", "number", "kg"), (7, " ﬁne ", "text", None), (8, "2024", "date", None)]
+    df = spark.createDataFrame(rows, "id int, raw string, kind string, unit string")
+    c = F.col
+    direct = df.withColumn("v", normalize_value(c("raw"), c("kind"), c("unit")))
+    folded = normalized(df, c("raw"), c("kind"), c("unit"))
+    assert folded.columns == direct.columns
+    assert sorted(map(repr, folded.collect())) == sorted(map(repr, direct.collect()))
+
+
+def test_prices_are_grouped_before_they_are_normalised(spark):
+    from factengine.plans.catalogue import queries
+
+    plan = queries()["value_money_scale"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("ArrowEvalPython", 1)[1]
