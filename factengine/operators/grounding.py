@@ -12,6 +12,7 @@ from factengine.functions.periods import PERIOD, Calendar, find_period, fiscal_c
 from factengine.functions.text import WS, filled, word
 from factengine.functions.values import normalize_value, verify_in_source
 from factengine.operators.gates import KEY_FAMILIES, apply_gates, table_text, verbatim
+from factengine.session import dealt
 
 _PERIOD_KEY = re.compile(f"(?:^|_)(?:{KEY_FAMILIES['period']})(?:_|$)", re.IGNORECASE)
 FISCAL_LABEL = word(rf"(?:fy|fiscal{WS}+year|q[1-4]{WS}*fy|h[12]{WS}*fy){WS}*['’]?[0-9]{{2,4}}")
@@ -58,11 +59,11 @@ def ground(candidates: DataFrame) -> DataFrame:
     context_complete, status, rejection_reason, rejection_detail``.
 
     Needs the gates' columns and ``fiscal_month_day``. A rejected row keeps all that was computed. Qualifiers are read in
-    the order of their map.
+    the order of their map. Candidates are dealt out first, since a row takes far longer here than in a shuffle.
     """
     c = F.col
     none = F.lit(None).cast("string")
-    gated = apply_gates(candidates)
+    gated = apply_gates(dealt(candidates))
     no_map = F.array().cast("array<string>")
     keys, values = F.coalesce(F.map_keys("qualifiers"), no_map), F.coalesce(F.map_values("qualifiers"), no_map)
     period = _claim_periods(c("valueType"), c("rawValue"), c("tableContext.columnHeader"), c("tableContext.title"), c("evidence.quote"), keys, values, c("fiscal_month_day"))

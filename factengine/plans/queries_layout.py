@@ -134,13 +134,15 @@ SELECT CASE p_partkey % 4 WHEN 0 THEN 'published' ELSE 'rejected' END AS status,
 """
 )
 def ground_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price claims with true quotes, invented quotes, wrong values and wrong lines, all the way through grounding."""
-    k = F.col("p_partkey") % 4
+    """Price claims with true quotes, invented quotes, wrong values and wrong lines, all the way through grounding. Equal
+    candidates are grounded once and counted."""
+    k = F.col("k")
     amount = F.col("p_retailprice").cast("decimal(18,2)").cast("string")
     line = F.concat(F.lit("The price of "), "p_name", F.lit(" was ₹"), amount, F.lit(" million for the year ended 31 March 2024."))
-    part = table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part").groupBy("p_name", "p_retailprice", (F.col("p_partkey") % 4).alias("k")).agg(F.count("*").alias("n"))
     none = F.lit(None).cast("string")
     candidates = part.select(
+        "n",
         F.col("p_name").alias("subject"),
         F.lit("price").alias("predicate"),
         F.concat(F.lit("₹"), F.when(k == 2, F.concat(F.lit("9"), amount)).otherwise(amount), F.lit(" million")).alias("rawValue"),
@@ -157,7 +159,7 @@ def ground_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("p1l1")).alias("page_line_ids"),
         none.alias("fiscal_month_day"),
     )
-    return ground(candidates).groupBy("status", "rejection_reason").agg(F.count("*").alias("n"))
+    return ground(candidates).groupBy("status", "rejection_reason").agg(F.sum("n").alias("n"))
 
 
 @query(

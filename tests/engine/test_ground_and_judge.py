@@ -63,6 +63,24 @@ def test_grounding(spark):
     assert got["undated"].canonical_value == "81415380000"
 
 
+def test_candidates_of_one_partition_are_grounded_by_all_cores(spark):
+    rows = [(*candidate(subject=f"Revenue {i}").values(), PAGE, ["p1l1"], None) for i in range(40)]
+    df = spark.createDataFrame(rows, CANDIDATE + ", page_text string, page_line_ids array<string>, fiscal_month_day string").coalesce(1)
+    out = ground(df).select(F.spark_partition_id().alias("at"), "status")
+    assert out.count() == 40 and out.select("at").distinct().count() > 1
+    assert {r.status for r in out.collect()} == {"published"}
+
+
+def test_equal_candidates_are_grounded_once(spark):
+    from factengine.plans.catalogue import queries
+
+    found = queries()["ground_candidates"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("ArrowEvalPython", 1)[1]
+    assert found.agg(F.sum("n")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+
+
+
 def test_audit(spark):
     facts = spark.createDataFrame(
         [("a", "d", 1, "x y", ["l1"], True, True, "prose", None, None, "published"), ("b", "d", 1, "zzz", ["l9"], True, True, "prose", None, None, "published"), ("c", "d", 7, "x", ["l1"], False, True, "prose", None, None, "published"), ("e", "d", 1, "q", [], False, False, "prose", None, None, "rejected")],
