@@ -69,13 +69,13 @@ def ground(candidates: DataFrame) -> DataFrame:
     period = _claim_periods(c("valueType"), c("rawValue"), c("tableContext.columnHeader"), c("tableContext.title"), c("evidence.quote"), keys, values, c("fiscal_month_day"))
     governing = F.array_join(F.filter(F.array(c("unit"), c("tableContext.unitLine")), filled), " ")
     dated = gated.withColumn("__period", period)
-    valued = dated.withColumn("__value", normalize_value(c("rawValue"), c("valueType"), F.when(governing != "", governing), c("__period.end")))
     spoken = F.concat_ws(" ", c("evidence.quote"), c("tableContext.columnHeader"), c("tableContext.title"), F.array_join(values, " "))
     undated = c("__period.start").isNull() & spoken.rlike(FISCAL_LABEL)
     shown = F.array_join(F.filter(F.array(c("evidence.quote"), F.replace(table_text(c("tableContext")), F.lit(" \n "), F.lit("\n"))), filled), "\n")
     is_date = c("valueType") == "date"
-    checked = valued.withColumn("__date_ok", period_in_source(F.when(is_date, c("rawValue")), c("__period.end"), shown))
-    checked = checked.withColumn("__absent", verify_in_source(c("rawValue"), c("valueType"), c("__value.unit"), shown, c("__date_ok")))
+    value = normalize_value(c("rawValue"), c("valueType"), F.when(governing != "", governing), c("__period.end"))
+    valued = dated.withColumns({"__value": value, "__date_ok": period_in_source(F.when(is_date, c("rawValue")), c("__period.end"), shown)})  # one pass through Python
+    checked = valued.withColumn("__absent", verify_in_source(c("rawValue"), c("valueType"), c("__value.unit"), shown, c("__date_ok")))
     reason = (
         F.when(c("gate_reason").isNotNull(), c("gate_reason"))
         .when(c("__value.failure").isNotNull() | undated, F.lit("normalization_failed"))

@@ -9,6 +9,7 @@ from factengine.operators import extract
 from factengine.operators.grounding import document_calendars, ground
 from factengine.operators.layout import bbox_of
 from factengine.operators.providers import CandidateProvider
+from factengine.session import written
 
 #: Columns of a candidate as they are stored.
 NAMES = {"rawValue": "raw_value", "valueType": "value_type", "attributedTo": "attributed_to", "tableContext": "table_context"}
@@ -16,8 +17,11 @@ FACT = ("id", "document_id", "page", "subject", "predicate", "raw_value", "canon
 
 
 def candidates_of(pages: DataFrame, provider: CandidateProvider | None = None) -> tuple[DataFrame, DataFrame]:
-    """Candidates of pages with their tables rebuilt, and ``(document_id, batch_id, first_page)`` of the batches."""
-    prose, tables = extract.prose_batches(pages), extract.table_batches(extract.table_inputs(pages))
+    """Candidates of pages with their tables rebuilt, and ``(document_id, batch_id, first_page)`` of the batches.
+
+    Batches of prose are stored, since both results read them.
+    """
+    prose, tables = written(extract.prose_batches(pages), "prose_batches"), extract.table_batches(extract.table_inputs(pages))
     found = extract.generate(extract.prose_payloads(prose).unionByName(extract.table_payloads(tables)), provider)
     first = lambda batches: batches.groupBy("document_id", F.col("id").alias("batch_id")).agg(F.min("page_number").alias("first_page"))
     return found, first(prose).unionByName(first(tables))
@@ -35,10 +39,15 @@ def locate(found: DataFrame, pages: DataFrame, batches: DataFrame) -> DataFrame:
 
 def to_facts(located: DataFrame, pages: DataFrame, pipeline_version: str) -> DataFrame:
     """Rows of the facts table from located candidates: grounded on their page, dated by their document's calendar, with the
-    box of the cited lines, their salience and an id made of what they say and where."""
+    box of the cited lines, their salience and an id made of what they say and where.
+
+    Grounded rows are stored without their pages before salience, which reads them twice.
+    """
     shown = pages.select("document_id", F.col("page_number").alias("page"), F.col("text").alias("page_text"), F.col("lines.id").alias("page_line_ids"), "lines")
-    rows = located.select("document_id", "page", "candidate.*").join(shown, ["document_id", "page"]).join(document_calendars(pages), "document_id", "left")
-    out = ground(rows).withColumn("bbox", bbox_of(F.col("lines"), F.col("evidence.lineIds"))).withColumnsRenamed(NAMES)
+    placed = located.select("document_id", "page", "candidate.*").join(shown, ["document_id", "page"])
+    boxed = placed.withColumn("bbox", bbox_of(F.col("lines"), F.col("evidence.lineIds"))).drop("lines")
+    rows = boxed.join(document_calendars(pages), "document_id", "left")
+    out = written(ground(rows).drop("page_text", "page_line_ids", "fiscal_month_day"), "grounded").withColumnsRenamed(NAMES)
     out = out.withColumns({"quote": F.col("evidence.quote"), "line_ids": F.col("evidence.lineIds"), "pipeline_version": F.lit(pipeline_version)})
     out = out.withColumns({f"period_{c}": F.col(f"period.{c}") for c in ("start", "end", "precision")})
     told = F.to_json(F.struct("pipeline_version", "document_id", "page", "subject", "predicate", "raw_value", "unit", "value_type", "quote", "line_ids"))

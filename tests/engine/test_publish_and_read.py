@@ -51,6 +51,15 @@ def test_write_path_end_to_end(spark):
     assert facts[1].id != facts[2].id and all(f.salience > 0 for f in facts.values())
 
 
+def test_grounding_and_batches_are_done_once_though_read_twice(spark):
+    pages = reconstruct(text_pages(spark.createDataFrame([("d", 1, "The price of oil was ₹5.5 million")], "document_id string, page_number int, text string")))
+    found, batches = candidates_of(pages)
+    facts = to_facts(locate(found, pages, batches), pages, "v")
+    assert batches._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # the pages of the tables, not the fold
+    assert "EvalPython" not in facts._jdf.queryExecution().optimizedPlan().toString()
+    assert facts.count() == 1
+
+
 def test_shifted_decimals_are_exact(spark):
     rng = random.Random(3)
     tokens = ["0", "0.0", "(0)", "-0", "007", "1,234.50", "(12)", "(-3)", "(+3)", "−4", "+.5", "(5", "5)", "", "x", "1.", "- 2"]
