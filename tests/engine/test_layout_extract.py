@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factengine.functions.text import clamp_limit
 from factengine.operators.extract import call_batch, extraction_plan, page_priority, parse_plan, prose_batches, split_lines, strip_qualifiers, table_inputs, with_salience
-from factengine.operators.layout import column_bands, merge_spans, page_tables, reconstruct
+from factengine.operators.layout import column_bands, merge_intervals, merge_spans, page_tables, reconstruct
 from factengine.operators.nearest import nearest
 from factengine.operators.providers import PermanentFailure, SchemaFailure
 from factengine.plans.read import deep_diff
@@ -234,3 +234,25 @@ def test_a_task_keeps_the_nearest_of_all_blocks(spark):
     got = sorted((r.source_id, r.target_id) for r in nearest(df, df, 3, block=10).collect())
     dot = lambda v, w: sum(a * b for a, b in zip(v, w, strict=True))
     assert got == sorted((i, j) for i, g, v in rows for j in sorted((j for j, h, _ in rows if h != g), key=lambda j, v=v: (-dot(v, rows[int(j[1:])][2]), j))[:3])
+
+
+def test_spans_without_bounds_extend_nothing(spark):
+    import duckdb
+
+    from factengine.plans import catalogue
+    from factengine.plans.derived import line_boxes
+
+    # page, part, quantity: a span is from part to part + quantity
+    rows = [(1, 10, 5.0), (1, 40, 5.0), (1, None, 5.0), (1, 12, None), (2, None, None), (2, None, 1.0), (3, 7, None), (3, 9, 2.0), (3, 9, 2.0), (None, 3, 4.0), (None, None, 4.0)]
+    rows += [(4, 56, 26.0), (4, 56, 26.0), (4, 142, 12.0), (5, 31, 2.0), (5, 80, 40.0), (5, 80, 40.0)]
+    names = "l_orderkey, l_partkey, l_quantity, l_suppkey, l_linenumber"
+    lines = spark.createDataFrame([(*r, 1, 1) for r in rows], "l_orderkey long, l_partkey long, l_quantity double, l_suppkey long, l_linenumber int")
+    con = duckdb.connect()
+    con.execute("SET threads=1")  # the SQL leaves equal spans open
+    con.execute(f"create table lineitem as select * from (values {', '.join(str(tuple(r) + (1, 1)).replace('None', 'null') for r in rows)}) t({names})")
+    merged = merge_intervals(line_boxes(lines), ["page"])
+    assert merged.columns == ["page", "x0", "x1"]
+    got = sorted(map(tuple, merged.collect()), key=str)
+    assert got == sorted(con.execute(catalogue.oracle_sql()["band_merge"]).fetchall(), key=str)
+    want = [(1, 10.0, 15.0), (1, 40.0, 45.0), (2, None, None), (2, None, None), (3, 7.0, None), (3, 9.0, 11.0), (4, 56.0, 82.0), (4, 142.0, 154.0), (5, 31.0, 33.0), (5, 80.0, 120.0), (None, 3.0, 7.0)]
+    assert got == sorted(want, key=str)
